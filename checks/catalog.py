@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import fixtures as fx
-from checks.oracles import r6, sql
+from checks.oracles import RUN, on, r6, sql
 from widesift.functions.columns import rounded
-from widesift.operators import moments, scores, selection, splits
+from widesift.operators import align, metrics, moments, prepare, reports, scores, selection, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,513 @@ def anova_f(spark, sf_dir):
 def anova_top_k(spark, sf_dir):
     best = selection.top_k(scores.anova_scores(emb_moments(spark, sf_dir)), 20)
     return best.select("cohort", "seed", "feature", rounded("score").alias("score"), "rank")
+
+
+def six(df: DataFrame, *columns: str) -> DataFrame:
+    """The named double columns rounded to six digits."""
+    return df.withColumns({c: rounded(c) for c in columns})
+
+
+def r6s(*columns: str) -> str:
+    return ", ".join(f"{r6(c)} AS {c}" for c in columns)
+
+
+# ---- label preparation and alignment ----------------------------------------------------------
+
+@query(sql(f"""SELECT c.cohort, c.sample_id, c.feature, {r6('c.value')} AS value, l.label
+  FROM evt_cells c JOIN ord_lab l ON {on('c', 'l', 'cohort, sample_id')}""", "evt_cells", "ord_lab"))
+def align_average_dedup(spark, sf_dir):
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
+    return six(align.align(align.average_duplicates(fx.evt_readings(spark, sf_dir)), labels), "value")
+
+
+@query(sql(f"""SELECT r.cohort, substr(r.barcode, 1, 12) AS sample_id, r.feature, r.value, l.label
+  FROM evt_read r JOIN (SELECT 'E' AS cohort, 'USER-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS sample_id, c_mktsegment AS label
+    FROM customer WHERE c_mktsegment IS NOT NULL) l ON r.cohort = l.cohort AND substr(r.barcode, 1, 12) = l.sample_id""", "evt_read"))
+def align_merge_no_dedup(spark, sf_dir):
+    from widesift.functions.columns import patient_id
+    clinical = fx.table(spark, sf_dir, "customer").select(
+        F.lit("E").alias("cohort"), F.concat(F.lit("USER-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("id"),
+        "c_mktsegment")
+    labels = align.complete_labels(clinical, "id", "c_mktsegment")
+    readings = fx.evt_readings(spark, sf_dir).select("cohort", patient_id("barcode").alias("sample_id"), "feature", "value")
+    return align.align(readings, labels)
+
+
+@query(sql("""SELECT cohort, sample_id, label FROM doc_lab
+  WHERE (cohort, label) IN (SELECT cohort, label FROM doc_lab GROUP BY 1, 2 HAVING count(*) >= 40)""", "doc_lab"))
+def rare_class_filter(spark, sf_dir):
+    return align.drop_rare_classes(fx.doc_samples(spark, sf_dir), 40).select("cohort", "sample_id", "label")
+
+
+@query(sql("SELECT cohort, label, count(*) AS n FROM doc_lab WHERE label <> 'en1' GROUP BY 1, 2", "doc_lab"))
+def named_class_filter(spark, sf_dir):
+    return align.class_distribution(align.drop_class(fx.doc_samples(spark, sf_dir), "en1"))
+
+
+@query(sql("SELECT cohort, label, count(*) AS n FROM evt_common GROUP BY 1, 2", "evt_common"))
+def class_distribution(spark, sf_dir):
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
+    matrix = align.average_duplicates(fx.evt_readings(spark, sf_dir))
+    return align.class_distribution(align.common_samples(matrix, labels))
+
+
+@query(sql("""SELECT c.cohort, count(DISTINCT c.sample_id) AS n_samples, count(DISTINCT c.feature) AS n_features,
+  (SELECT count(*) FROM ord_lab) AS n_labelled, (SELECT count(*) FROM evt_common) AS n_common
+  FROM evt_cells c GROUP BY 1""", "evt_cells", "ord_lab", "evt_common"))
+def matrix_shape(spark, sf_dir):
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
+    return align.matrix_shape(align.average_duplicates(fx.evt_readings(spark, sf_dir)), labels)
+
+
+@query(sql("""SELECT cohort, sample_id, label, CAST(dense_rank() OVER (PARTITION BY cohort ORDER BY label) - 1 AS INTEGER) AS label_index
+  FROM doc_lab""", "doc_lab"))
+def label_index(spark, sf_dir):
+    return align.label_index(fx.doc_samples(spark, sf_dir)).select("cohort", "sample_id", "label", "label_index")
+
+
+@query(sql("""SELECT cohort, sample_id, feature, round((CAST(CAST(value AS FLOAT) AS DOUBLE) - value) * 1e6, 3) + 0.0 AS lost_millionths
+  FROM evt_cells""", "evt_cells"))
+def to_float32(spark, sf_dir):
+    cells = align.average_duplicates(fx.evt_readings(spark, sf_dir)).withColumn("exact", F.col("value"))
+    lost = (F.col("value").cast("double") - F.col("exact")) * 1e6
+    return align.to_float32(cells).select("cohort", "sample_id", "feature", rounded(lost, 3).alias("lost_millionths"))
+
+
+# ---- splits -----------------------------------------------------------------------------------
+
+@query(sql("""SELECT cohort, seed, sample_id, label, CAST((rn - 1) % 3 AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed, label ORDER BY md5('fold:' || CAST(seed AS VARCHAR) || ':' || sample_id), sample_id) AS rn
+  FROM emb_split WHERE part = 'train')""", "emb_split"))
+def stratified_folds(spark, sf_dir):
+    train = emb_split(spark, sf_dir).where(F.col("part") == "train").drop("part")
+    return splits.stratified_folds(train, 3).select("cohort", "seed", "sample_id", "label", "fold")
+
+
+@query(sql("SELECT cohort, seed, label, part, count(*) AS n FROM emb_split GROUP BY ALL", "emb_split"))
+def split_grid(spark, sf_dir):
+    return emb_split(spark, sf_dir).groupBy("cohort", "seed", "label", "part").agg(F.count("*").alias("n"))
+
+
+@query(sql("""SELECT cohort, CAST(seed - 42 AS INTEGER) AS run_id, seed, method, param FROM (SELECT DISTINCT cohort FROM emb_lab),
+  (SELECT CAST(unnest(range(42, 52)) AS INTEGER) AS seed), (SELECT unnest(['anova', 'variance', 'variance']) AS method,
+    unnest(['k=5000', 'tau=0.05', 'tau=0.10']) AS param)""", "emb_lab"))
+def job_grid(spark, sf_dir):
+    return splits.job_grid(fx.emb_samples(spark, sf_dir), splits.consecutive_seeds(42, 10),
+                           {"anova": ["k=5000"], "variance": ["tau=0.05", "tau=0.10"]})
+
+
+# ---- variance ---------------------------------------------------------------------------------
+
+TAUS = [0.0145, 0.015, 0.0155, 0.016, 0.0165, 0.017]
+
+
+@query(sql("""SELECT cohort, seed, CAST(t AS DOUBLE) AS threshold, count(*) AS n_features_total,
+  count(*) FILTER (WHERE variance > CAST(t AS DOUBLE)) AS n_features
+  FROM emb_mom, (SELECT unnest(['0.0145', '0.015', '0.0155', '0.016', '0.0165', '0.017']) AS t) GROUP BY ALL""", "emb_mom"))
+def variance_sweep_counts(spark, sf_dir):
+    return scores.variance_sweep(emb_moments(spark, sf_dir), TAUS)
+
+
+@query(sql(f"SELECT cohort, seed, feature, {r6('variance')} AS score FROM emb_mom WHERE variance > 0.016::DOUBLE", "emb_mom"))
+def variance_selected(spark, sf_dir):
+    kept = selection.select_features(scores.variance_scores(emb_moments(spark, sf_dir)), "threshold", 0.016)
+    return six(kept, "score")
+
+
+@query(sql(f"""SELECT cohort, seed, feature, {r6('variance')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed ORDER BY round(variance, 9) DESC, feature) AS rn FROM emb_mom) WHERE rn <= 10""", "emb_mom"))
+def top_variance(spark, sf_dir):
+    best = selection.top_k(scores.variance_scores(emb_moments(spark, sf_dir)), 10, higher_index_wins=False)
+    return six(best, "score")
+
+
+# ---- sparse matrix ----------------------------------------------------------------------------
+
+def doc_moments(spark, sf_dir):
+    samples = fx.doc_samples(spark, sf_dir)
+    split = splits.stratified_split(samples, fx.SEEDS)
+    stats = moments.feature_stats(fx.doc_matrix(spark, sf_dir), split, fx.SEEDS, samples)
+    return moments.feature_moments(stats, moments.class_sizes(split))
+
+
+DOC_F = """SELECT cohort, seed, feature, n, k, tokens, CASE WHEN k < 2 OR n <= k OR hi = lo THEN NULL WHEN within_ss <= 1e-12 THEN 'inf'::DOUBLE
+  ELSE (between_ss / (k - 1)) / (within_ss / (n - k)) END AS score, (between_ss + within_ss) / n AS variance, hi > lo AS varies FROM (
+  SELECT s.cohort, s.seed, s.feature, t.n, t.k, sum(s.present) AS tokens, sum(q) - sum(s.s * s.s / c.size) AS within_ss,
+    sum(s.s * s.s / c.size) - sum(s.s) * sum(s.s) / t.n AS between_ss,
+    CASE WHEN sum(s.present) = t.n THEN min(lo) ELSE least(min(lo), 0) END AS lo, CASE WHEN sum(s.present) = t.n THEN max(hi) ELSE greatest(max(hi), 0) END AS hi
+  FROM (SELECT p.cohort, p.seed, p.label, x.feature, count(*) AS present, sum(x.value) AS s, sum(x.value * x.value) AS q, min(x.value) AS lo, max(x.value) AS hi
+    FROM doc_split p JOIN doc_cells x ON p.cohort = x.cohort AND p.sample_id = x.sample_id WHERE p.part = 'train' GROUP BY ALL) s
+  JOIN (SELECT cohort, seed, label, count(*) AS size FROM doc_split WHERE part = 'train' GROUP BY ALL) c
+    ON s.cohort = c.cohort AND s.seed = c.seed AND s.label = c.label
+  JOIN (SELECT cohort, seed, count(*) AS n, count(DISTINCT label) AS k FROM doc_split WHERE part = 'train' GROUP BY ALL) t
+    ON s.cohort = t.cohort AND s.seed = t.seed GROUP BY s.cohort, s.seed, s.feature, t.n, t.k)"""
+from checks.oracles import cte  # noqa: E402
+
+cte("doc_f", DOC_F, "doc_split", "doc_cells")
+
+
+@query(sql(f"SELECT cohort, seed, feature, {r6('score')} AS score FROM doc_f", "doc_f"))
+def anova_f_sparse(spark, sf_dir):
+    return six(scores.anova_scores(doc_moments(spark, sf_dir)), "score")
+
+
+@query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed ORDER BY round(score, 6) DESC NULLS LAST, feature DESC) AS rn FROM doc_f) WHERE rn <= 2000""", "doc_f"))
+def anova_top_k_sparse(spark, sf_dir):
+    best = selection.top_k(scores.anova_scores(doc_moments(spark, sf_dir)), 2000, buckets=16, digits=6)
+    return six(best, "score")
+
+
+@query(sql("""SELECT cohort, seed, CAST(t AS DOUBLE) AS threshold, count(*) AS n_features_total,
+  count(*) FILTER (WHERE variance > CAST(t AS DOUBLE)) AS n_features
+  FROM doc_f, (SELECT unnest(['0.05', '0.10', '0.25', '0.50', '0.75']) AS t) GROUP BY ALL""", "doc_f"))
+def variance_sweep_sparse(spark, sf_dir):
+    return scores.variance_sweep(doc_moments(spark, sf_dir), [0.05, 0.10, 0.25, 0.50, 0.75])
+
+
+@query(sql("""SELECT f.cohort, f.seed, (SELECT count(DISTINCT feature) FROM doc_cells) AS n_features_total,
+  count(*) FILTER (WHERE varies) AS n_varying FROM doc_f f GROUP BY 1, 2""", "doc_f", "doc_cells"))
+def constant_features(spark, sf_dir):
+    # a token that no training document holds is constant too: it has no row in the moments
+    total = fx.doc_matrix(spark, sf_dir).groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
+    kept = scores.varying_features(doc_moments(spark, sf_dir)).groupBy("cohort", "seed").agg(F.count("*").alias("n_varying"))
+    return kept.join(total, "cohort").select("cohort", "seed", "n_features_total", "n_varying")
+
+
+# ---- masks over a score table -----------------------------------------------------------------
+
+@query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score FROM (SELECT *, avg(score) OVER (PARTITION BY cohort, seed) AS m FROM emb_f)
+  WHERE score > m""", "emb_f"))
+def select_gt_mean(spark, sf_dir):
+    return six(selection.select_features(scores.anova_scores(emb_moments(spark, sf_dir)), "gt_mean"), "score")
+
+
+@query(sql("SELECT cohort, seed, feature, floor(score) AS score FROM emb_f WHERE floor(score) <> 0", "emb_f"))
+def select_nonzero(spark, sf_dir):
+    whole = scores.anova_scores(emb_moments(spark, sf_dir)).withColumn("score", F.floor("score").cast("double"))
+    return selection.select_features(whole, "nonzero")
+
+
+@query(sql("""SELECT cohort, seed, string_agg(feature, ';' ORDER BY rn) AS features, count(*) AS n_features
+  FROM emb_anova_rank WHERE rn <= 20 GROUP BY 1, 2""", "emb_anova_rank"))
+def feature_list_string(spark, sf_dir):
+    best = selection.top_k(scores.anova_scores(emb_moments(spark, sf_dir)), 20)
+    return selection.feature_list(best, ["cohort", "seed"])
+
+
+@query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature) AS rn FROM emb_f) WHERE rn <= 50""", "emb_f"))
+def top_n_features(spark, sf_dir):
+    return six(selection.top_k(scores.anova_scores(emb_moments(spark, sf_dir)), 50, higher_index_wins=False), "score")
+
+
+# ---- imputation, fractions, scaling, projection -----------------------------------------------
+
+def hour_inputs(spark, sf_dir):
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
+    matrix = align.average_duplicates(fx.evt_hour_readings(spark, sf_dir))
+    samples = align.common_samples(matrix, labels)
+    return matrix, labels, samples, splits.stratified_split(samples, fx.SEEDS)
+
+
+cte("hour_train", f"""SELECT s.cohort, s.seed, s.sample_id, s.label, c.feature, c.value FROM hour_split s
+  JOIN hour_cells c ON {on('s', 'c', 'cohort, sample_id')} WHERE s.part = 'train'""", "hour_split", "hour_cells")
+cte("hour_median", "SELECT cohort, seed, feature, quantile_cont(value, 0.5) AS fill FROM hour_train GROUP BY ALL", "hour_train")
+cte("hour_dense", f"""SELECT s.cohort, s.seed, s.sample_id, s.label, s.part, m.feature, coalesce(c.value, m.fill) AS value, c.value IS NULL AS imputed
+  FROM hour_split s JOIN hour_median m ON {on('s', 'm', 'cohort, seed')}
+  LEFT JOIN hour_cells c ON {on('c', 's', 'cohort, sample_id')} AND c.feature = m.feature""", "hour_split", "hour_median", "hour_cells")
+cte("hour_f", f"""SELECT s.cohort, s.seed, s.feature, (sum(s.n * (s.mean - g.mean) * (s.mean - g.mean)) / (count(*) - 1))
+    / (sum(s.m2) / (sum(s.n) - count(*))) AS score
+  FROM (SELECT cohort, seed, feature, label, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS m2 FROM hour_dense WHERE part = 'train' GROUP BY ALL) s
+  JOIN (SELECT cohort, seed, feature, avg(value) AS mean FROM hour_dense WHERE part = 'train' GROUP BY ALL) g ON {on('s', 'g', 'cohort, seed, feature')}
+  GROUP BY ALL""", "hour_dense")
+
+
+@query(sql(f"SELECT cohort, seed, feature, {r6('fill')} AS fill FROM hour_median", "hour_median"))
+def train_medians(spark, sf_dir):
+    matrix, _, _, split = hour_inputs(spark, sf_dir)
+    return six(prepare.train_medians(matrix, split), "fill")
+
+
+@query(sql(f"SELECT cohort, seed, sample_id, part, feature, {r6('value')} AS value, imputed FROM hour_dense", "hour_dense"))
+def median_impute(spark, sf_dir):
+    matrix, _, _, split = hour_inputs(spark, sf_dir)
+    return six(prepare.median_impute(matrix, split, prepare.train_medians(matrix, split)), "value")
+
+
+@query(sql(f"""SELECT cohort, seed, fraction, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT f.*, t.fraction, row_number() OVER (PARTITION BY cohort, seed, fraction ORDER BY round(score, 9) DESC, feature DESC) AS rn,
+    count(*) OVER (PARTITION BY cohort, seed, fraction) AS width
+  FROM hour_f f, (SELECT unnest([0.01::DOUBLE, 0.05, 0.10, 0.25, 0.50]) AS fraction) t)
+  WHERE rn <= greatest(1, floor(width * fraction))""", "hour_f"))
+def kbest_fraction(spark, sf_dir):
+    matrix, labels, _, split = hour_inputs(spark, sf_dir)
+    stats = moments.feature_stats(matrix, split, fx.SEEDS, labels)
+    filled = moments.feature_moments(stats, moments.class_sizes(split), prepare.train_medians(matrix, split))
+    best = selection.top_fraction(scores.anova_scores(filled), [0.01, 0.05, 0.10, 0.25, 0.50])
+    return six(best.select("cohort", "seed", "fraction", "feature", "score", "rank"), "score")
+
+
+@query(sql(f"""SELECT c.cohort, m.seed, c.sample_id, c.feature, {r6('(c.value - m.mean) / CASE WHEN m.variance = 0 THEN 1 ELSE sqrt(m.variance) END')} AS scaled
+  FROM emb_cells c JOIN emb_mom m ON {on('c', 'm', 'cohort, feature')}""", "emb_cells", "emb_mom"))
+def standard_scale(spark, sf_dir):
+    scaled = prepare.standard_scale(fx.emb_matrix(spark, sf_dir), emb_moments(spark, sf_dir))
+    return six(scaled.select("cohort", "seed", "sample_id", "feature", "scaled"), "scaled")
+
+
+@query(sql(f"""SELECT c.cohort, a.seed, c.sample_id, c.feature, {r6('c.value')} AS value FROM emb_cells c
+  JOIN emb_anova_rank a ON {on('c', 'a', 'cohort, feature')} WHERE a.rn <= 20""", "emb_cells", "emb_anova_rank"))
+def project_features(spark, sf_dir):
+    best = selection.top_k(scores.anova_scores(emb_moments(spark, sf_dir)), 20).select("cohort", "seed", "feature")
+    projected = selection.project_features(fx.emb_matrix(spark, sf_dir), best)
+    return six(projected.select("cohort", "seed", "sample_id", "feature", "value"), "value")
+
+
+@query(sql("""SELECT cohort, sample_id, label, len(list(feature)) AS width, round(list_sum(list(value ORDER BY feature)), 6) AS total,
+  round(list_dot_product(list(value ORDER BY feature), list(CAST(CAST(substr(feature, 2) AS INTEGER) + 1 AS DOUBLE) ORDER BY feature)), 6) AS weighted
+  FROM emb_cells GROUP BY 1, 2, 3""", "emb_cells"))
+def assemble_vectors(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+    cells = align.align(fx.emb_matrix(spark, sf_dir), fx.emb_samples(spark, sf_dir))
+    rows = prepare.assemble(cells, ["cohort", "sample_id", "label"], "value").withColumn("a", vector_to_array("features"))
+    weighted = F.aggregate(F.transform("a", lambda x, i: x * (i + 1)), F.lit(0.0), lambda acc, x: acc + x)
+    return rows.select("cohort", "sample_id", "label", F.size("a").cast("bigint").alias("width"),
+                       rounded(F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x)).alias("total"),
+                       rounded(weighted).alias("weighted"))
+
+
+# ---- probabilities ----------------------------------------------------------------------------
+
+def one_scores(spark, sf_dir):
+    samples, matrix = fx.emb_samples(spark, sf_dir), fx.emb_matrix(spark, sf_dir)
+    split = splits.stratified_split(samples, fx.SEEDS)
+    return fx.centroid_scores(matrix, split, moments.feature_stats(matrix, split, fx.SEEDS, samples))
+
+
+def one_predictions(spark, sf_dir):
+    return metrics.predictions_from_scores(one_scores(spark, sf_dir), metrics.RUN_KEYS)
+
+
+# broken probabilities derived from the scores: best class +inf or NaN, worst two NaN and -inf
+cte("one_broken", f"""SELECT {RUN}, sample_id, class, CASE WHEN rn = 1 AND class = '0' THEN 'nan'::DOUBLE WHEN rn = 1 THEN 'inf'::DOUBLE
+    WHEN rn = 10 THEN 'nan'::DOUBLE WHEN rn = 9 THEN '-inf'::DOUBLE WHEN best = '0' THEN 0 ELSE p END AS p FROM (
+  SELECT *, row_number() OVER (PARTITION BY {RUN}, sample_id ORDER BY score DESC, class) AS rn,
+    first_value(class) OVER (PARTITION BY {RUN}, sample_id ORDER BY score DESC, class) AS best FROM one_prob)""", "one_prob")
+cte("one_clean", f"""SELECT {RUN}, sample_id, class, CASE WHEN isnan(p) THEN 0 WHEN p = 'inf'::DOUBLE THEN 1 WHEN p = '-inf'::DOUBLE THEN 0 ELSE p END AS p
+  FROM one_broken""", "one_broken")
+
+
+def broken_probabilities(spark, sf_dir):
+    from pyspark.sql import Window
+    long = metrics.softmax_scores(one_scores(spark, sf_dir), metrics.RUN_KEYS)
+    order = Window.partitionBy(*metrics.RUN_KEYS, "sample_id").orderBy(F.col("score").desc(), "class")
+    ranked = long.withColumn("rn", F.row_number().over(order)).withColumn("best", F.first("class").over(order))
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    broken = (F.when((F.col("rn") == 1) & (F.col("class") == "0"), nan).when(F.col("rn") == 1, inf)
+              .when(F.col("rn") == 10, nan).when(F.col("rn") == 9, -inf).when(F.col("best") == "0", 0.0).otherwise(F.col("p")))
+    return ranked.select(*metrics.RUN_KEYS, "sample_id", "class", broken.alias("p"))
+
+
+@query(sql(f"SELECT {RUN}, sample_id, class, {r6('p')} AS p FROM one_clean", "one_clean"))
+def proba_cleanup(spark, sf_dir):
+    return six(metrics.clean_probabilities(broken_probabilities(spark, sf_dir)), "p")
+
+
+@query(sql(f"""SELECT {RUN}, sample_id, class, {r6('p / CASE WHEN t = 0 THEN 1 ELSE t END')} AS p FROM (
+  SELECT *, sum(p) OVER (PARTITION BY {RUN}, sample_id) AS t FROM one_clean)""", "one_clean"))
+def proba_normalise(spark, sf_dir):
+    clean = metrics.clean_probabilities(broken_probabilities(spark, sf_dir))
+    return six(metrics.normalise_probabilities(clean, metrics.RUN_KEYS), "p")
+
+
+@query(sql(f"SELECT {RUN}, sample_id, class, {r6('score')} AS score, {r6('p')} AS p FROM one_prob", "one_prob"))
+def softmax_scores(spark, sf_dir):
+    long = metrics.softmax_scores(one_scores(spark, sf_dir), metrics.RUN_KEYS)
+    return six(long.select(*metrics.RUN_KEYS, "sample_id", "class", "score", "p"), "score", "p")
+
+
+# ---- evaluation -------------------------------------------------------------------------------
+
+@query(sql(f"SELECT {RUN}, {r6s('accuracy', 'macro_f1', 'weighted_f1', 'macro_recall', 'weighted_recall')}, n_test FROM one_met", "one_met"))
+def run_metrics(spark, sf_dir):
+    return six(metrics.run_metrics(one_predictions(spark, sf_dir)),
+               "accuracy", "macro_f1", "weighted_f1", "macro_recall", "weighted_recall")
+
+
+@query(sql(f"SELECT {RUN}, class, n_pos, n_neg, {r6s('auc')} FROM one_auc", "one_auc"))
+def roc_auc_ovr(spark, sf_dir):
+    return six(metrics.class_auc(one_predictions(spark, sf_dir)), "auc")
+
+
+@query(sql(f"SELECT {RUN}, {r6s('roc_auc_macro', 'roc_auc_weighted')} FROM one_avgauc", "one_avgauc"))
+def roc_auc_macro_weighted(spark, sf_dir):
+    return six(metrics.average_auc(metrics.class_auc(one_predictions(spark, sf_dir))), "roc_auc_macro", "roc_auc_weighted")
+
+
+@query(f"""SELECT cohort, n_pos, n_neg, {r6('CASE WHEN n_pos > 0 AND n_neg > 0 THEN (ranks - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos * n_neg) END')} AS auc FROM (
+  SELECT cohort, count(*) FILTER (WHERE quality = 1) AS n_pos, count(*) FILTER (WHERE quality <> 1) AS n_neg,
+    sum(CASE WHEN quality = 1 THEN first_rank + (ties - 1) / 2.0::DOUBLE END) AS ranks FROM (
+      SELECT d.lang AS cohort, l.quality, rank() OVER (PARTITION BY d.lang ORDER BY d.n_chars) AS first_rank,
+        count(*) OVER (PARTITION BY d.lang, d.n_chars) AS ties
+      FROM documents d JOIN labels l ON d.doc_id = l.doc_id) GROUP BY cohort)""")
+def roc_auc_binary(spark, sf_dir):
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    scored = docs.join(fx.table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").select(
+        F.col("lang").alias("cohort"), (F.col("quality") == 1).alias("positive"), F.col("n_chars").cast("double").alias("score"))
+    return six(metrics.score_auc(scored, ["cohort"], buckets=8), "auc")
+
+
+@query(sql(f"""SELECT g.*, coalesce(c.n, 0) AS n FROM (SELECT a.*, b.class AS prediction FROM
+    (SELECT {RUN}, class AS label FROM one_class) a JOIN one_class b ON {on('a', 'b', RUN)}) g
+  LEFT JOIN one_conf c ON {on('g', 'c', RUN + ', label, prediction')}""", "one_class", "one_conf"))
+def confusion(spark, sf_dir):
+    return metrics.confusion_matrix(one_predictions(spark, sf_dir))
+
+
+cte("sum_class", "SELECT DISTINCT cohort, class FROM one_class", "one_class")
+
+
+@query(sql("""SELECT g.*, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT a.cohort, a.class AS label, b.class AS prediction FROM sum_class a JOIN sum_class b ON a.cohort = b.cohort) g
+  LEFT JOIN (SELECT cohort, label, prediction, sum(n) AS n FROM one_conf GROUP BY ALL) c
+    ON g.cohort = c.cohort AND g.label = c.label AND g.prediction = c.prediction""", "sum_class", "one_conf"))
+def confusion_summed(spark, sf_dir):
+    return metrics.confusion_matrix(one_predictions(spark, sf_dir), ["cohort"])
+
+
+@query(sql("SELECT cohort, label, " + ", ".join(
+    f"sum(CASE WHEN prediction = '{c}' THEN n ELSE 0 END)::BIGINT AS \"{c}\"" for c in range(10)) + " FROM one_conf GROUP BY 1, 2", "one_conf"))
+def confusion_wide(spark, sf_dir):
+    return metrics.confusion_wide(one_predictions(spark, sf_dir), [str(c) for c in range(10)], ["cohort"])
+
+
+@query(sql(f"""SELECT {RUN}, class, {r6s('"precision"', 'recall', 'f1').replace('AS "precision"', 'AS precision')}, support FROM one_class
+  UNION ALL SELECT {RUN}, 'accuracy', NULL, NULL, {r6('accuracy')}, n_test FROM one_met
+  UNION ALL SELECT {RUN}, 'macro avg', {r6('avg("precision")')}, {r6('avg(recall)')}, {r6('avg(f1)')}, sum(support)::BIGINT FROM one_class GROUP BY ALL
+  UNION ALL SELECT {RUN}, 'weighted avg', {r6('sum("precision" * support) / sum(support)')}, {r6('sum(recall * support) / sum(support)')},
+    {r6('sum(f1 * support) / sum(support)')}, sum(support)::BIGINT FROM one_class GROUP BY ALL""", "one_class", "one_met"))
+def class_report(spark, sf_dir):
+    return six(metrics.class_report(one_predictions(spark, sf_dir)), "precision", "recall", "f1")
+
+
+# ---- run table and reports --------------------------------------------------------------------
+
+M7 = reports.METRICS
+RUN_COLUMNS = ("cohort, method, param, seed, run_id, n_features_total, n_features, " + r6s(*M7)
+               + ", train_time_s, run_time_s, status")
+
+
+@query(sql(f"SELECT {RUN_COLUMNS} FROM runs", "runs"))
+def run_table(spark, sf_dir):
+    return six(fx.run_table(spark, sf_dir), *M7)
+
+
+@query(sql(f"SELECT cohort, param, seed, n_features, {r6s(*M7)} FROM runs WHERE method = 'variance'", "runs"))
+def sweep_series(spark, sf_dir):
+    return six(reports.sweep_series(fx.run_table(spark, sf_dir), "variance"), *M7)
+
+
+cte("runs_long", "SELECT cohort, method, param, seed, run_id, metric, value FROM (" + " UNION ALL ".join(
+    f"SELECT cohort, method, param, seed, run_id, '{m}' AS metric, {m} AS value FROM runs" for m in M7) + ")", "runs")
+
+
+@query(sql(f"SELECT cohort, method, param, run_id, metric, {r6('value')} AS value FROM runs_long", "runs_long"))
+def per_run_series(spark, sf_dir):
+    return six(reports.per_run_series(fx.run_table(spark, sf_dir)), "value")
+
+
+AGGREGATED = [*M7, *reports.TIMES, "n_features"]
+
+
+def aggregate_columns(std: str = "{}") -> str:
+    kinds = (("mean", "avg({})"), ("std", std.format("stddev_samp({})")), ("min", "min({})"), ("max", "max({})"))
+    return ", ".join(f"{r6(call.format(m))} AS {m}_{kind}" for m in AGGREGATED for kind, call in kinds)
+
+
+def rounded_summary(summary):
+    return summary.select([rounded(f.name).alias(f.name) if f.dataType.simpleString() == "double"
+                           else F.col(f.name) for f in summary.schema.fields])
+
+
+def feature_bounds_as_double(summary):
+    return summary.withColumns({f"n_features_{k}": F.col(f"n_features_{k}").cast("double") for k in ("min", "max")})
+
+
+@query(sql(f"SELECT cohort, method, param, {aggregate_columns()}, count(DISTINCT run_id) AS n_runs, count(*) AS n_rows FROM (SELECT * REPLACE (n_features::DOUBLE AS n_features) FROM runs) GROUP BY 1, 2, 3", "runs"))
+def aggregate_runs(spark, sf_dir):
+    return rounded_summary(feature_bounds_as_double(reports.aggregate_runs(fx.run_table(spark, sf_dir))))
+
+
+@query(sql(f"SELECT cohort, method, param, seed, {aggregate_columns('coalesce({}, 0)')}, count(DISTINCT run_id) AS n_runs, count(*) AS n_rows FROM (SELECT * REPLACE (n_features::DOUBLE AS n_features) FROM runs) GROUP BY 1, 2, 3, 4", "runs"))
+def aggregate_runs_reported(spark, sf_dir):
+    single = reports.aggregate_runs(fx.run_table(spark, sf_dir), [*reports.SETTING, "seed"])
+    return rounded_summary(feature_bounds_as_double(reports.reported(single)))
+
+
+@query(sql("SELECT cohort, method, " + ", ".join(f"{r6(f'avg({m})')} AS {m}_mean, {r6(f'stddev_samp({m})')} AS {m}_std"
+                                                 for m in [*M7, "n_features", "train_time_s"]) + " FROM runs GROUP BY 1, 2", "runs"))
+def mean_std_runs(spark, sf_dir):
+    return rounded_summary(reports.mean_std(fx.run_table(spark, sf_dir)))
+
+
+@query(sql(f"""SELECT cohort, metric, count(value) AS count, {r6('avg(value)')} AS mean, {r6('stddev_samp(value)')} AS std, {r6('min(value)')} AS min,
+  {r6('quantile_cont(value, 0.25)')} AS p25, {r6('quantile_cont(value, 0.5)')} AS p50, {r6('quantile_cont(value, 0.75)')} AS p75, {r6('max(value)')} AS max
+  FROM runs_long GROUP BY 1, 2""", "runs_long"))
+def describe_runs(spark, sf_dir):
+    return rounded_summary(reports.describe_runs(fx.run_table(spark, sf_dir)))
+
+
+@query(sql(f"""SELECT cohort, method, {r6('sum(train_time_s)')} AS train_time_s_total, {r6('sum(run_time_s)')} AS run_time_s_total, count(*) AS n_rows
+  FROM runs GROUP BY 1, 2""", "runs"))
+def total_times(spark, sf_dir):
+    return rounded_summary(reports.total_times(fx.run_table(spark, sf_dir)))
+
+
+@query(sql(f"""SELECT method, cohort, metric, {r6('avg(value)')} AS mean, {r6('stddev_samp(value)')} AS std, {r6('min(value)')} AS min, {r6('max(value)')} AS max
+  FROM runs_long GROUP BY 1, 2, 3""", "runs_long"))
+def summary_long(spark, sf_dir):
+    return rounded_summary(reports.summary_long(fx.run_table(spark, sf_dir)))
+
+
+@query(sql(f"SELECT method, metric, {r6('avg(value)')} AS mean, {r6('stddev_pop(value)')} AS std_pop FROM runs_long GROUP BY 1, 2", "runs_long"))
+def pooled_methods(spark, sf_dir):
+    return rounded_summary(reports.compare_methods(fx.run_table(spark, sf_dir), by_cohort=False))
+
+
+@query(sql(f"SELECT cohort, method, metric, {r6('avg(value)')} AS mean, {r6('stddev_pop(value)')} AS std_pop FROM runs_long GROUP BY 1, 2, 3", "runs_long"))
+def cohort_methods(spark, sf_dir):
+    return rounded_summary(reports.compare_methods(fx.run_table(spark, sf_dir), by_cohort=True))
+
+
+@query(sql(f"""SELECT c.cohort, m.method, {r6('coalesce(avg(r.n_features), 0)')} AS n_features FROM (SELECT DISTINCT cohort FROM runs) c,
+  (SELECT unnest(['anova', 'baseline', 'forward', 'variance']) AS method) m LEFT JOIN runs r ON r.cohort = c.cohort AND r.method = m.method GROUP BY 1, 2""", "runs"))
+def feature_counts(spark, sf_dir):
+    return rounded_summary(reports.feature_counts(fx.run_table(spark, sf_dir), ["anova", "baseline", "forward", "variance"]))
+
+
+@query(sql("SELECT cohort, method, criterion, param, seed, " + r6("value") + """ AS value FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, method, criterion ORDER BY CASE WHEN criterion = 'run_time_s' THEN value ELSE -value END, param, seed) AS rn FROM (""" + " UNION ALL ".join(
+    f"SELECT cohort, method, param, seed, '{c}' AS criterion, round({c}, 9) AS value FROM runs WHERE {c} IS NOT NULL"
+    for c in ("accuracy", "macro_f1", "roc_auc_macro", "run_time_s")) + ")) WHERE rn = 1", "runs"))
+def best_setting(spark, sf_dir):
+    runs = fx.run_table(spark, sf_dir).withColumns({c: rounded(c, 9) for c in ("accuracy", "macro_f1", "roc_auc_macro")})
+    return rounded_summary(reports.best_setting(runs))
+
+
+@query(sql(f"SELECT {RUN_COLUMNS} FROM runs WHERE (cohort IN ('C0', 'C1') AND method = 'anova') OR (cohort NOT IN ('C0', 'C1') AND method <> 'anova')", "runs"))
+def merge_old_new_runs(spark, sf_dir):
+    runs = fx.run_table(spark, sf_dir)
+    new = runs.where((F.col("method") == "anova") & F.col("cohort").isin("C0", "C1"))
+    merged = reports.prefer_new(new, runs.where(F.col("method") != "anova"))
+    return six(merged.select(*runs.columns), *M7)
+
+
+@query(sql(f"""SELECT cohort, CASE method WHEN 'anova' THEN 'ANOVA' WHEN 'variance' THEN 'RandomForest' ELSE method END AS method, param, seed, n_features,
+  {r6s('accuracy', 'macro_f1', 'weighted_f1')}, {r6('roc_auc_macro')} AS roc_auc, run_time_s FROM runs""", "runs"))
+def canonical_methods(spark, sf_dir):
+    old_names = F.when(F.col("method") == "anova", "ANOVA / F-test").when(F.col("method") == "variance", "Random Forest").otherwise(F.col("method"))
+    old = fx.run_table(spark, sf_dir).select(
+        F.col("cohort").alias("Cancer"), old_names.alias("Method"), "param", F.col("seed").alias("Seed"),
+        F.col("n_features").alias("Selected Features"), F.col("accuracy").alias("Accuracy"), F.col("macro_f1").alias("Macro F1"),
+        F.col("weighted_f1").alias("Weighted F1"), F.col("roc_auc_macro").alias("ROC-AUC"), F.col("run_time_s").alias("Runtime (s)"))
+    return six(reports.canonical(old), "accuracy", "macro_f1", "weighted_f1", "roc_auc")

@@ -78,3 +78,75 @@ def evt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("USER-"), F.lpad(F.col("user_id").cast("string"), 7, "0"), F.lit("-"),
                  F.col("event_id").cast("string")).alias("barcode"),
         F.col("event_id").alias("file_pos"), F.col("c_mktsegment").alias("label"))
+
+
+def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several label rows per patient, in file order, some incomplete: one per order of a customer."""
+    return table(spark, sf_dir, "orders").select(
+        F.lit("E").alias("cohort"),
+        F.concat(F.lit("USER-"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.lit("-"),
+                 F.col("o_orderkey").cast("string")).alias("barcode"),
+        F.col("o_orderkey").alias("file_pos"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("label"))
+
+
+# ---- a deterministic predictor, so that evaluation can be compared row by row -----------------
+
+FEATURE_SETS = {"anova": ["k=10", "k=20"], "baseline": ["all"],
+                "variance": ["tau=0.015", "tau=0.016", "tau=0.017"]}
+
+
+def feature_sets(feature_moments: DataFrame) -> DataFrame:
+    """(cohort, seed, method, param, feature) for every method and param of FEATURE_SETS."""
+    from widesift.operators import scores, selection
+
+    everything = scores.variance_scores(feature_moments)
+    anova = selection.ranked_scores(scores.anova_scores(feature_moments))
+    picked = [everything.select("cohort", "seed", "feature", F.array(F.struct(
+        F.lit("baseline").alias("method"), F.lit("all").alias("param"))).alias("sets")),
+        anova.select("cohort", "seed", "feature", F.array(*[
+            F.when(F.col("rank") <= int(p[2:]), F.struct(F.lit("anova").alias("method"), F.lit(p).alias("param")))
+            for p in FEATURE_SETS["anova"]]).alias("sets")),
+        everything.select("cohort", "seed", "feature", F.array(*[
+            F.when(F.col("score") > float(p[4:]), F.struct(F.lit("variance").alias("method"), F.lit(p).alias("param")))
+            for p in FEATURE_SETS["variance"]]).alias("sets"))]
+    union = picked[0].unionByName(picked[1]).unionByName(picked[2])
+    return (union.select("cohort", "seed", "feature", F.explode(F.array_compact("sets")).alias("s"))
+            .select("cohort", "seed", "s.method", "s.param", "feature"))
+
+
+def centroid_scores(matrix: DataFrame, split: DataFrame, stats: DataFrame,
+                    sets: DataFrame | None = None) -> DataFrame:
+    """Minus the squared distance of every test sample to every class mean, over each feature set."""
+    test = split.where(F.col("part") == "test").select("cohort", "seed", "sample_id", "label")
+    means = stats.groupBy("cohort", "seed", "feature").agg(
+        F.collect_list(F.struct(F.col("label").alias("class"), "mean")).alias("means"))
+    if sets is None:
+        means = means.withColumn("method", F.lit("baseline")).withColumn("param", F.lit("all"))
+    else:
+        means = means.join(sets, ["cohort", "seed", "feature"])
+    cells = matrix.join(test, ["cohort", "sample_id"]).join(means, ["cohort", "seed", "feature"])
+    gap = F.col("value") - F.col("m.mean")
+    return (cells.select("cohort", "seed", "method", "param", "sample_id", "label", "value",
+                         F.explode("means").alias("m"))
+            .groupBy("cohort", "seed", "method", "param", "sample_id", "label", F.col("m.class").alias("class"))
+            .agg((-F.round(F.sum(gap * gap), 9)).alias("score")))
+
+
+def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from widesift.operators import metrics, moments, reports, splits
+
+    samples, matrix = emb_samples(spark, sf_dir), emb_matrix(spark, sf_dir)
+    split = splits.stratified_split(samples, SEEDS)
+    stats = moments.feature_stats(matrix, split, SEEDS, samples)
+    summary = moments.feature_moments(stats)
+    sets = feature_sets(summary)
+    scores = centroid_scores(matrix, split, stats, sets)
+    results = metrics.evaluate(metrics.predictions_from_scores(scores, metrics.RUN_KEYS))
+    width = summary.groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
+    grid = splits.job_grid(samples, SEEDS, FEATURE_SETS)
+    counts = sets.groupBy(*metrics.RUN_KEYS).agg(F.count("*").alias("c"))
+    # stand-in times: functions of the feature count, so that both engines have the same ones
+    times = counts.select(*metrics.RUN_KEYS, (F.col("c") * 0.25).alias("train_time_s"),
+                          (F.col("c") * 0.5).alias("run_time_s"))
+    return reports.run_records(grid, sets, results, width, times)

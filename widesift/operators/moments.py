@@ -34,8 +34,8 @@ def _train_masks(splits: DataFrame, seeds: Sequence[int]) -> DataFrame:
     position = "shiftleft(1L, cast(array_position(array({}), seed) - 1 as int))".format(
         ",".join(str(int(s)) for s in seeds))
     return (splits.where((F.col("part") == "train") & F.col("seed").isin([int(s) for s in seeds]))
-            .groupBy("cohort", "sample_id")
-            .agg(F.any_value("label").alias("label"), F.bit_or(F.expr(position)).alias("_mask")))
+            .groupBy("cohort", "sample_id", "label")
+            .agg(F.bit_or(F.expr(position)).alias("_mask")))
 
 
 def feature_stats(matrix: DataFrame, splits: DataFrame, seeds: Sequence[int],

@@ -23,6 +23,8 @@ def build_session(app: str = "widesift", master: str | None = None, **conf: str)
         # row_number() <= k is cut to k rows per map task before the shuffle up to this k
         "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
         "spark.ui.enabled": "false",
+        # skips the Python call-site lookup on every column expression
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | conf
     builder = SparkSession.builder.appName(app)
     if master:
