@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import fixtures as fx
 from checks.oracles import RUN, on, r6, sql
 from widesift.functions.columns import rounded
-from widesift.operators import align, metrics, moments, prepare, reports, scores, selection, splits
+from widesift.operators import align, forward, information, metrics, moments, prepare, reports, scores, selection, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -570,3 +570,81 @@ def canonical_methods(spark, sf_dir):
         F.col("n_features").alias("Selected Features"), F.col("accuracy").alias("Accuracy"), F.col("macro_f1").alias("Macro F1"),
         F.col("weighted_f1").alias("Weighted F1"), F.col("roc_auc_macro").alias("ROC-AUC"), F.col("run_time_s").alias("Runtime (s)"))
     return six(reports.canonical(old), "accuracy", "macro_f1", "weighted_f1", "roc_auc")
+
+
+# ---- mutual information -----------------------------------------------------------------------
+
+cte("mi_points", f"""SELECT *, value + 1e-10::DOUBLE * greatest(1.0::DOUBLE, avg(abs(value)) OVER (PARTITION BY cohort, seed, feature))
+    * (CAST(('0x' || substr(md5(sample_id), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE) AS x FROM (
+  SELECT *, count(*) OVER (PARTITION BY cohort, seed, feature, label) AS class_size FROM emb_train)""", "emb_train")
+cte("mi_radius", f"""SELECT cohort, seed, feature, sample_id, x, class_size, k, list_sort(distances)[k] AS r FROM (
+  SELECT p.cohort, p.seed, p.feature, p.sample_id, p.x, p.class_size, least(3, p.class_size - 1) AS k, list(abs(p.x - q.x)) AS distances
+  FROM mi_points p JOIN mi_points q ON {on('p', 'q', 'cohort, seed, feature, label')} AND p.sample_id <> q.sample_id
+  WHERE p.class_size > 1 GROUP BY ALL)""", "mi_points")
+cte("mi_count", f"""SELECT p.cohort, p.seed, p.feature, p.sample_id, p.class_size, p.k, count(*) AS m
+  FROM mi_radius p JOIN mi_radius q ON {on('p', 'q', 'cohort, seed, feature')} AND abs(p.x - q.x) < p.r GROUP BY ALL""", "mi_radius")
+cte("mi_psi", """SELECT n, coalesce(sum(1.0::DOUBLE / (n - 1)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS psi
+  FROM (SELECT unnest(range(2, (SELECT count(*) + 2 FROM embeddings))) AS n)""")
+cte("mi_psi1", "SELECT 1 AS n, 0.0::DOUBLE AS psi UNION ALL SELECT n, psi FROM mi_psi", "mi_psi")
+cte("mi_score", """SELECT c.cohort, c.seed, c.feature, greatest(0, any_value(t.psi) + avg(a.psi) - avg(b.psi) - avg(d.psi)) AS score
+  FROM mi_count c JOIN (SELECT cohort, seed, feature, count(*) AS n FROM mi_count GROUP BY ALL) g
+    ON c.cohort = g.cohort AND c.seed = g.seed AND c.feature = g.feature
+  JOIN mi_psi1 t ON t.n = g.n JOIN mi_psi1 a ON a.n = c.k JOIN mi_psi1 b ON b.n = c.class_size JOIN mi_psi1 d ON d.n = c.m
+  GROUP BY ALL""", "mi_count", "mi_psi1")
+
+
+def emb_information(spark, sf_dir, buckets=1):
+    split = emb_split(spark, sf_dir)
+    return information.mutual_information(prepare.train_cells(fx.emb_matrix(spark, sf_dir), split), buckets)
+
+
+@query(sql(f"SELECT cohort, seed, feature, {r6('score')} AS score FROM mi_score", "mi_score"))
+def mutual_info(spark, sf_dir):
+    return six(emb_information(spark, sf_dir), "score")
+
+
+@query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature DESC) AS rn FROM mi_score) WHERE rn <= 20""", "mi_score"))
+def mutual_info_top_k(spark, sf_dir):
+    return six(selection.top_k(emb_information(spark, sf_dir), 20), "score")
+
+
+# ---- forward selection ------------------------------------------------------------------------
+
+cte("fs_fold", """SELECT cohort, seed, sample_id, label, CAST((rn - 1) % 2 AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed, label ORDER BY md5('fold:' || CAST(seed AS VARCHAR) || ':' || sample_id), sample_id) AS rn
+  FROM emb_split WHERE part = 'train')""", "emb_split")
+cte("fs_fit", f"""SELECT a.cohort, a.seed, a.fold, c.feature, a.label AS class, avg(c.value) AS mean, var_pop(c.value) + 1e-9::DOUBLE AS var
+  FROM (SELECT cohort, seed, sample_id, label, 1 - fold AS fold FROM fs_fold) a JOIN emb_cells c ON {on('a', 'c', 'cohort, sample_id')} GROUP BY ALL""",
+    "fs_fold", "emb_cells")
+cte("fs_prior", """SELECT cohort, seed, fold, class, ln(n / sum(n) OVER (PARTITION BY cohort, seed, fold)) AS lp FROM (
+  SELECT cohort, seed, 1 - fold AS fold, label AS class, count(*)::DOUBLE AS n FROM fs_fold GROUP BY ALL)""", "fs_fold")
+cte("fs_term", f"""SELECT f.cohort, f.seed, f.fold, f.sample_id, f.label, c.feature, m.class,
+    -0.5::DOUBLE * ln(2 * pi() * m.var) - (c.value - m.mean) * (c.value - m.mean) / (2 * m.var) AS term
+  FROM fs_fold f JOIN emb_cells c ON {on('f', 'c', 'cohort, sample_id')} JOIN fs_fit m ON {on('m', 'f', 'cohort, seed, fold')} AND m.feature = c.feature""",
+    "fs_fold", "emb_cells", "fs_fit")
+cte("fs_run0", f"""SELECT f.cohort, f.seed, f.fold, f.sample_id, p.class, p.lp AS total FROM fs_fold f JOIN fs_prior p ON {on('f', 'p', 'cohort, seed, fold')}""",
+    "fs_fold", "fs_prior")
+for step in (1, 2):
+    chosen = "" if step == 1 else f"WHERE NOT EXISTS (SELECT 1 FROM fs_best1 b WHERE {on('b', 't', 'cohort, seed, feature')})"
+    cte(f"fs_pred{step}", f"""SELECT cohort, seed, fold, feature, sample_id, label, class AS prediction FROM (SELECT t.*, row_number() OVER (
+        PARTITION BY t.cohort, t.seed, t.fold, t.feature, t.sample_id ORDER BY round(r.total + t.term, 9) DESC, t.class) AS rn
+      FROM fs_term t JOIN fs_run{step - 1} r ON {on('t', 'r', 'cohort, seed, fold, sample_id, class')} {chosen}) WHERE rn = 1""",
+        "fs_term", f"fs_run{step - 1}", *(["fs_best1"] if step == 2 else []))
+    cte(f"fs_f1_{step}", f"""SELECT cohort, seed, fold, feature, avg(2.0::DOUBLE * tp / (support + predicted)) AS f1 FROM (
+      SELECT cohort, seed, fold, feature, class, sum(tp) AS tp, sum(s) AS support, sum(p) AS predicted FROM (
+        SELECT cohort, seed, fold, feature, label AS class, CASE WHEN label = prediction THEN 1 ELSE 0 END AS tp, 1 AS s, 0 AS p FROM fs_pred{step}
+        UNION ALL SELECT cohort, seed, fold, feature, prediction, 0, 0, 1 FROM fs_pred{step}) GROUP BY ALL) GROUP BY ALL""", f"fs_pred{step}")
+    cte(f"fs_best{step}", f"""SELECT cohort, seed, feature, score FROM (SELECT *, row_number() OVER (PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature) AS rn
+      FROM (SELECT cohort, seed, feature, avg(f1) AS score FROM fs_f1_{step} GROUP BY ALL)) WHERE rn = 1""", f"fs_f1_{step}")
+    cte(f"fs_run{step}", f"""SELECT r.cohort, r.seed, r.fold, r.sample_id, r.class, r.total + t.term AS total FROM fs_run{step - 1} r
+      JOIN fs_term t ON {on('t', 'r', 'cohort, seed, fold, sample_id, class')} JOIN fs_best{step} b ON {on('b', 't', 'cohort, seed, feature')}""",
+        f"fs_run{step - 1}", "fs_term", f"fs_best{step}")
+
+
+@query(sql(f"""SELECT cohort, seed, 1 AS rank, feature, {r6('score')} AS score FROM fs_best1
+  UNION ALL SELECT cohort, seed, 2, feature, {r6('score')} FROM fs_best2""", "fs_best1", "fs_best2"))
+def forward_selection_nb(spark, sf_dir):
+    train = emb_split(spark, sf_dir).where(F.col("part") == "train").drop("part")
+    folds = splits.stratified_folds(train, 2)
+    return six(forward.forward_selection(fx.emb_matrix(spark, sf_dir), folds, steps=2, folds=2), "score")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from widesift.operators import metrics, moments, reports, scores, selection, splits
+from widesift.session import broadcast_if_bounded, cut_lineage
+
 SEEDS = [42, 43, 44, 45, 46]
 
 
@@ -98,8 +101,6 @@ FEATURE_SETS = {"anova": ["k=10", "k=20"], "baseline": ["all"],
 
 def feature_sets(feature_moments: DataFrame) -> DataFrame:
     """(cohort, seed, method, param, feature) for every method and param of FEATURE_SETS."""
-    from widesift.operators import scores, selection
-
     everything = scores.variance_scores(feature_moments)
     anova = selection.ranked_scores(scores.anova_scores(feature_moments))
     picked = [everything.select("cohort", "seed", "feature", F.array(F.struct(
@@ -125,7 +126,8 @@ def centroid_scores(matrix: DataFrame, split: DataFrame, stats: DataFrame,
         means = means.withColumn("method", F.lit("baseline")).withColumn("param", F.lit("all"))
     else:
         means = means.join(sets, ["cohort", "seed", "feature"])
-    cells = matrix.join(test, ["cohort", "sample_id"]).join(means, ["cohort", "seed", "feature"])
+    cells = (matrix.join(broadcast_if_bounded(test), ["cohort", "sample_id"])
+             .join(broadcast_if_bounded(means), ["cohort", "seed", "feature"]))
     gap = F.col("value") - F.col("m.mean")
     return (cells.select("cohort", "seed", "method", "param", "sample_id", "label", "value",
                          F.explode("means").alias("m"))
@@ -134,19 +136,21 @@ def centroid_scores(matrix: DataFrame, split: DataFrame, stats: DataFrame,
 
 
 def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from widesift.operators import metrics, moments, reports, splits
+    """Every feature set of FEATURE_SETS evaluated for every cohort and seed.
 
+    The tables that several later steps read (split, statistics, feature sets, predictions) are written
+    once, as a benchmark run writes them, instead of being derived again by each reader.
+    """
     samples, matrix = emb_samples(spark, sf_dir), emb_matrix(spark, sf_dir)
-    split = splits.stratified_split(samples, SEEDS)
-    stats = moments.feature_stats(matrix, split, SEEDS, samples)
+    split = cut_lineage(splits.stratified_split(samples, SEEDS))
+    stats = cut_lineage(moments.feature_stats(matrix, split, SEEDS, samples))
     summary = moments.feature_moments(stats)
-    sets = feature_sets(summary)
-    scores = centroid_scores(matrix, split, stats, sets)
-    results = metrics.evaluate(metrics.predictions_from_scores(scores, metrics.RUN_KEYS))
-    width = summary.groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
+    sets = cut_lineage(feature_sets(summary))
+    distances = centroid_scores(matrix, split, stats, sets)
+    predictions = cut_lineage(metrics.predictions_from_scores(distances, metrics.RUN_KEYS))
+    width = stats.groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
     grid = splits.job_grid(samples, SEEDS, FEATURE_SETS)
-    counts = sets.groupBy(*metrics.RUN_KEYS).agg(F.count("*").alias("c"))
+    records = reports.run_records(grid, sets, metrics.evaluate(predictions), width)
     # stand-in times: functions of the feature count, so that both engines have the same ones
-    times = counts.select(*metrics.RUN_KEYS, (F.col("c") * 0.25).alias("train_time_s"),
-                          (F.col("c") * 0.5).alias("run_time_s"))
-    return reports.run_records(grid, sets, results, width, times)
+    count = F.when(F.col("n_features") > 0, F.col("n_features"))
+    return records.withColumns({"train_time_s": count * 0.25, "run_time_s": count * 0.5})

@@ -33,7 +33,7 @@ def feature_budget(width: Column, fraction: Column) -> Column:
 
 def unit_hash(text: Column) -> Column:
     """A number in [0, 1) that depends only on the text, equal on every engine with md5."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
 def safe_ratio(top: Column, bottom: Column, otherwise: float | None = 0.0) -> Column:
