@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks import fixtures as fx
 from checks.oracles import RUN, on, r6, sql
 from widesift.functions.columns import rounded
-from widesift.operators import align, forward, information, metrics, moments, prepare, reports, scores, selection, splits
+from widesift.operators import align, embedded, forward, information, metrics, models, moments, prepare, reports, scores, selection, splits
+from widesift.plans import benchmark
+from widesift.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -648,3 +650,73 @@ def forward_selection_nb(spark, sf_dir):
     train = emb_split(spark, sf_dir).where(F.col("part") == "train").drop("part")
     folds = splits.stratified_folds(train, 2)
     return six(forward.forward_selection(fx.emb_matrix(spark, sf_dir), folds, steps=2, folds=2), "score")
+
+
+# ---- trained models: no SQL twin, checked by tests on separable data --------------------------
+
+def one_seed(spark, sf_dir):
+    return benchmark.prepared(fx.emb_matrix(spark, sf_dir), fx.emb_samples(spark, sf_dir), fx.SEEDS[:1])
+
+
+def trained(spark, sf_dir, *methods):
+    outcome = benchmark.run_benchmark(one_seed(spark, sf_dir), methods)
+    return outcome.runs.drop("train_time_s", "run_time_s")
+
+
+@query()
+def baseline_lr(spark, sf_dir):
+    return trained(spark, sf_dir, benchmark.baseline())
+
+
+@query()
+def filter_lr(spark, sf_dir):
+    return trained(spark, sf_dir, benchmark.anova(20), benchmark.mutual_info(20))
+
+
+@query()
+def ovr_lr(spark, sf_dir):
+    return trained(spark, sf_dir, benchmark.variance_threshold([0.015, 0.016]))
+
+
+@query()
+def ovr_lr_softmax(spark, sf_dir):
+    return trained(spark, sf_dir, benchmark.select_k_best([0.5]))
+
+
+@query()
+def forward_lr(spark, sf_dir):
+    return trained(spark, sf_dir, benchmark.forward_selection(fraction=0.05))
+
+
+@query()
+def evaluate_feature_set(spark, sf_dir):
+    """Predictions of the standard evaluator for one feature set per cohort."""
+    p = one_seed(spark, sf_dir)
+    best = selection.top_k(scores.anova_scores(p.moments), 20)
+    sets = best.select("cohort", "seed", F.lit("given").alias("method"), F.lit("k=20").alias("param"), "feature")
+    predictions, _ = benchmark.evaluate_feature_sets(p, sets, "logistic")
+    return predictions.select(*metrics.RUN_KEYS, "sample_id", "label", "prediction",
+                              F.map_values("proba").alias("proba"))
+
+
+@query()
+def lasso_select(spark, sf_dir):
+    return benchmark.lasso().select(one_seed(spark, sf_dir))
+
+
+@query()
+def lasso_c_sweep(spark, sf_dir):
+    p = one_seed(spark, sf_dir)
+    varying = scores.varying_features(p.moments).withColumns({"method": F.lit("tuning"), "param": F.lit("all")})
+    vectors = cut_lineage(models.build_vectors(p.matrix, p.split, varying, p.moments))
+    sweeps = [embedded.lasso_sweep(vectors.where(F.col("cohort") == r["cohort"]), ()).withColumn("cohort", F.lit(r["cohort"]))
+              for r in vectors.select("cohort").distinct().orderBy("cohort").collect()]
+    out = sweeps[0]
+    for sweep in sweeps[1:]:
+        out = out.unionByName(sweep)
+    return out
+
+
+@query()
+def rf_select(spark, sf_dir):
+    return benchmark.random_forest(trees=(20, 40), depths=(5, 10)).select(one_seed(spark, sf_dir))

@@ -12,14 +12,20 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from widesift.operators import metrics
+from widesift.operators.selection import project_features
 from widesift.session import broadcast_if_bounded, cut_lineage
 
 GROUP = ["cohort", "seed"]
 SAMPLE = ["cohort", "seed", "fold", "sample_id"]
+CELL = ["cohort", "seed", "sample_id", "feature", "value"]
 SMOOTHING = 1e-9
 DIGITS = 9
 
 
+def _row_keys(cells: DataFrame) -> list[str]:
+    return [k for k in ("cohort", "seed", "sample_id") if k in cells.columns]
+
+
 def _fold_fits(cells: DataFrame, folded: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
     """Class priors and per-feature Gaussians of every fold, fitted on the rows of the other folds.
 
@@ -33,7 +39,7 @@ def _fold_fits(cells: DataFrame, folded: DataFrame, folds: int) -> tuple[DataFra
         F.array_sort(F.collect_list(F.struct("label", "n"))).alias("_c"), F.sum("n").alias("_n")).select(
         *GROUP, "fold", F.transform("_c", lambda c: F.struct(
             c["label"].alias("label"), F.log(c["n"] / F.col("_n")).alias("prior"))).alias("classes"))
-    gaussians = (cells.join(broadcast_if_bounded(fitting), ["cohort", "sample_id"])
+    gaussians = (cells.join(broadcast_if_bounded(fitting), _row_keys(cells))
                  .groupBy(*GROUP, "fold", "feature", "label")
                  .agg(F.avg("value").alias("mean"), (F.var_pop("value") + SMOOTHING).alias("var"))
                  .groupBy(*GROUP, "fold", "feature")
@@ -56,19 +62,23 @@ def _terms(cells: DataFrame, folded: DataFrame, fits: DataFrame) -> DataFrame:
         return F.coalesce(density, F.lit(0.0))
 
     rows = folded.select(*SAMPLE)
-    return (cells.join(broadcast_if_bounded(rows), ["cohort", "sample_id"])
+    return (cells.join(broadcast_if_bounded(rows), _row_keys(cells))
             .join(broadcast_if_bounded(fits), [*GROUP, "fold", "feature"])
             .select(*SAMPLE, "feature", F.transform("params", term).alias("terms")))
 
 
-def forward_selection(matrix: DataFrame, folded: DataFrame, steps: int, folds: int = 2) -> DataFrame:
+def forward_selection(matrix: DataFrame, folded: DataFrame, steps: int, folds: int = 2,
+                      candidates: DataFrame | None = None) -> DataFrame:
     """(cohort, seed, rank, feature, score): the features in the order they were added.
 
-    matrix: candidate cells (cohort, sample_id, feature, value); folded: training rows with `fold`.
+    matrix: cells (cohort, [seed,] sample_id, feature, value); folded: training rows with `fold`;
+    candidates: (cohort, seed, feature), or None for all features.
     The running sums are written after every step, so a step reads one small table and the terms, and
     nothing is derived again from the start.
     """
-    cells = matrix.select("cohort", "sample_id", "feature", "value")
+    cells = matrix.select(*[c for c in CELL if c in matrix.columns])
+    if candidates is not None:
+        cells = project_features(cells, candidates.select(*GROUP, "feature"))
     folded = cut_lineage(folded.select(*SAMPLE, "label"))
     priors, fits = _fold_fits(cells, folded, folds)
     priors = cut_lineage(priors)

@@ -14,7 +14,8 @@ KEYS = ["cohort", "seed", "feature"]
 def train_cells(matrix: DataFrame, splits: DataFrame, part: str = "train") -> DataFrame:
     """(cohort, seed, sample_id, label, feature, value) of one part of every seed's split."""
     rows = splits.where(F.col("part") == part).select("cohort", "sample_id", "seed", "label")
-    return matrix.join(broadcast_if_bounded(rows), ["cohort", "sample_id"])
+    on = [k for k in ("cohort", "seed", "sample_id") if k in matrix.columns]
+    return matrix.join(broadcast_if_bounded(rows), on)
 
 
 def train_medians(matrix: DataFrame, splits: DataFrame, buckets: int = 1) -> DataFrame:

@@ -157,7 +157,7 @@ def run_records(grid: DataFrame, feature_sets: DataFrame, metrics: DataFrame, n_
     for name in TIMES:
         if name not in rows.columns:
             rows = rows.withColumn(name, none)
-    if "status" not in rows.columns:
-        rows = rows.withColumn("status", F.when(F.col("accuracy").isNull(), "empty").otherwise("ok"))
+    outcome = F.when(F.col("accuracy").isNull(), "empty").otherwise("ok")
+    rows = rows.withColumn("status", F.coalesce("status", outcome) if "status" in rows.columns else outcome)
     names = [f.split()[0] for f in RUN_SCHEMA.split(", ")]
     return rows.withColumn("n_features_total", F.col("n_features_total").cast("int")).select(*names)

@@ -83,7 +83,8 @@ def project_features(matrix: DataFrame, features: DataFrame) -> DataFrame:
     In the long layout column pruning is a row filter. The feature sets are broadcast when they are
     small enough, so that the matrix is filtered where it is read.
     """
-    return matrix.join(broadcast_if_bounded(features), ["cohort", "feature"])
+    on = [k for k in ("cohort", "seed", "feature") if k in matrix.columns]
+    return matrix.join(broadcast_if_bounded(features), on)
 
 
 def feature_list(selected: DataFrame, keys: list[str], out: str = "features") -> DataFrame:

@@ -22,6 +22,8 @@ def build_session(app: str = "widesift", master: str | None = None, **conf: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # row_number() <= k is cut to k rows per map task before the shuffle up to this k
         "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+        # drop checkpoint files once nothing refers to them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         # skips the Python call-site lookup on every column expression
         "spark.python.sql.dataFrameDebugging.enabled": "false",
