@@ -187,7 +187,7 @@ def top_variance(spark, sf_dir):
 
 def doc_moments(spark, sf_dir):
     samples = fx.doc_samples(spark, sf_dir)
-    split = splits.stratified_split(samples, fx.SEEDS)
+    split = cut_lineage(splits.stratified_split(samples, fx.SEEDS))
     stats = moments.feature_stats(fx.doc_matrix(spark, sf_dir), split, fx.SEEDS, samples)
     return moments.feature_moments(stats, moments.class_sizes(split))
 
@@ -267,9 +267,9 @@ def top_n_features(spark, sf_dir):
 
 def hour_inputs(spark, sf_dir):
     labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
-    matrix = align.average_duplicates(fx.evt_hour_readings(spark, sf_dir))
+    matrix = cut_lineage(align.average_duplicates(fx.evt_hour_readings(spark, sf_dir)))
     samples = align.common_samples(matrix, labels)
-    return matrix, labels, samples, splits.stratified_split(samples, fx.SEEDS)
+    return matrix, labels, samples, cut_lineage(splits.stratified_split(samples, fx.SEEDS))
 
 
 cte("hour_train", f"""SELECT s.cohort, s.seed, s.sample_id, s.label, c.feature, c.value FROM hour_split s
@@ -342,7 +342,7 @@ def assemble_vectors(spark, sf_dir):
 
 def one_scores(spark, sf_dir):
     samples, matrix = fx.emb_samples(spark, sf_dir), fx.emb_matrix(spark, sf_dir)
-    split = splits.stratified_split(samples, fx.SEEDS)
+    split = cut_lineage(splits.stratified_split(samples, fx.SEEDS))
     return fx.centroid_scores(matrix, split, moments.feature_stats(matrix, split, fx.SEEDS, samples))
 
 

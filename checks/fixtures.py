@@ -126,7 +126,7 @@ def centroid_scores(matrix: DataFrame, split: DataFrame, stats: DataFrame,
         means = means.withColumn("method", F.lit("baseline")).withColumn("param", F.lit("all"))
     else:
         means = means.join(sets, ["cohort", "seed", "feature"])
-    cells = (matrix.join(broadcast_if_bounded(test), ["cohort", "sample_id"])
+    cells = (matrix.join(broadcast_if_bounded(test, rows_from=split), ["cohort", "sample_id"])
              .join(broadcast_if_bounded(means), ["cohort", "seed", "feature"]))
     gap = F.col("value") - F.col("m.mean")
     return (cells.select("cohort", "seed", "method", "param", "sample_id", "label", "value",

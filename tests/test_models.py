@@ -87,3 +87,17 @@ def test_a_failed_fit_is_recorded(separable):
 def test_nonzero_mask_reads_coefficients(spark):
     table = spark.createDataFrame([("X", 1, "a", 0.0), ("X", 1, "b", 0.2)], "cohort string, seed int, feature string, score double")
     assert [r["feature"] for r in selection.nonzero(table).collect()] == ["b"]
+
+
+def test_gaps_are_filled_for_the_selected_features_only(spark):
+    rng = random.Random(13)
+    labels = {f"s{i:03d}": f"c{i % 2}" for i in range(60)}
+    cells = [("X", s, f"f{f}", rng.gauss(0, 1) + 4.0 * (int(c[1]) == f)) for s, c in labels.items() for f in range(4) if rng.random() > 0.2]
+    p = benchmark.prepared(spark.createDataFrame(cells, "cohort string, sample_id string, feature string, value double"),
+                           spark.createDataFrame([("X", s, c) for s, c in labels.items()], "cohort string, sample_id string, label string"),
+                           [42], impute=True)
+    assert p.cells().count() == 60 * 4
+    outcome = benchmark.run_benchmark(p, [benchmark.select_k_best([0.5])])
+    row = outcome.runs.first()
+    assert row["n_features"] == 2 and row["accuracy"] > 0.8
+    assert outcome.predictions.count() == 18

@@ -30,7 +30,8 @@ def _fold_fits(cells: DataFrame, folded: DataFrame, folds: int) -> tuple[DataFra
     """Class priors and per-feature Gaussians of every fold, fitted on the rows of the other folds.
 
     priors: (cohort, seed, fold, classes array<struct<label, prior>>); fits: (cohort, seed, fold, feature,
-    params array<struct<mean, var>>) in the order of `classes`.
+    params array<struct<mean, peak, slope>>) in the order of `classes`; a log-density is
+    peak - slope * (value - mean)^2.
     """
     others = F.array(*[F.lit(f) for f in range(folds)])
     fitting = folded.withColumn("fold", F.explode(F.filter(others, lambda f: f != F.col("fold"))))
@@ -39,11 +40,13 @@ def _fold_fits(cells: DataFrame, folded: DataFrame, folds: int) -> tuple[DataFra
         F.array_sort(F.collect_list(F.struct("label", "n"))).alias("_c"), F.sum("n").alias("_n")).select(
         *GROUP, "fold", F.transform("_c", lambda c: F.struct(
             c["label"].alias("label"), F.log(c["n"] / F.col("_n")).alias("prior"))).alias("classes"))
-    gaussians = (cells.join(broadcast_if_bounded(fitting), _row_keys(cells))
+    gaussians = (cells.join(broadcast_if_bounded(fitting, fitting), _row_keys(cells))
                  .groupBy(*GROUP, "fold", "feature", "label")
-                 .agg(F.avg("value").alias("mean"), (F.var_pop("value") + SMOOTHING).alias("var"))
+                 .agg(F.avg("value").alias("mean"), (F.var_pop("value") + SMOOTHING).alias("_var"))
+                 .withColumn("peak", -0.5 * F.log(2 * math.pi * F.col("_var")))
+                 .withColumn("slope", 0.5 / F.col("_var"))
                  .groupBy(*GROUP, "fold", "feature")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("mean", "var")))).alias("_by")))
+                 .agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("mean", "peak", "slope")))).alias("_by")))
     fits = gaussians.join(priors, [*GROUP, "fold"]).select(
         *GROUP, "fold", "feature", F.transform("classes", lambda c: F.col("_by")[c["label"]]).alias("params"))
     return priors, fits
@@ -58,12 +61,11 @@ def _terms(cells: DataFrame, folded: DataFrame, fits: DataFrame) -> DataFrame:
 
     def term(p):
         gap = value - p["mean"]
-        density = -0.5 * F.log(2 * math.pi * p["var"]) - gap * gap / (2 * p["var"])
-        return F.coalesce(density, F.lit(0.0))
+        return F.coalesce(p["peak"] - p["slope"] * gap * gap, F.lit(0.0))
 
     rows = folded.select(*SAMPLE)
-    return (cells.join(broadcast_if_bounded(rows), _row_keys(cells))
-            .join(broadcast_if_bounded(fits), [*GROUP, "fold", "feature"])
+    return (cells.join(broadcast_if_bounded(rows, rows), _row_keys(cells))
+            .join(broadcast_if_bounded(fits, fits), [*GROUP, "fold", "feature"])
             .select(*SAMPLE, "feature", F.transform("params", term).alias("terms")))
 
 
@@ -83,15 +85,17 @@ def forward_selection(matrix: DataFrame, folded: DataFrame, steps: int, folds: i
     priors, fits = _fold_fits(cells, folded, folds)
     priors = cut_lineage(priors)
     terms = cut_lineage(_terms(cells, folded, cut_lineage(fits)))
+    # every table below has been written, so counting one for the size check reads it and no more
     running = folded.join(priors, [*GROUP, "fold"]).select(
         *SAMPLE, "label", F.transform("classes", lambda c: c["label"]).alias("names"),
         F.transform("classes", lambda c: c["prior"]).alias("total"))
+    running = cut_lineage(running)
     chosen = None
     for rank in range(1, steps + 1):
         left = terms if chosen is None else terms.join(
-            broadcast_if_bounded(chosen.select(*GROUP, "feature")), [*GROUP, "feature"], "left_anti")
+            broadcast_if_bounded(chosen.select(*GROUP, "feature"), chosen), [*GROUP, "feature"], "left_anti")
         best = cut_lineage(_best_candidate(left, running).withColumn("rank", F.lit(rank)))
-        winner = terms.join(broadcast_if_bounded(best.select(*GROUP, "feature")), [*GROUP, "feature"], "left_semi")
+        winner = terms.join(broadcast_if_bounded(best.select(*GROUP, "feature"), best), [*GROUP, "feature"], "left_semi")
         running = cut_lineage(
             running.join(winner.drop("feature"), SAMPLE, "left").select(
                 *SAMPLE, "label", "names",
@@ -103,8 +107,9 @@ def forward_selection(matrix: DataFrame, folded: DataFrame, steps: int, folds: i
 def candidate_scores(terms: DataFrame, running: DataFrame) -> DataFrame:
     """(cohort, seed, feature, score): mean over folds of the macro F1 after adding the feature."""
     keys = [*GROUP, "feature", "fold"]
-    sums = F.zip_with("total", "terms", lambda a, b: F.round(a + b, DIGITS))
-    guessed = (terms.join(broadcast_if_bounded(running), SAMPLE).withColumn("_s", sums)
+    # compared as whole multiples of 1e-9, so that the order of a sum cannot decide between equal classes
+    sums = F.zip_with("total", "terms", lambda a, b: F.rint((a + b) * 10.0 ** DIGITS))
+    guessed = (terms.join(broadcast_if_bounded(running, running), SAMPLE).withColumn("_s", sums)
                .select(*keys, "label", F.element_at(
                    "names", F.array_position("_s", F.array_max("_s")).cast("int")).alias("prediction")))
     per_class = metrics.class_metrics(metrics.confusion_counts(guessed, keys), keys)

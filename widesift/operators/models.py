@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from widesift.functions.columns import clean_probability
 from widesift.operators.metrics import RUN_KEYS
-from widesift.operators.prepare import assemble, standard_scale
+from widesift.operators.prepare import assemble, median_impute, standard_scale
 from widesift.operators.selection import project_features
 from widesift.session import broadcast_if_bounded, cut_lineage
 
@@ -60,17 +60,22 @@ CLASSIFIERS = {
 }
 
 
-def build_vectors(matrix: DataFrame, split: DataFrame, feature_sets: DataFrame, moments: DataFrame) -> DataFrame:
+def build_vectors(matrix: DataFrame, split: DataFrame, feature_sets: DataFrame, moments: DataFrame,
+                  fill: DataFrame | None = None) -> DataFrame:
     """(RUN_KEYS, sample_id, label, part, features): each feature set projected, scaled and assembled.
 
-    feature_sets: (cohort, seed, method, param, feature). Scaling is fitted on the training rows.
+    feature_sets: (cohort, seed, method, param, feature). Scaling is fitted on the training rows. With
+    `fill` (cohort, seed, feature, fill) the gaps of the selected features are filled first.
     """
     sets = feature_sets.select(*RUN_KEYS, "feature")
-    columns = [c for c in ("cohort", "seed", "sample_id", "feature", "value") if c in matrix.columns]
-    cells = standard_scale(project_features(matrix.select(*columns), sets), moments)
+    cells = matrix.select("cohort", "sample_id", "feature", "value")
+    if fill is not None:
+        used = fill.join(sets.select("cohort", "seed", "feature").distinct(), ["cohort", "seed", "feature"], "left_semi")
+        cells = median_impute(cells, split, used).select("cohort", "seed", "sample_id", "feature", "value")
+    cells = standard_scale(project_features(cells, sets), moments)
     vectors = assemble(cells, [*RUN_KEYS, "sample_id"])
     rows = split.select("cohort", "seed", "sample_id", "label", "part")
-    return vectors.join(broadcast_if_bounded(rows), ["cohort", "seed", "sample_id"])
+    return vectors.join(broadcast_if_bounded(rows, rows_from=split), ["cohort", "seed", "sample_id"])
 
 
 def indexed(vectors: DataFrame, classes: list[str]) -> DataFrame:

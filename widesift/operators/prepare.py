@@ -9,13 +9,14 @@ from widesift.operators import ranking
 from widesift.session import broadcast_if_bounded
 
 KEYS = ["cohort", "seed", "feature"]
+FILL_CHUNKS = 32
 
 
 def train_cells(matrix: DataFrame, splits: DataFrame, part: str = "train") -> DataFrame:
     """(cohort, seed, sample_id, label, feature, value) of one part of every seed's split."""
     rows = splits.where(F.col("part") == part).select("cohort", "sample_id", "seed", "label")
     on = [k for k in ("cohort", "seed", "sample_id") if k in matrix.columns]
-    return matrix.join(broadcast_if_bounded(rows), on)
+    return matrix.join(broadcast_if_bounded(rows, rows_from=splits), on)
 
 
 def train_medians(matrix: DataFrame, splits: DataFrame, buckets: int = 1) -> DataFrame:
@@ -24,13 +25,19 @@ def train_medians(matrix: DataFrame, splits: DataFrame, buckets: int = 1) -> Dat
 
 
 def median_impute(matrix: DataFrame, splits: DataFrame, fill: DataFrame) -> DataFrame:
-    """Dense cells per seed: every sample x every feature with a median, gaps filled with the median.
+    """Dense cells per seed: every sample x every feature of `fill`, gaps filled with the median.
 
-    Output size is that of the imputed matrix. Scores do not need it; see `moments.feature_moments`.
+    The output is as large as it sounds, so restrict `fill` to the features that are needed. Scores need
+    no dense matrix at all; see `moments.feature_moments`. The features of a cohort and seed are kept in
+    FILL_CHUNKS lists, and a sample meets each list under its own key, so that the expansion of one
+    cohort is spread over many tasks.
     """
-    by_cohort = fill.groupBy("cohort", "seed").agg(F.collect_list(F.struct("feature", "fill")).alias("_fills"))
-    grid = (splits.select("cohort", "seed", "sample_id", "part").join(by_cohort, ["cohort", "seed"])
-            .select("cohort", "seed", "sample_id", "part", F.inline("_fills")))
+    keys = ["cohort", "seed", "_chunk"]
+    lists = (fill.withColumn("_chunk", F.pmod(F.hash("feature"), F.lit(FILL_CHUNKS)))
+             .groupBy(*keys).agg(F.collect_list(F.struct("feature", "fill")).alias("_fills")))
+    rows = splits.select("cohort", "seed", "sample_id", "part",
+                         F.explode(F.sequence(F.lit(0), F.lit(FILL_CHUNKS - 1))).alias("_chunk"))
+    grid = rows.join(lists, keys).select("cohort", "seed", "sample_id", "part", F.inline("_fills"))
     return (grid.join(matrix, ["cohort", "sample_id", "feature"], "left")
             .select("cohort", "seed", "sample_id", "part", "feature",
                     F.coalesce("value", "fill").alias("value"), F.col("value").isNull().alias("imputed")))

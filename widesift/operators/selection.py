@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from widesift.functions.columns import feature_budget
 from widesift.operators import ranking
-from widesift.session import broadcast_if_bounded
+from widesift.session import broadcast_if_bounded, cut_lineage
 
 GROUP = ["cohort", "seed"]
 SCORE_DIGITS = 9
@@ -21,12 +21,13 @@ def ranked_scores(scores: DataFrame, higher_index_wins: bool = True, buckets: in
     spreads the ranking of one group over that many tasks.
     """
     tie = F.col("feature").desc() if higher_index_wins else F.col("feature").asc()
-    known = scores.withColumn("_down", -F.coalesce(F.round("score", digits), F.lit(float("-inf"))))
+    known = scores.withColumn("_down", -F.coalesce(F.rint(F.col("score") * 10.0 ** digits), F.lit(float("-inf"))))
     order = [F.col("_down").asc(), tie]
     if buckets <= 1:
         rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order))
         return known.withColumn("rank", rank).drop("_down")
-    cut = ranking.with_value_bucket(known, GROUP, "_down", buckets)
+    # read by the quantile sketch, the offsets and the ranking
+    cut = ranking.with_value_bucket(cut_lineage(known), GROUP, "_down", buckets)
     return (ranking.numbered(cut, GROUP, order, "_n", bucketed=True)
             .withColumn("rank", F.col("_n").cast("int")).drop("_down", "_n"))
 
@@ -40,9 +41,13 @@ def top_k(scores: DataFrame, k: int, higher_index_wins: bool = True, buckets: in
 def top_fraction(scores: DataFrame, fractions: list[float], buckets: int = 1,
                  digits: int = SCORE_DIGITS) -> DataFrame:
     """For each fraction, the best max(1, int(width * fraction)) features, with `fraction` and `rank`."""
-    width = scores.groupBy(*GROUP).agg(F.count("*").alias("_width"))
-    return (ranked_scores(scores, True, buckets, digits).join(width, GROUP)
-            .withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    ranked = ranked_scores(scores, True, buckets, digits)
+    if buckets <= 1:
+        sized = ranked.withColumn("_width", F.count("*").over(Window.partitionBy(*GROUP)))
+    else:
+        ranked = cut_lineage(ranked)
+        sized = ranked.join(ranked.groupBy(*GROUP).agg(F.count("*").alias("_width")), GROUP)
+    return (sized.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
             .where(F.col("rank") <= feature_budget(F.col("_width"), F.col("fraction")))
             .drop("_width"))
 

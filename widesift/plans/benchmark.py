@@ -36,12 +36,26 @@ class Prepared:
     split: DataFrame
     moments: DataFrame
     rows: int
+    width: int
+    fill: DataFrame | None = None
 
-    def buckets(self) -> int:
+    def row_buckets(self) -> int:
+        """Tasks per group that is ordered by sample."""
         return ranking.buckets_for(self.rows)
 
+    def feature_buckets(self) -> int:
+        """Tasks per group that is ordered by feature."""
+        return ranking.buckets_for(self.width)
+
+    def cells(self) -> DataFrame:
+        """The matrix, with its gaps filled (per seed) if it is to be imputed."""
+        if self.fill is None:
+            return self.matrix
+        return prepare.median_impute(self.matrix, self.split, self.fill).select(
+            "cohort", "seed", "sample_id", "feature", "value")
+
     def train_cells(self) -> DataFrame:
-        return prepare.train_cells(self.matrix, self.split)
+        return prepare.train_cells(self.cells(), self.split)
 
 
 @dataclass(frozen=True)
@@ -63,12 +77,12 @@ def prepared(matrix: DataFrame, samples: DataFrame, seeds: Sequence[int], impute
     stats = moments.feature_stats(matrix, split, seeds, samples)
     if impute:
         fill = cut_lineage(prepare.train_medians(matrix, split, ranking.buckets_for(rows)))
-        summary = moments.feature_moments(stats, moments.class_sizes(split), fill)
-        matrix = cut_lineage(prepare.median_impute(matrix, split, fill).select(
-            "cohort", "seed", "sample_id", "feature", "value"))
+        summary = cut_lineage(moments.feature_moments(stats, moments.class_sizes(split), fill))
     else:
-        summary = moments.feature_moments(stats)
-    return Prepared(matrix, samples, seeds, split, cut_lineage(summary), rows)
+        fill = None
+        summary = cut_lineage(moments.feature_moments(stats))
+    widest = summary.groupBy("cohort", "seed").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return Prepared(matrix, samples, seeds, split, summary, rows, widest or 0, fill)
 
 
 def _tagged(features: DataFrame, param) -> DataFrame:
@@ -94,7 +108,7 @@ def scored(name: str, score: Callable[[Prepared], DataFrame], k: int, classifier
            higher_index_wins: bool = True) -> Method:
     """Top k by any score function: the way in for a user's own scorer."""
     param = f"k={k}"
-    return Method(name, (param,), lambda p: _tagged(selection.top_k(score(p), k, higher_index_wins), param), classifier)
+    return Method(name, (param,), lambda p: _tagged(selection.top_k(score(p), k, higher_index_wins, p.feature_buckets()), param), classifier)
 
 
 def anova(k: int = ANOVA_TOP_K) -> Method:
@@ -102,14 +116,14 @@ def anova(k: int = ANOVA_TOP_K) -> Method:
 
 
 def mutual_info(k: int = MUTUAL_INFO_TOP_K) -> Method:
-    return scored("mutual_info", lambda p: scores.SCORERS["mutual_info"](p.train_cells(), p.buckets()), k)
+    return scored("mutual_info", lambda p: scores.SCORERS["mutual_info"](p.train_cells(), p.row_buckets()), k)
 
 
 def select_k_best(fractions: Sequence[float] = K_BEST_FRACTIONS) -> Method:
     names = tuple(f"fraction={f:g}" for f in fractions)
 
     def select(p: Prepared) -> DataFrame:
-        best = selection.top_fraction(scores.anova_scores(p.moments), list(fractions))
+        best = selection.top_fraction(scores.anova_scores(p.moments), list(fractions), p.feature_buckets())
         named = F.element_at(F.create_map(*[x for f, n in zip(fractions, names) for x in (F.lit(float(f)), F.lit(n))]), F.col("fraction"))
         return _tagged(best, named)
 
@@ -122,11 +136,11 @@ def forward_selection(fraction: float = FORWARD_FRACTION, prefilter: int = FORWA
     param = f"fraction={fraction:g}"
 
     def select(p: Prepared) -> DataFrame:
-        candidates = cut_lineage(selection.top_k(scores.variance_scores(p.moments), prefilter, higher_index_wins=False)
+        candidates = cut_lineage(selection.top_k(scores.variance_scores(p.moments), prefilter, False, p.feature_buckets())
                                  .select("cohort", "seed", "feature"))
         widest = candidates.groupBy("cohort", "seed").count().agg(F.max("count")).first()[0]
         train = p.split.where(F.col("part") == "train").drop("part")
-        found = forward.forward_selection(p.matrix, splits.stratified_folds(train, folds),
+        found = forward.forward_selection(p.cells(), splits.stratified_folds(train, folds),
                                           max(1, int(widest * fraction)), folds, candidates)
         return _tagged(found, param)
 
@@ -140,7 +154,7 @@ def _by_model(score: Callable[[DataFrame, list[str], int], DataFrame], mask: Cal
     def select(p: Prepared) -> DataFrame:
         varying = cut_lineage(scores.varying_features(p.moments)
                               .withColumns({"method": F.lit("tuning"), "param": F.lit("all")}))
-        vectors = cut_lineage(models.build_vectors(p.matrix, p.split, varying, p.moments))
+        vectors = cut_lineage(models.build_vectors(p.matrix, p.split, varying, p.moments, p.fill))
         found = []
         for run in vectors.select("cohort", "seed").distinct().orderBy("cohort", "seed").collect():
             this = (F.col("cohort") == run["cohort"]) & (F.col("seed") == run["seed"])
@@ -173,7 +187,7 @@ class Outcome:
 
 def evaluate_feature_sets(p: Prepared, feature_sets: DataFrame, classifier: str, parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
     """(predictions, fit log) of one classifier for every feature set (RUN_KEYS, feature)."""
-    vectors = cut_lineage(models.build_vectors(p.matrix, p.split, feature_sets, p.moments))
+    vectors = cut_lineage(models.build_vectors(p.matrix, p.split, feature_sets, p.moments, p.fill))
     fits = models.fit_runs(vectors, lambda keys: models.CLASSIFIERS[classifier], parallelism)
     return models.collected_predictions(fits), models.fit_log(vectors, fits)
 
@@ -185,7 +199,7 @@ def run_benchmark(p: Prepared, methods: Sequence[Method], parallelism: int = 8)
         sets = cut_lineage(method.select(p).select("cohort", "seed", F.lit(method.name).alias("method"), "param", "feature"))
         parts.append((sets, *evaluate_feature_sets(p, sets, method.classifier, parallelism)))
     sets, predictions, log = (reduce(DataFrame.unionByName, column) for column in zip(*parts))
-    results = metrics.evaluate(predictions, buckets=p.buckets()).join(log, metrics.RUN_KEYS, "full")
+    results = metrics.evaluate(predictions, buckets=p.row_buckets()).join(log, metrics.RUN_KEYS, "full")
     width = p.moments.groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
     grid = splits.job_grid(p.samples, p.seeds, {m.name: m.params for m in methods})
     runs = reports.run_records(grid, sets, results, width)

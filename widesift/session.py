@@ -40,10 +40,13 @@ def broadcast_if_bounded(side: DataFrame, rows_from: DataFrame | None = None,
                          max_rows: int | None = None) -> DataFrame:
     """Hint a broadcast only after counting rows; a larger side goes through the ordinary shuffle join.
 
-    `rows_from` is a cheaper DataFrame known to have at least as many rows (for instance the label
-    scan a split table was derived from), so that the count does not run the whole derivation.
+    `rows_from` is a cheap DataFrame known to have at least as many rows (for instance the label scan a
+    split table was derived from). Without one the side may be the result of a long plan: it is written
+    once, counted and joined from there, so that the count does not run the plan a second time.
     """
     spark = side.sparkSession
+    if rows_from is None:
+        side = cut_lineage(side)
     limit = max_rows or int(spark.conf.get("widesift.broadcastRows", str(BROADCAST_ROWS)))
     rows = (rows_from if rows_from is not None else side).count()
     return F.broadcast(side) if rows <= limit else side

@@ -45,7 +45,7 @@ def _wide_cells(spark: SparkSession, path: str, cohort: str, separator: str, tas
              .where(F.col("row_id") != corner[0])
              .select("row_id", F.posexplode("c").alias("pos", "text")).where(F.col("pos") > 0))
     number = nan_to_null(F.expr("try_cast(trim(text) AS double)"))
-    return cells.join(broadcast_if_bounded(names), "pos").select(
+    return cells.join(broadcast_if_bounded(names, names), "pos").select(
         F.lit(cohort).alias("cohort"), "row_id", "column_id", number.alias("value"))
 
 
