@@ -55,9 +55,10 @@ def test_embedded_selection_finds_the_shifted_features(separable):
     assert forest == {"f0", "f1", "f2"}
 
 
-def test_forward_selection_method(separable):
-    found = benchmark.forward_selection(fraction=0.5, prefilter=6).select(separable)
-    assert found.count() == 3 and found.where("feature IN ('f0', 'f1', 'f2')").count() >= 2
+@pytest.mark.parametrize("scorer", ["naive_bayes", "logistic"])
+def test_forward_selection_method(separable, scorer):
+    found = benchmark.forward_selection(fraction=0.34, prefilter=6, scorer=scorer).select(separable)
+    assert found.count() == 2 and found.where("feature IN ('f0', 'f1', 'f2')").count() >= 2
 
 
 def test_fixed_strengths_report_both_counts(separable):
@@ -70,7 +71,7 @@ def test_fixed_strengths_report_both_counts(separable):
 
 def test_macro_f1_evaluator(spark):
     rows = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (2.0, 3.0)]
-    assert embedded.MacroF1().evaluate(spark.createDataFrame(rows, "_y double, prediction double")) == pytest.approx((2 / 3 + 2 / 3) / 4)
+    assert models.MacroF1().evaluate(spark.createDataFrame(rows, "_y double, prediction double")) == pytest.approx((2 / 3 + 2 / 3) / 4)
 
 
 def test_a_failed_fit_is_recorded(separable):
@@ -89,6 +90,15 @@ def test_nonzero_mask_reads_coefficients(spark):
     assert [r["feature"] for r in selection.nonzero(table).collect()] == ["b"]
 
 
+def test_a_method_that_fails_is_recorded(separable):
+    def broken(p):
+        raise KeyError("score")
+
+    outcome = benchmark.run_benchmark(separable, [benchmark.anova(3), benchmark.scored("mine", broken, 2)])
+    status = {r["method"]: r["status"] for r in outcome.runs.collect()}
+    assert status["anova"] == "ok" and status["mine"].startswith("failed: KeyError")
+
+
 def test_gaps_are_filled_for_the_selected_features_only(spark):
     rng = random.Random(13)
     labels = {f"s{i:03d}": f"c{i % 2}" for i in range(60)}

@@ -65,6 +65,7 @@ def test_split_does_not_depend_on_partitioning(spark):
 
 def test_seed_helpers(spark):
     assert splits.consecutive_seeds(42, 3) == [42, 43, 44]
+    assert splits.random_seeds(42, 3) == splits.random_seeds(42, 5)[:3] and len(set(splits.random_seeds(42, 5))) == 5
     assert [tuple(r) for r in splits.seed_table(spark, 42, 2).orderBy("run_id").collect()] == [(0, 42), (1, 43)]
 
 
@@ -327,11 +328,11 @@ def test_duplicates_multiply_without_dedup(spark):
 def test_shuffle_join_beyond_the_broadcast_limit(spark):
     matrix, samples = dense(spark, n=20)
     near = sorted(map(tuple, align.align(matrix, samples).collect()))
-    spark.conf.set("widesift.broadcastRows", "1")
+    spark.conf.set("widesift.broadcastBytes", "1")
     far = align.align(matrix, samples)
     assert "ResolvedHint" not in far._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, far.collect())) == near
-    spark.conf.unset("widesift.broadcastRows")
+    spark.conf.unset("widesift.broadcastBytes")
 
 
 def test_forward_selection_takes_informative_features_first(spark):

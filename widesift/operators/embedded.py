@@ -7,16 +7,15 @@ a fold column, so the folds are the stratified ones and not random rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from widesift.operators import metrics
-from widesift.operators.models import depth_or_limit, indexed, name_of, penalty, training_facts
+from widesift.operators.models import MacroF1, depth_or_limit, indexed, name_of, penalty, training_facts
 from widesift.operators.splits import stratified_folds
 
 # Inverse penalty strengths, forest grid and fold count of the tuned searches.
@@ -27,24 +26,6 @@ FOREST_DEPTHS = (10, 20, None)
 FOLDS = 3
 
 
-class MacroF1(Evaluator):
-    """Unweighted mean F1 over the classes that occur as label or prediction."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        # classes x classes counts, whatever the number of rows
-        counts = dataset.groupBy("_y", "prediction").count().collect()
-        true, guessed, right = Counter(), Counter(), Counter()
-        for y, p, n in counts:
-            true[y] += n
-            guessed[p] += n
-            right[y] += n if y == p else 0
-        classes = true.keys() | guessed.keys()
-        return sum(2 * right[c] / (true[c] + guessed[c]) for c in classes) / len(classes)
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def _training(vectors: DataFrame, folds: int | None) -> tuple[DataFrame, list[str], int]:
     [(_, classes, n)] = training_facts(vectors, ["cohort", "seed"])
     rows = indexed(vectors.where(F.col("part") == "train"), classes)

@@ -8,10 +8,13 @@ chosen so far and takes the best class. One job scores all candidates of all coh
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame, functions as F
 
-from widesift.operators import metrics
+from widesift.operators import metrics, models
 from widesift.operators.selection import project_features
 from widesift.session import broadcast_if_bounded, cut_lineage
 
@@ -22,6 +25,11 @@ SMOOTHING = 1e-9
 DIGITS = 9
 
 
+def _small(written: DataFrame) -> DataFrame:
+    """A table that has been written: measured where it is."""
+    return broadcast_if_bounded(written, written)
+
+
 def _row_keys(cells: DataFrame) -> list[str]:
     return [k for k in ("cohort", "seed", "sample_id") if k in cells.columns]
 
@@ -40,7 +48,7 @@ def _fold_fits(cells: DataFrame, folded: DataFrame, folds: int) -> tuple[DataFra
         F.array_sort(F.collect_list(F.struct("label", "n"))).alias("_c"), F.sum("n").alias("_n")).select(
         *GROUP, "fold", F.transform("_c", lambda c: F.struct(
             c["label"].alias("label"), F.log(c["n"] / F.col("_n")).alias("prior"))).alias("classes"))
-    gaussians = (cells.join(broadcast_if_bounded(fitting, fitting), _row_keys(cells))
+    gaussians = (cells.join(_small(fitting), _row_keys(cells))
                  .groupBy(*GROUP, "fold", "feature", "label")
                  .agg(F.avg("value").alias("mean"), (F.var_pop("value") + SMOOTHING).alias("_var"))
                  .withColumn("peak", -0.5 * F.log(2 * math.pi * F.col("_var")))
@@ -64,8 +72,8 @@ def _terms(cells: DataFrame, folded: DataFrame, fits: DataFrame) -> DataFrame:
         return F.coalesce(p["peak"] - p["slope"] * gap * gap, F.lit(0.0))
 
     rows = folded.select(*SAMPLE)
-    return (cells.join(broadcast_if_bounded(rows, rows), _row_keys(cells))
-            .join(broadcast_if_bounded(fits, fits), [*GROUP, "fold", "feature"])
+    return (cells.join(_small(rows), _row_keys(cells))
+            .join(_small(fits), [*GROUP, "fold", "feature"])
             .select(*SAMPLE, "feature", F.transform("params", term).alias("terms")))
 
 
@@ -93,9 +101,9 @@ def forward_selection(matrix: DataFrame, folded: DataFrame, steps: int, folds: i
     chosen = None
     for rank in range(1, steps + 1):
         left = terms if chosen is None else terms.join(
-            broadcast_if_bounded(chosen.select(*GROUP, "feature"), chosen), [*GROUP, "feature"], "left_anti")
+            _small(chosen.select(*GROUP, "feature")), [*GROUP, "feature"], "left_anti")
         best = cut_lineage(_best_candidate(left, running).withColumn("rank", F.lit(rank)))
-        winner = terms.join(broadcast_if_bounded(best.select(*GROUP, "feature"), best), [*GROUP, "feature"], "left_semi")
+        winner = terms.join(_small(best.select(*GROUP, "feature")), [*GROUP, "feature"], "left_semi")
         running = cut_lineage(
             running.join(winner.drop("feature"), SAMPLE, "left").select(
                 *SAMPLE, "label", "names",
@@ -109,7 +117,7 @@ def candidate_scores(terms: DataFrame, running: DataFrame) -> DataFrame:
     keys = [*GROUP, "feature", "fold"]
     # compared as whole multiples of 1e-9, so that the order of a sum cannot decide between equal classes
     sums = F.zip_with("total", "terms", lambda a, b: F.rint((a + b) * 10.0 ** DIGITS))
-    guessed = (terms.join(broadcast_if_bounded(running, running), SAMPLE).withColumn("_s", sums)
+    guessed = (terms.join(_small(running), SAMPLE).withColumn("_s", sums)
                .select(*keys, "label", F.element_at(
                    "names", F.array_position("_s", F.array_max("_s")).cast("int")).alias("prediction")))
     per_class = metrics.class_metrics(metrics.confusion_counts(guessed, keys), keys)
@@ -121,3 +129,52 @@ def _best_candidate(terms: DataFrame, running: DataFrame) -> DataFrame:
     first = F.min(F.struct((-F.round("score", DIGITS)).alias("_d"), "feature", "score"))
     return (candidate_scores(terms, running).groupBy(*GROUP).agg(first.alias("b"))
             .select(*GROUP, "b.feature", "b.score"))
+
+
+# ---- trained candidates -----------------------------------------------------------------------
+
+def forward_selection_logistic(vectors: DataFrame, folded: DataFrame, candidates: DataFrame, steps: int,
+                               folds: int = 2, parallelism: int = 8) -> DataFrame:
+    """The same selection with a logistic model trained for every candidate, fold and step.
+
+    vectors: scaled (cohort, seed, sample_id, features) of all candidates in name order. Training is
+    MLlib's, on the executors; the driver submits `parallelism` fits at a time. Nothing is left out, so
+    this costs candidates x folds fits per step: use the default scorer for more than a few hundred.
+    """
+    rows = cut_lineage(vectors.select(*GROUP, "sample_id", "features").join(folded, [*GROUP, "sample_id"]))
+    found = []
+    for group in rows.select(*GROUP).distinct().orderBy(*GROUP).collect():
+        this = (F.col("cohort") == group["cohort"]) & (F.col("seed") == group["seed"])
+        names = [r[0] for r in candidates.where(this).select("feature").orderBy("feature").collect()]
+        found += [(group["cohort"], group["seed"], rank, names[i], score)
+                  for rank, (i, score) in enumerate(_trained_steps(rows.where(this), len(names), steps, folds, parallelism), 1)]
+    return vectors.sparkSession.createDataFrame(found, "cohort string, seed int, rank int, feature string, score double")
+
+
+def _trained_steps(rows: DataFrame, width: int, steps: int, folds: int, parallelism: int) -> list[tuple[int, float]]:
+    """(candidate position, score) of each step for one cohort and seed."""
+    chosen: list[tuple[int, float]] = []
+    [(_, classes, _)] = models.training_facts(rows.withColumn("part", F.lit("train")), GROUP)
+    rows = models.indexed(rows, classes).persist()
+    parts = [(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)) for f in range(folds)]
+    counts = [fit.count() for fit, _ in parts]
+
+    def score(position: int) -> float:
+        columns = [i for i, _ in chosen] + [position]
+        slicer = VectorSlicer(inputCol="features", outputCol="_x", indices=columns)
+        total = 0.0
+        for (fit, held), n in zip(parts, counts):
+            model = models.CLASSIFIERS["logistic_short"].build(n).setFeaturesCol("_x").fit(slicer.transform(fit))
+            total += models.MacroF1().evaluate(model.transform(slicer.transform(held)))
+        return total / folds
+
+    try:
+        for _ in range(min(steps, width)):
+            left = [i for i in range(width) if i not in {c for c, _ in chosen}]
+            with ThreadPool(parallelism) as pool:
+                scores = pool.map(inheritable_thread_target(rows.sparkSession)(score), left)
+            best = max(range(len(left)), key=lambda i: (scores[i], -i))  # the first of equal candidates
+            chosen.append((left[best], scores[best]))
+    finally:
+        rows.unpersist()
+    return chosen

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import time
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -16,6 +17,7 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -103,6 +105,24 @@ def name_of(index: Column, classes: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in classes]), index.cast("int") + 1)
 
 
+class MacroF1(Evaluator):
+    """Unweighted mean F1 over the classes that occur as label or prediction."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        # classes x classes counts, whatever the number of rows
+        counts = dataset.groupBy("_y", "prediction").count().collect()
+        true, guessed, right = Counter(), Counter(), Counter()
+        for y, p, n in counts:
+            true[y] += n
+            guessed[p] += n
+            right[y] += n if y == p else 0
+        classes = true.keys() | guessed.keys()
+        return sum(2 * right[c] / (true[c] + guessed[c]) for c in classes) / len(classes)
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 @dataclass
 class Fit:
     """One trained run: its predictions on the held-out rows, and what is recorded about it."""

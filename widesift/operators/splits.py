@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from widesift.operators import ranking
@@ -18,6 +19,11 @@ def consecutive_seeds(base: int = 42, runs: int = 10) -> list[int]:
     return list(range(base, base + runs))
 
 
+def random_seeds(base: int = 42, runs: int = 10) -> list[int]:
+    """Seeds drawn from numpy's default generator, 0 <= seed < 2**31 - 1."""
+    return [int(s) for s in np.random.default_rng(base).integers(0, 2**31 - 1, size=runs)]
+
+
 def seed_table(spark: SparkSession, base: int = 42, runs: int = 10) -> DataFrame:
     """(run_id, seed): run numbers from 0 and the seed of each run."""
     return spark.range(runs).select(F.col("id").cast("int").alias("run_id"),

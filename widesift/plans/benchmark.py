@@ -131,7 +131,7 @@ def select_k_best(fractions: Sequence[float] = K_BEST_FRACTIONS) -> Method:
 
 
 def forward_selection(fraction: float = FORWARD_FRACTION, prefilter: int = FORWARD_PREFILTER,
-                      folds: int = FORWARD_FOLDS) -> Method:
+                      folds: int = FORWARD_FOLDS, scorer: str = "naive_bayes") -> Method:
     """Forward selection of a fraction of the `prefilter` features with the highest variance."""
     param = f"fraction={fraction:g}"
 
@@ -140,8 +140,14 @@ def forward_selection(fraction: float = FORWARD_FRACTION, prefilter: int = FORWA
                                  .select("cohort", "seed", "feature"))
         widest = candidates.groupBy("cohort", "seed").count().agg(F.max("count")).first()[0]
         train = p.split.where(F.col("part") == "train").drop("part")
-        found = forward.forward_selection(p.cells(), splits.stratified_folds(train, folds),
-                                          max(1, int(widest * fraction)), folds, candidates)
+        folded = splits.stratified_folds(train, folds)
+        steps = max(1, int(widest * fraction))
+        if scorer == "logistic":
+            named = candidates.withColumns({"method": F.lit("forward"), "param": F.lit("candidates")})
+            vectors = cut_lineage(models.build_vectors(p.matrix, p.split, named, p.moments, p.fill))
+            found = forward.forward_selection_logistic(vectors, folded, candidates, steps, folds)
+        else:
+            found = forward.forward_selection(p.cells(), folded, steps, folds, candidates)
         return _tagged(found, param)
 
     return Method("forward", (param,), select, "logistic_short")
@@ -193,14 +199,21 @@ def evaluate_feature_sets(p: Prepared, feature_sets: DataFrame, classifier: str,
 
 
 def run_benchmark(p: Prepared, methods: Sequence[Method], parallelism: int = 8) -> Outcome:
-    """Runs every method for every cohort and seed. A failed fit is a run with its status, not an abort."""
-    parts = []
+    """Runs every method for every cohort and seed. A failure is a run with its status, not an abort."""
+    parts, broken = [], []
     for method in methods:
-        sets = cut_lineage(method.select(p).select("cohort", "seed", F.lit(method.name).alias("method"), "param", "feature"))
-        parts.append((sets, *evaluate_feature_sets(p, sets, method.classifier, parallelism)))
+        try:
+            sets = cut_lineage(method.select(p).select("cohort", "seed", F.lit(method.name).alias("method"), "param", "feature"))
+            parts.append((sets, *evaluate_feature_sets(p, sets, method.classifier, parallelism)))
+        except Exception as error:  # recorded, and the other methods go on
+            broken.append(F.when(F.col("method") == method.name, f"failed: {type(error).__name__}: {error}"[:200]))
+    if not parts:
+        raise RuntimeError("no method could be run")
     sets, predictions, log = (reduce(DataFrame.unionByName, column) for column in zip(*parts))
     results = metrics.evaluate(predictions, buckets=p.row_buckets()).join(log, metrics.RUN_KEYS, "full")
     width = p.moments.groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
     grid = splits.job_grid(p.samples, p.seeds, {m.name: m.params for m in methods})
     runs = reports.run_records(grid, sets, results, width)
+    if broken:
+        runs = runs.withColumn("status", F.coalesce(*broken, "status"))
     return Outcome(cut_lineage(runs), predictions, sets)

@@ -7,10 +7,12 @@ only collects the settings the jobs were written for, for use in tests, the benc
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 256 * 1024 * 1024
+PLAIN_COLUMN_BYTES = 48
 
 
 def build_session(app: str = "widesift", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,20 +38,41 @@ def build_session(app: str = "widesift", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def broadcast_if_bounded(side: DataFrame, rows_from: DataFrame | None = None,
-                         max_rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only after counting rows; a larger side goes through the ordinary shuffle join.
+def _row_bytes(schema: T.StructType) -> Column:
+    """Approximate in-memory size of a row; text and lists are measured, not assumed."""
 
-    `rows_from` is a cheap DataFrame known to have at least as many rows (for instance the label scan a
-    split table was derived from). Without one the side may be the result of a long plan: it is written
-    once, counted and joined from there, so that the count does not run the plan a second time.
+    def fixed(kind: T.DataType) -> int:
+        if isinstance(kind, T.StructType):
+            return 16 + sum(fixed(f.dataType) for f in kind.fields)
+        return 40 if isinstance(kind, T.StringType) else 8
+
+    def size(field: T.StructField) -> Column:
+        if isinstance(field.dataType, T.StringType):
+            return F.coalesce(F.length(field.name), F.lit(0)) + 16
+        if isinstance(field.dataType, T.ArrayType):
+            return F.coalesce(F.size(field.name), F.lit(0)) * fixed(field.dataType.elementType) + 32
+        return F.lit(fixed(field.dataType))
+
+    return reduce(lambda x, y: x + y, [size(f) for f in schema.fields]).cast("long")
+
+
+def broadcast_if_bounded(side: DataFrame, rows_from: DataFrame | None = None) -> DataFrame:
+    """Hint a broadcast only for a side measured to be small; a larger one takes the shuffle join.
+
+    The bound is `widesift.broadcastBytes` (256 MiB). Without `rows_from` the side may be the result of a
+    long plan: it is written once, measured and joined from there, so that measuring does not run the
+    plan a second time. `rows_from` is a cheap DataFrame with at least as many rows, for a side of plain
+    columns derived from it (as a split table is from the labels): its row count is the measure.
+    Passing the side itself says that it has been written already.
     """
-    spark = side.sparkSession
+    limit = int(side.sparkSession.conf.get("widesift.broadcastBytes", str(BROADCAST_BYTES)))
     if rows_from is None:
-        side = cut_lineage(side)
-    limit = max_rows or int(spark.conf.get("widesift.broadcastRows", str(BROADCAST_ROWS)))
-    rows = (rows_from if rows_from is not None else side).count()
-    return F.broadcast(side) if rows <= limit else side
+        side = rows_from = cut_lineage(side)
+    if rows_from is side:
+        total = side.agg(F.sum(_row_bytes(side.schema))).first()[0] or 0
+    else:
+        total = rows_from.count() * PLAIN_COLUMN_BYTES * len(side.columns)
+    return F.broadcast(side) if total <= limit else side
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
