@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from widesift.operators import metrics, moments, reports, scores, selection, splits
-from widesift.session import broadcast_if_bounded, cut_lineage
+from widesift.session import broadcast_if_bounded, cut_lineage, spread
 
 SEEDS = [42, 43, 44, 45, 46]
 
@@ -45,7 +45,7 @@ def doc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     return (docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
             .select("doc_id", words.alias("feature"))

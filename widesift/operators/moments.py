@@ -55,16 +55,12 @@ def _stats_pass(matrix, splits, seeds, samples):
         broadcast_if_bounded(masks, samples), ["cohort", "sample_id"])
     aggregates, outputs = [], []
     for i, seed in enumerate(seeds):
-        value = F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.col("value"))
-        aggregates += [F.count(value).alias(f"n{i}"), F.avg(value).alias(f"mean{i}"),
-                       F.var_pop(value).alias(f"var{i}"), F.min(value).alias(f"lo{i}"),
-                       F.max(value).alias(f"hi{i}")]
-        outputs.append(F.struct(
-            F.lit(int(seed)).alias("seed"), F.col(f"n{i}").alias("n"), F.col(f"mean{i}").alias("mean"),
-            (F.col(f"var{i}") * F.col(f"n{i}")).alias("m2"),
-            F.col(f"lo{i}").alias("lo"), F.col(f"hi{i}").alias("hi")))
+        value = f"IF((_mask & {1 << i}L) != 0, value, NULL)"
+        aggregates += [F.expr(f"{call}({value}) AS {name}{i}") for call, name in (
+            ("count", "n"), ("avg", "mean"), ("var_pop", "var"), ("min", "lo"), ("max", "hi"))]
+        outputs.append(f"named_struct('seed', {int(seed)}, 'n', n{i}, 'mean', mean{i}, 'm2', var{i} * n{i}, 'lo', lo{i}, 'hi', hi{i})")
     return (rows.groupBy("cohort", "feature", "label").agg(*aggregates)
-            .select("cohort", "feature", "label", F.explode(F.array(*outputs)).alias("s"))
+            .select("cohort", "feature", "label", F.expr(f"explode(array({', '.join(outputs)}))").alias("s"))
             .where(F.col("s.n") > 0)
             .select("cohort", "s.seed", "feature", "label", "s.n", "s.mean", "s.m2", "s.lo", "s.hi"))
 
@@ -95,20 +91,20 @@ def feature_moments(stats: DataFrame, sizes: DataFrame | None = None,
     else:
         filled = filled.join(fill.select(*keys, "fill"), keys)
     share = F.col("n") / F.col("size")
-    shifted = F.col("mean") - F.col("fill")
+    gap = F.col("mean") - F.col("fill")
+    # measured from the fill value, absent cells are zeros and absent classes add nothing to any sum
     filled = (filled
-              .withColumn("_m2", F.col("m2") + shifted * shifted * share * (F.col("size") - F.col("n")))
-              .withColumn("_shift", shifted * share))
-    offset = (F.sum(F.col("size") * F.col("_shift")).over(over_classes)) / F.col("_all")
-    pooled = (filled.withColumn("_offset", offset).groupBy(*keys).agg(
+              .withColumn("_m2", F.col("m2") + gap * gap * share * (F.col("size") - F.col("n")))
+              .withColumn("_shift", gap * share))
+    pooled = filled.groupBy(*keys).agg(
         F.any_value("_all").alias("n"), F.any_value("_k").alias("k"), F.any_value("fill").alias("fill"),
-        F.any_value("_offset").alias("_offset"), F.sum("n").alias("_present"), F.sum("size").alias("_seen"),
-        F.sum(F.col("size") * (F.col("_shift") - F.col("_offset")) ** 2).alias("_between"),
-        F.sum("_m2").alias("within"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        F.sum("n").alias("_present"), F.sum(F.col("size") * F.col("_shift")).alias("_sum"),
+        F.sum(F.col("size") * F.col("_shift") ** 2).alias("_squares"),
+        F.sum("_m2").alias("within"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     whole = F.col("_present") == F.col("n")
+    offset = F.col("_sum") / F.col("n")
     return pooled.select(
-        *keys, "n", "k", (F.col("fill") + F.col("_offset")).alias("mean"),
-        (F.col("_between") + (F.col("n") - F.col("_seen")) * F.col("_offset") ** 2).alias("between"),
-        "within",
+        *keys, "n", "k", (F.col("fill") + offset).alias("mean"),
+        F.greatest(F.lit(0.0), F.col("_squares") - F.col("_sum") * offset).alias("between"), "within",
         F.when(whole, F.col("lo")).otherwise(F.least("lo", "fill")).alias("lo"),
         F.when(whole, F.col("hi")).otherwise(F.greatest("hi", "fill")).alias("hi"))

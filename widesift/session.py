@@ -75,6 +75,15 @@ def broadcast_if_bounded(side: DataFrame, rows_from: DataFrame | None = None) ->
     return F.broadcast(side) if total <= limit else side
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan of fewer partitions than cores (one small file) out before costly work per row.
+
+    A large input has more partitions than cores already and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iterative result in the cluster's checkpoint folder (survives executor loss)."""
     sc = df.sparkSession.sparkContext
