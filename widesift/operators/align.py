@@ -59,7 +59,7 @@ def drop_class(labels: DataFrame, label: str) -> DataFrame:
 def drop_rare_classes(labels: DataFrame, min_size: int) -> DataFrame:
     """Samples whose class has at least `min_size` members in its cohort."""
     enough = class_distribution(labels).where(F.col("n") >= min_size)
-    return labels.join(enough, ["cohort", "label"], "left_semi")
+    return labels.join(broadcast_if_bounded(enough), ["cohort", "label"], "left_semi")
 
 
 def matrix_shape(matrix: DataFrame, labels: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def matrix_shape(matrix: DataFrame, labels: DataFrame) -> DataFrame:
 def label_index(labels: DataFrame) -> DataFrame:
     """Adds `label_index`, 0-based in alphabetical order of the cohort's classes."""
     classes = labels.groupBy("cohort").agg(F.array_sort(F.collect_set("label")).alias("_classes"))
-    return (labels.join(classes, "cohort")
+    return (labels.join(broadcast_if_bounded(classes), "cohort")
             .withColumn("label_index", (F.array_position("_classes", F.col("label")) - 1).cast("int"))
             .drop("_classes"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from widesift.functions.columns import digamma, unit_hash
 from widesift.operators import ranking
 from widesift.operators.scores import scorer
-from widesift.session import cut_lineage
+from widesift.session import broadcast_if_bounded, cut_lineage
 
 KEYS = ["cohort", "seed", "feature"]
 NEIGHBOURS = 3
@@ -99,9 +99,11 @@ def _prepared(cells: DataFrame, buckets: int) -> DataFrame:
                  .withColumn("_mean", magnitude.over(Window.partitionBy(*KEYS)))
                  .withColumn("class_size", F.count("*").over(Window.partitionBy(*KEYS, "label"))))
     else:
+        present = cut_lineage(present)
         means = present.groupBy(*KEYS).agg(magnitude.alias("_mean"))
         sizes = present.groupBy(*KEYS, "label").agg(F.count("*").alias("class_size"))
-        sized = present.join(means, KEYS).join(sizes, [*KEYS, "label"])
+        sized = (present.join(broadcast_if_bounded(means), KEYS)
+                 .join(broadcast_if_bounded(sizes), [*KEYS, "label"]))
     noise = F.lit(JITTER) * F.greatest(F.lit(1.0), F.col("_mean")) * unit_hash(F.col("sample_id"))
     return (sized.where(F.col("class_size") > 1)
             .select(*KEYS, "sample_id", "label", (F.col("value") + noise).alias("x"), "class_size"))

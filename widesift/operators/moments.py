@@ -85,7 +85,7 @@ def feature_moments(stats: DataFrame, sizes: DataFrame | None = None,
                      F.sum("m2").alias("within"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
     totals = sizes.groupBy("cohort", "seed").agg(F.sum("size").alias("_all"), F.count("*").alias("_k"))
     known = sizes.join(totals, ["cohort", "seed"])
-    filled = stats.join(known, ["cohort", "seed", "label"])
+    filled = stats.join(broadcast_if_bounded(known), ["cohort", "seed", "label"])
     if fill is None:
         filled = filled.withColumn("fill", F.lit(0.0))
     else:

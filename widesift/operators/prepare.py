@@ -37,7 +37,7 @@ def median_impute(matrix: DataFrame, splits: DataFrame, fill: DataFrame) -> Data
              .groupBy(*keys).agg(F.collect_list(F.struct("feature", "fill")).alias("_fills")))
     rows = splits.select("cohort", "seed", "sample_id", "part",
                          F.explode(F.sequence(F.lit(0), F.lit(FILL_CHUNKS - 1))).alias("_chunk"))
-    grid = rows.join(lists, keys).select("cohort", "seed", "sample_id", "part", F.inline("_fills"))
+    grid = rows.join(broadcast_if_bounded(lists), keys).select("cohort", "seed", "sample_id", "part", F.inline("_fills"))
     return (grid.join(matrix, ["cohort", "sample_id", "feature"], "left")
             .select("cohort", "seed", "sample_id", "part", "feature",
                     F.coalesce("value", "fill").alias("value"), F.col("value").isNull().alias("imputed")))

@@ -12,6 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from widesift.session import broadcast_if_bounded, cut_lineage
+
 ROWS_PER_BUCKET = 1_000_000
 BUCKET = "_bucket"
 
@@ -31,7 +33,7 @@ def with_value_bucket(df: DataFrame, keys: list[str], col: str, buckets: int,
     fractions = [i / buckets for i in range(1, buckets)]
     cuts = (cuts_from if cuts_from is not None else df).groupBy(*keys).agg(
         F.percentile_approx(col, fractions, max(1000, 20 * buckets)).alias("_cuts"))
-    return (df.join(cuts, keys)
+    return (df.join(broadcast_if_bounded(cuts), keys)
             .withColumn(BUCKET, F.size(F.filter("_cuts", lambda c: c < F.col(col))))
             .drop("_cuts"))
 
@@ -71,9 +73,15 @@ def medians(df: DataFrame, keys: list[str], col: str, out: str, buckets: int = 1
     present = df.where(F.col(col).isNotNull())
     if buckets <= 1:
         return present.groupBy(*keys).agg(F.percentile(col, 0.5).alias(out))
-    cut = with_value_bucket(present.select(*keys, col), keys, col, buckets)
-    ranked = numbered(cut, keys, [col], "_rank", bucketed=True)
+    # written because the quantile sketch, the counts and the ranking read it
+    present = cut_lineage(present.select(*keys, col))
+    cut = with_value_bucket(present, keys, col, buckets)
     sizes = present.groupBy(*keys).agg(F.count(col).alias("_size"))
-    return (ranked.join(sizes, keys)
+    # the group size travels with the bucket offsets, so that the rows never meet under the key alone
+    offsets = bucket_offsets(cut, keys, F.lit(1).cast("long")).join(sizes, keys)
+    spread = [*keys, BUCKET]
+    place = F.row_number().over(Window.partitionBy(*spread).orderBy(col))
+    return (cut.withColumn("_rank", place).join(offsets, spread)
+            .withColumn("_rank", F.col("_rank") + F.col("_before"))
             .where(F.col("_rank").between(F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1))
             .groupBy(*keys).agg(F.avg(col).alias(out)))

@@ -46,7 +46,8 @@ def top_fraction(scores: DataFrame, fractions: list[float], buckets: int = 1,
         sized = ranked.withColumn("_width", F.count("*").over(Window.partitionBy(*GROUP)))
     else:
         ranked = cut_lineage(ranked)
-        sized = ranked.join(ranked.groupBy(*GROUP).agg(F.count("*").alias("_width")), GROUP)
+        widths = ranked.groupBy(*GROUP).agg(F.count("*").alias("_width"))
+        sized = ranked.join(broadcast_if_bounded(widths), GROUP)
     return (sized.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
             .where(F.col("rank") <= feature_budget(F.col("_width"), F.col("fraction")))
             .drop("_width"))
@@ -59,8 +60,9 @@ def above(scores: DataFrame, threshold: float | Column) -> DataFrame:
 
 def above_mean(scores: DataFrame) -> DataFrame:
     """Scores strictly above the mean score of their cohort and seed."""
+    scores = cut_lineage(scores)
     mean = scores.groupBy(*GROUP).agg(F.avg("score").alias("_mean"))
-    return scores.join(mean, GROUP).where(F.col("score") > F.col("_mean")).drop("_mean")
+    return scores.join(broadcast_if_bounded(mean), GROUP).where(F.col("score") > F.col("_mean")).drop("_mean")
 
 
 def nonzero(scores: DataFrame) -> DataFrame:
