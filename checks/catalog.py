@@ -192,7 +192,7 @@ def doc_moments(spark, sf_dir):
     return moments.feature_moments(stats, moments.class_sizes(split))
 
 
-DOC_F = """SELECT cohort, seed, feature, n, k, tokens, CASE WHEN k < 2 OR n <= k OR hi = lo THEN NULL WHEN within_ss <= 1e-12 THEN 'inf'::DOUBLE
+DOC_F = """SELECT cohort, seed, feature, n, k, tokens, CASE WHEN k < 2 OR n <= k OR hi = lo THEN NULL WHEN within_ss <= 1e-12::DOUBLE * (between_ss + within_ss) THEN 'inf'::DOUBLE
   ELSE (between_ss / (k - 1)) / (within_ss / (n - k)) END AS score, (between_ss + within_ss) / n AS variance, hi > lo AS varies FROM (
   SELECT s.cohort, s.seed, s.feature, t.n, t.k, sum(s.present) AS tokens, sum(q) - sum(s.s * s.s / c.size) AS within_ss,
     sum(s.s * s.s / c.size) - sum(s.s) * sum(s.s) / t.n AS between_ss,
@@ -278,11 +278,13 @@ cte("hour_median", "SELECT cohort, seed, feature, quantile_cont(value, 0.5) AS f
 cte("hour_dense", f"""SELECT s.cohort, s.seed, s.sample_id, s.label, s.part, m.feature, coalesce(c.value, m.fill) AS value, c.value IS NULL AS imputed
   FROM hour_split s JOIN hour_median m ON {on('s', 'm', 'cohort, seed')}
   LEFT JOIN hour_cells c ON {on('c', 's', 'cohort, sample_id')} AND c.feature = m.feature""", "hour_split", "hour_median", "hour_cells")
-cte("hour_f", f"""SELECT s.cohort, s.seed, s.feature, (sum(s.n * (s.mean - g.mean) * (s.mean - g.mean)) / (count(*) - 1))
-    / (sum(s.m2) / (sum(s.n) - count(*))) AS score
+cte("hour_f", f"""SELECT cohort, seed, feature, CASE WHEN k < 2 OR n <= k OR hi = lo THEN NULL
+    WHEN within_ss <= 1e-12::DOUBLE * (between_ss + within_ss) THEN 'inf'::DOUBLE ELSE (between_ss / (k - 1)) / (within_ss / (n - k)) END AS score FROM (
+  SELECT s.cohort, s.seed, s.feature, sum(s.n * (s.mean - g.mean) * (s.mean - g.mean)) AS between_ss, sum(s.m2) AS within_ss,
+    sum(s.n) AS n, count(*) AS k, any_value(g.lo) AS lo, any_value(g.hi) AS hi
   FROM (SELECT cohort, seed, feature, label, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS m2 FROM hour_dense WHERE part = 'train' GROUP BY ALL) s
-  JOIN (SELECT cohort, seed, feature, avg(value) AS mean FROM hour_dense WHERE part = 'train' GROUP BY ALL) g ON {on('s', 'g', 'cohort, seed, feature')}
-  GROUP BY ALL""", "hour_dense")
+  JOIN (SELECT cohort, seed, feature, avg(value) AS mean, min(value) AS lo, max(value) AS hi FROM hour_dense WHERE part = 'train' GROUP BY ALL) g
+    ON {on('s', 'g', 'cohort, seed, feature')} GROUP BY ALL)""", "hour_dense")
 
 
 @query(sql(f"SELECT cohort, seed, feature, {r6('fill')} AS fill FROM hour_median", "hour_median"))
@@ -298,7 +300,7 @@ def median_impute(spark, sf_dir):
 
 
 @query(sql(f"""SELECT cohort, seed, fraction, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (
-  SELECT f.*, t.fraction, row_number() OVER (PARTITION BY cohort, seed, fraction ORDER BY round(score, 9) DESC, feature DESC) AS rn,
+  SELECT f.*, t.fraction, row_number() OVER (PARTITION BY cohort, seed, fraction ORDER BY round(score, 9) DESC NULLS LAST, feature DESC) AS rn,
     count(*) OVER (PARTITION BY cohort, seed, fraction) AS width
   FROM hour_f f, (SELECT unnest([0.01::DOUBLE, 0.05, 0.10, 0.25, 0.50]) AS fraction) t)
   WHERE rn <= greatest(1, floor(width * fraction))""", "hour_f"))

@@ -36,12 +36,15 @@ def variance_scores(moments: DataFrame) -> DataFrame:
 
 @scorer("anova")
 def anova_scores(moments: DataFrame) -> DataFrame:
-    """One-way ANOVA F. No spread inside the classes gives +inf, or null where there is none at all."""
+    """One-way ANOVA F. No spread inside the classes gives +inf, or null where there is none at all.
+
+    "No spread" is a share of the total within rounding error, so that it does not hang on summation order.
+    """
     between = F.col("between") / (F.col("k") - 1)
     within = F.col("within") / (F.col("n") - F.col("k"))
     undefined = (F.col("k") < 2) | (F.col("n") <= F.col("k")) | (F.col("hi") == F.col("lo"))
     return moments.select(*KEYS, F.when(undefined, F.lit(None).cast("double"))
-                          .when(F.col("within") <= 0, F.lit(float("inf")))
+                          .when(F.col("within") <= 1e-12 * (F.col("between") + F.col("within")), F.lit(float("inf")))
                           .otherwise(between / within).alias("score"))
 
 
