@@ -59,8 +59,8 @@ def test_input_errors(spark, tmp_path):
     with pytest.raises(ValueError, match="Subtype_Selected"):
         matrices.read_labels(spark, str(path), "X")
     with pytest.raises(ValueError, match="unsupported"):
-        matrices.cohort_paths({"BRCA": ("a", "b")}, "nope")
-    assert matrices.cohort_paths({"BRCA": ("a", "b")}, "brca") == ("a", "b")
+        matrices.cohort_paths({"ALPHA": ("a", "b")}, "nope")
+    assert matrices.cohort_paths({"ALPHA": ("a", "b")}, "alpha") == ("a", "b")
 
 
 def test_matrix_cache_builds_once(spark, tmp_path):
@@ -103,11 +103,11 @@ def test_glob_of_run_files(spark, tmp_path):
 
 
 def test_old_runs_take_names_from_directories(spark, tmp_path):
-    folder = tmp_path / "LASSO" / "COAD"
+    folder = tmp_path / "LASSO" / "BETA"
     folder.mkdir(parents=True)
-    (folder / "COAD_run_results.csv").write_text("run,seed,accuracy\n1,7,0.5\n")
+    (folder / "BETA_run_results.csv").write_text("run,seed,accuracy\n1,7,0.5\n")
     row = runs.read_old_runs(spark, str(tmp_path), "LASSO").first()
-    assert (row["cohort"], row["method"], row["seed"], row["accuracy"]) == ("COAD", "LASSO", 7, 0.5)
+    assert (row["cohort"], row["method"], row["seed"], row["accuracy"]) == ("BETA", "LASSO", 7, 0.5)
     assert runs.read_old_runs(spark, str(tmp_path), "RandomForest").count() == 0
 
 
