@@ -4,21 +4,61 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import simhash
+from widesift.llm import catalog, contamination, language, packing, secrets, simhash
+from widesift.session import cut_lineage
+
+#: below this posterior a document's language counts as unknown
+LEAST_SCORE = 0.5
+
+
+def keyed(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """`docs` without the rows whose doc_id `verdicts` lists; rows without a doc_id stay."""
+    return docs.join(cut_lineage(verdicts.select("doc_id").distinct()), "doc_id", "left_anti")
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which no language can be told: without letters, or with no language more likely than not."""
+    found = language.identify(docs, catalog.language_model(docs))
+    return keyed(docs, found.where((F.col("lang_pred") == language.UNDECIDED) | (F.col("score") < LEAST_SCORE)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of every group of near-duplicates, the document with the smallest id."""
-    found = simhash.near_duplicates(docs).where(F.col("id") == F.col("component"))
-    return docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """Keeps, of every group of near-duplicates, the document with the smallest id; rows that share an id are one document."""
+    found = simhash.near_duplicates(docs)
+    kept = keyed(docs.where(F.col("doc_id").isNotNull()), found.where(F.col("id") != F.col("component")).withColumnRenamed("id", "doc_id"))
+    again = cut_lineage(found.groupBy(F.col("id").alias("doc_id")).count().where("count > 1 AND doc_id IS NOT NULL"))
+    if not again.isEmpty():
+        kept = keyed(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of whose words at least one in twenty stands in a passage of the benchmark."""
+    found = contamination.match(docs, catalog.table(spark, sf_dir, "benchmark"))
+    return keyed(docs, found.where(contamination.contaminated(F.col("n_words"), F.col("hits"))))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; everything else stays."""
+    found, _ = secrets.find_secrets(docs)
+    clean = secrets.redacted(found)
+    return clean.withColumn("n_chars", F.when(F.size(found["spans"]) > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens, a row for each piece of a document."""
+    return packing.pack(docs, catalog.vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("near-dedup", near_dedup)]
+STAGES = [("language ID", known_language), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminated),
+          ("secret scans", without_secrets), ("packing", packed)]
+#: tokenizers, trained models and XXH64 have no SQL; the tests hold run() against plain Python
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Applies the stages to `documents`, each on the written result of the one before."""
+    docs = catalog.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

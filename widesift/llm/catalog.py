@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import simhash
+from widesift.llm import contamination, language, packing, secrets, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,10 +21,52 @@ def query(oracle: str | None = None):
     return register
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file, the same on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query()
+def op1_packing(spark, sf_dir):
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query()
+def op2_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op6_secrets(spark, sf_dir):
+    found, _ = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(value.alias(name) for name, value in secrets.digest(F.col("spans")).items()))
+
+
+def language_model(rows: DataFrame) -> language.Model:
+    return language.fit(rows.where(~language.held_out(F.col("doc_id"))), language.vocabulary(vocabulary("piece_bpe_32k.model")))
+
+
+@query()
+def op8_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language_model(docs)).withColumn("held_out", language.held_out(F.col("doc_id")))
+
+
+@query()
+def op9_contamination(spark, sf_dir):
+    found = contamination.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", contamination.coverage(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        contamination.contaminated(F.col("n_words"), F.col("hits")).alias("contaminated"))
+
+
 @query()
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
