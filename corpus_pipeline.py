@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from widesift.llm import catalog, contamination, language, packing, secrets, simhash
-from widesift.session import cut_lineage
+from widesift.session import checkpoint_folder, cut_lineage
 
 #: below this posterior a document's language counts as unknown
 LEAST_SCORE = 0.5
@@ -39,10 +41,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; everything else stays."""
-    found, _ = secrets.find_secrets(docs)
+    """Replaces secrets in the texts and brings n_chars up to date where that changes a text; everything else stays."""
+    found, _ = secrets.find_secrets(docs.select(F.struct("*").alias("row"), "text"))
     clean = secrets.redacted(found)
-    return clean.withColumn("n_chars", F.when(F.size(found["spans"]) > 0, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+    text, n_chars = F.col("row.text"), F.col("row.n_chars")
+    changed = clean.withColumn("n_chars", F.when(F.col("text") == text, n_chars).otherwise(F.length("text").cast("bigint")))
+    replaced = {"text": F.col("text"), "n_chars": F.when(text.isNull(), n_chars).otherwise(F.col("n_chars"))}
+    return changed.select(*(replaced.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`, each on the written result of the one before."""
+    """Applies the stages to `documents`; each stage's rows are written as Parquet and read again by the next one."""
     docs = catalog.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import contamination, language, packing, secrets, simhash, token_counts
+from widesift.llm import contamination, language, packing, personal, secrets, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +49,12 @@ def op6_secrets(spark, sf_dir):
     return found.select("doc_id", *(value.alias(name) for name, value in secrets.digest(F.col("spans")).items()))
 
 
+@query()
+def op7_personal(spark, sf_dir):
+    found = personal.find_personal(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(value.alias(name) for name, value in personal.digest(F.col("base"), F.col("found")).items()))
+
+
 def language_model(rows: DataFrame) -> language.Model:
     return language.fit(rows.where(~language.held_out(F.col("doc_id"))), language.vocabulary(vocabulary("piece_bpe_32k.model")))
 

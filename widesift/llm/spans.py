@@ -10,7 +10,9 @@ from pyspark.sql import Column, functions as F
 
 #: matches per stretch of the running sum; keeps the cost of very many matches in one text near-linear
 STRETCH = 256
-EMPTY = "array<struct<start:bigint,end:bigint,text:string>>"
+#: characters in front of a match that are kept with it
+BEFORE = 48
+EMPTY = "array<struct<start:bigint,end:bigint,text:string,before:string>>"
 
 
 def let(value: Column, body) -> Column:
@@ -19,9 +21,9 @@ def let(value: Column, body) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, text>> of the leftmost non-overlapping matches of a (Java) pattern that never matches nothing.
+    """array<struct<start, end, text, before>> of the leftmost non-overlapping matches of a (Java) pattern that never matches nothing.
 
-    A null text has no matches.
+    `before` is the end of what stands between the match and the one before it. A null text has no matches.
     """
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
     none = F.array().cast(EMPTY)
@@ -30,7 +32,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 def _placed(gaps: Column, found: Column) -> Column:
     steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(
-        F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("long"), m.alias("text")))
+        F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("long"), m.alias("text"), F.substring(g, -BEFORE, BEFORE).alias("before")))
 
     def walk(steps: Column) -> Column:
         stretches = F.transform(F.sequence(F.lit(0), ((F.size(steps) - 1) / STRETCH).cast("int")),
@@ -50,7 +52,7 @@ def scan(part: Column, base: Column) -> Column:
     return F.aggregate(part, first, lambda a, x: F.struct(
         (a["at"] + x["gap"] + x["long"]).alias("at"),
         F.array_append(a["out"], F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["long"]).alias("end"),
-                                          x["text"].alias("text"))).alias("out")), lambda a: a["out"])
+                                          x["text"].alias("text"), x["before"].alias("before"))).alias("out")), lambda a: a["out"])
 
 
 def joined(spans: Column) -> Column:
