@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import catalog, contamination, language, packing, secrets, simhash
+from widesift.llm import blob_ledger, catalog, contamination, language, packing, simhash
 from widesift.session import checkpoint_folder, cut_lineage
 
 #: below this posterior a document's language counts as unknown
@@ -42,8 +42,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts and brings n_chars up to date where that changes a text; everything else stays."""
-    found, _ = secrets.find_secrets(docs.select(F.struct("*").alias("row"), "text"))
-    clean = secrets.redacted(found)
+    found, _ = blob_ledger.find_secrets(docs.select(F.struct("*").alias("row"), "text"))
+    clean = blob_ledger.redacted(found)
     text, n_chars = F.col("row.text"), F.col("row.n_chars")
     changed = clean.withColumn("n_chars", F.when(F.col("text") == text, n_chars).otherwise(F.length("text").cast("bigint")))
     replaced = {"text": F.col("text"), "n_chars": F.when(text.isNull(), n_chars).otherwise(F.col("n_chars"))}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import contamination, language, packing, personal, secrets, simhash, token_counts
+from widesift.llm import blob_ledger, contamination, language, packing, personal, simhash, token_counts, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,10 +43,17 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query()
+def op3_vectors(spark, sf_dir):
+    found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+                        F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
+
+
 @query()
 def op6_secrets(spark, sf_dir):
-    found, _ = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *(value.alias(name) for name, value in secrets.digest(F.col("spans")).items()))
+    found, _ = blob_ledger.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(value.alias(name) for name, value in blob_ledger.digest(F.col("spans")).items()))
 
 
 @query()

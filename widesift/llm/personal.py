@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from widesift.llm.secrets import address
+from widesift.llm.blob_ledger import address
 from widesift.llm.spans import joined, let, matches
 from widesift.session import broadcast_if_bounded, cut_lineage
 
