@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import blob_ledger, contamination, language, packing, personal, simhash, token_counts, vectors
+from widesift.llm import (blob_ledger, contamination, language, packing, personal, quotations, simhash, token_counts, twins, url_lists,
+                          vectors)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,14 +44,52 @@ def op2_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-@query()
+@query(twins.VECTORS)
 def op3_vectors(spark, sf_dir):
     found = vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
-@query()
+@query(twins.QUOTATIONS)
+def op4_quotations(spark, sf_dir):
+    found = quotations.link(table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "turn", F.coalesce("parent", F.lit(-1)).alias("parent"), "depth", "n_quotes", "n_linked", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"),
+                        F.sha2(quotations.formatted(F.col("role"), F.col("own")), 256).alias("message_sha256"))
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a day of fetching, which the page's number decides."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_at"))
+
+
+def dated_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Additions to and removals from three lists, derived from the hosts of `pages`: a hash of the host decides lists and days."""
+    hosts = table(spark, sf_dir, "pages").select(url_lists.host_of(F.col("url")).alias("host")).dropna().distinct()
+    digit = lambda at: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("host"), at, 1)) - 1
+    hosts = hosts.withColumns({"x": digit(1), "y": digit(2)})
+    event = lambda name, kind, value, action, start, days: F.struct(
+        F.lit(name).alias("list"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(action).alias("action"),
+        F.date_add(F.lit(start).cast("date"), days.cast("int")).alias("dated"))
+    host, x, y = F.col("host"), F.col("x"), F.col("y")
+    some = lambda when, *events: F.when(when, F.array(*events)).otherwise(F.array())
+    return hosts.select(F.explode(F.concat(
+        some(x < 6, event("malware", "host", host, "add", "2023-12-01", y * 20), event("malware", "host", host, "remove", "2023-12-01", y * 20 + 90),
+             event("malware", "host", host, "add", "2023-12-01", y * 20 + 150)),
+        some((x >= 13) & (F.size(F.split("host", r"\.")) >= 4), event("adult", "domain", F.regexp_replace("host", r"^[^.]+\.", ""), "add", "2024-02-01", y * 10)),
+        some(x % 2 == 0, event("spam", "prefix", F.concat(host, F.lit("/en")), "add", "2024-01-01", y * 5),
+             event("spam", "prefix", F.concat(host, F.lit("/en")), "remove", "2024-01-01", y * 5 + 120)))).alias("e")).select("e.*")
+
+
+@query(twins.URL_LISTS)
+def op5_url_lists(spark, sf_dir):
+    found = url_lists.active(captures(spark, sf_dir), dated_lists(spark, sf_dir))
+    return found.select("page_id", url_lists.host_of(F.col("url")).alias("host"), F.col("fetched_at").cast("string").alias("fetched_on"),
+                        F.array_join("lists", ",").alias("lists"), (F.size("lists") > 0).alias("blocked"))
+
+
+@query(twins.SECRETS)
 def op6_secrets(spark, sf_dir):
     found, _ = blob_ledger.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(value.alias(name) for name, value in blob_ledger.digest(F.col("spans")).items()))
@@ -72,7 +111,7 @@ def op8_language(spark, sf_dir):
     return language.identify(docs, language_model(docs)).withColumn("held_out", language.held_out(F.col("doc_id")))
 
 
-@query()
+@query(twins.CONTAMINATION)
 def op9_contamination(spark, sf_dir):
     found = contamination.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", contamination.coverage(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
