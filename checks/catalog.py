@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks import fixtures as fx
 from checks.oracles import RUN, on, r6, sql
-from widesift.functions.columns import rounded
+from widesift.functions.columns import rounded, significant
 from widesift.operators import align, embedded, forward, information, metrics, models, moments, prepare, reports, scores, selection, splits
 from widesift.plans import benchmark
 from widesift.session import cut_lineage
@@ -57,7 +57,7 @@ def anova_f(spark, sf_dir):
 
 
 @query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature DESC) AS rn FROM emb_f)
+  SELECT *, row_number() OVER (PARTITION BY cohort, seed ORDER BY sig(score) DESC, feature DESC) AS rn FROM emb_f)
   WHERE rn <= 20""", "emb_f"))
 def anova_top_k(spark, sf_dir):
     best = selection.top_k(scores.anova_scores(emb_moments(spark, sf_dir)), 20)
@@ -78,20 +78,20 @@ def r6s(*columns: str) -> str:
 @query(sql(f"""SELECT c.cohort, c.sample_id, c.feature, {r6('c.value')} AS value, l.label
   FROM evt_cells c JOIN ord_lab l ON {on('c', 'l', 'cohort, sample_id')}""", "evt_cells", "ord_lab"))
 def align_average_dedup(spark, sf_dir):
-    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
-    return six(align.align(align.average_duplicates(fx.evt_readings(spark, sf_dir)), labels), "value")
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos", fx.ID_LENGTH)
+    return six(align.align(align.average_duplicates(fx.evt_readings(spark, sf_dir), id_length=fx.ID_LENGTH), labels), "value")
 
 
-@query(sql(f"""SELECT r.cohort, substr(r.barcode, 1, 12) AS sample_id, r.feature, r.value, l.label
-  FROM evt_read r JOIN (SELECT 'E' AS cohort, 'USER-' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS sample_id, c_mktsegment AS label
-    FROM customer WHERE c_mktsegment IS NOT NULL) l ON r.cohort = l.cohort AND substr(r.barcode, 1, 12) = l.sample_id""", "evt_read"))
+@query(sql(f"""SELECT r.cohort, substr(r.barcode, 1, 17) AS sample_id, r.feature, r.value, l.label
+  FROM evt_read r JOIN (SELECT 'E' AS cohort, 'USER-' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS sample_id, c_mktsegment AS label
+    FROM customer WHERE c_mktsegment IS NOT NULL) l ON r.cohort = l.cohort AND substr(r.barcode, 1, 17) = l.sample_id""", "evt_read"))
 def align_merge_no_dedup(spark, sf_dir):
     from widesift.functions.columns import patient_id
     clinical = fx.table(spark, sf_dir, "customer").select(
-        F.lit("E").alias("cohort"), F.concat(F.lit("USER-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("id"),
+        F.lit("E").alias("cohort"), F.concat(F.lit("USER-"), F.lpad(F.col("c_custkey").cast("string"), fx.ID_DIGITS, "0")).alias("id"),
         "c_mktsegment")
-    labels = align.complete_labels(clinical, "id", "c_mktsegment")
-    readings = fx.evt_readings(spark, sf_dir).select("cohort", patient_id("barcode").alias("sample_id"), "feature", "value")
+    labels = align.complete_labels(clinical, "id", "c_mktsegment", id_length=fx.ID_LENGTH)
+    readings = fx.evt_readings(spark, sf_dir).select("cohort", patient_id("barcode", fx.ID_LENGTH).alias("sample_id"), "feature", "value")
     return align.align(readings, labels)
 
 
@@ -108,8 +108,8 @@ def named_class_filter(spark, sf_dir):
 
 @query(sql("SELECT cohort, label, count(*) AS n FROM evt_common GROUP BY 1, 2", "evt_common"))
 def class_distribution(spark, sf_dir):
-    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
-    matrix = align.average_duplicates(fx.evt_readings(spark, sf_dir))
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos", fx.ID_LENGTH)
+    matrix = align.average_duplicates(fx.evt_readings(spark, sf_dir), id_length=fx.ID_LENGTH)
     return align.class_distribution(align.common_samples(matrix, labels))
 
 
@@ -117,8 +117,8 @@ def class_distribution(spark, sf_dir):
   (SELECT count(*) FROM ord_lab) AS n_labelled, (SELECT count(*) FROM evt_common) AS n_common
   FROM evt_cells c GROUP BY 1""", "evt_cells", "ord_lab", "evt_common"))
 def matrix_shape(spark, sf_dir):
-    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
-    return align.matrix_shape(align.average_duplicates(fx.evt_readings(spark, sf_dir)), labels)
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos", fx.ID_LENGTH)
+    return align.matrix_shape(align.average_duplicates(fx.evt_readings(spark, sf_dir), id_length=fx.ID_LENGTH), labels)
 
 
 @query(sql("""SELECT cohort, sample_id, label, CAST(dense_rank() OVER (PARTITION BY cohort ORDER BY label) - 1 AS INTEGER) AS label_index
@@ -130,7 +130,7 @@ def label_index(spark, sf_dir):
 @query(sql("""SELECT cohort, sample_id, feature, round((CAST(CAST(value AS FLOAT) AS DOUBLE) - value) * 1e6, 3) + 0.0 AS lost_millionths
   FROM evt_cells""", "evt_cells"))
 def to_float32(spark, sf_dir):
-    cells = align.average_duplicates(fx.evt_readings(spark, sf_dir)).withColumn("exact", F.col("value"))
+    cells = align.average_duplicates(fx.evt_readings(spark, sf_dir), id_length=fx.ID_LENGTH).withColumn("exact", F.col("value"))
     lost = (F.col("value").cast("double") - F.col("exact")) * 1e6
     return align.to_float32(cells).select("cohort", "sample_id", "feature", rounded(lost, 3).alias("lost_millionths"))
 
@@ -177,12 +177,34 @@ def variance_selected(spark, sf_dir):
 
 
 @query(sql(f"""SELECT cohort, seed, feature, {r6('variance')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
-  PARTITION BY cohort, seed ORDER BY round(variance, 9) DESC, feature) AS rn FROM emb_mom) WHERE rn <= 10""", "emb_mom"))
+  PARTITION BY cohort, seed ORDER BY sig(variance) DESC, feature) AS rn FROM emb_mom) WHERE rn <= 10""", "emb_mom"))
 def top_variance(spark, sf_dir):
     best = selection.top_k(scores.variance_scores(emb_moments(spark, sf_dir)), 10, higher_index_wins=False)
     return six(best, "score")
 
 
+@query(sql(f"""SELECT cohort, seed, feature, {r6('variance')} AS score_e12, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed ORDER BY sig(variance) DESC, feature) AS rn FROM emb_mom) WHERE rn <= 10""", "emb_mom"))
+def top_variance_small_units(spark, sf_dir):
+    """The ranking of values a million times smaller; a unit decides nothing."""
+    samples = fx.emb_samples(spark, sf_dir)
+    small = fx.emb_matrix(spark, sf_dir).withColumn("value", F.col("value") * 1e-6)
+    stats = moments.feature_stats(small, splits.stratified_split(samples, fx.SEEDS), fx.SEEDS, samples)
+    best = selection.top_k(scores.variance_scores(moments.feature_moments(stats)), 10, higher_index_wins=False)
+    return best.select("cohort", "seed", "feature", rounded(F.col("score") * 1e12).alias("score_e12"), "rank")
+
+
+@query(sql("SELECT cohort, seed, feature, sig(score, 4) AS score FROM emb_f", "emb_f"))
+def anova_f_shifted(spark, sf_dir):
+    """F of values far from zero, on the path that fills gaps (there are none): the shift changes nothing."""
+    samples = fx.emb_samples(spark, sf_dir)
+    shifted = fx.emb_matrix(spark, sf_dir).withColumn("value", F.col("value") + 1e5)
+    split = cut_lineage(splits.stratified_split(samples, fx.SEEDS))
+    stats = moments.feature_stats(shifted, split, fx.SEEDS, samples)
+    found = scores.anova_scores(moments.feature_moments(stats, moments.class_sizes(split)))
+    return found.select("cohort", "seed", "feature", significant("score", 4).alias("score"))
+
+
 # ---- sparse matrix ----------------------------------------------------------------------------
 
 def doc_moments(spark, sf_dir):
@@ -195,10 +217,11 @@ def doc_moments(spark, sf_dir):
 DOC_F = """SELECT cohort, seed, feature, n, k, tokens, CASE WHEN k < 2 OR n <= k OR hi = lo THEN NULL WHEN within_ss <= 1e-12::DOUBLE * (between_ss + within_ss) THEN 'inf'::DOUBLE
   ELSE (between_ss / (k - 1)) / (within_ss / (n - k)) END AS score, (between_ss + within_ss) / n AS variance, hi > lo AS varies FROM (
   SELECT s.cohort, s.seed, s.feature, t.n, t.k, sum(s.present) AS tokens, sum(q) - sum(s.s * s.s / c.size) AS within_ss,
-    sum(s.s * s.s / c.size) - sum(s.s) * sum(s.s) / t.n AS between_ss,
+    sum(c.size * (s.s / c.size - s.mean) * (s.s / c.size - s.mean)) + (t.n - sum(c.size)) * any_value(s.mean) * any_value(s.mean) AS between_ss,
     CASE WHEN sum(s.present) = t.n THEN min(lo) ELSE least(min(lo), 0) END AS lo, CASE WHEN sum(s.present) = t.n THEN max(hi) ELSE greatest(max(hi), 0) END AS hi
-  FROM (SELECT p.cohort, p.seed, p.label, x.feature, count(*) AS present, sum(x.value) AS s, sum(x.value * x.value) AS q, min(x.value) AS lo, max(x.value) AS hi
-    FROM doc_split p JOIN doc_cells x ON p.cohort = x.cohort AND p.sample_id = x.sample_id WHERE p.part = 'train' GROUP BY ALL) s
+  FROM (SELECT g.*, sum(s) OVER (PARTITION BY g.cohort, g.seed, feature) / z.n AS mean FROM (SELECT p.cohort, p.seed, p.label, x.feature, count(*) AS present, sum(x.value) AS s, sum(x.value * x.value) AS q, min(x.value) AS lo, max(x.value) AS hi
+    FROM doc_split p JOIN doc_cells x ON p.cohort = x.cohort AND p.sample_id = x.sample_id WHERE p.part = 'train' GROUP BY ALL) g
+    JOIN (SELECT cohort, seed, count(*) AS n FROM doc_split WHERE part = 'train' GROUP BY ALL) z ON z.cohort = g.cohort AND z.seed = g.seed) s
   JOIN (SELECT cohort, seed, label, count(*) AS size FROM doc_split WHERE part = 'train' GROUP BY ALL) c
     ON s.cohort = c.cohort AND s.seed = c.seed AND s.label = c.label
   JOIN (SELECT cohort, seed, count(*) AS n, count(DISTINCT label) AS k FROM doc_split WHERE part = 'train' GROUP BY ALL) t
@@ -214,7 +237,7 @@ def anova_f_sparse(spark, sf_dir):
 
 
 @query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
-  PARTITION BY cohort, seed ORDER BY round(score, 6) DESC NULLS LAST, feature DESC) AS rn FROM doc_f) WHERE rn <= 2000""", "doc_f"))
+  PARTITION BY cohort, seed ORDER BY sig(score, 6) DESC NULLS LAST, feature DESC) AS rn FROM doc_f) WHERE rn <= 2000""", "doc_f"))
 def anova_top_k_sparse(spark, sf_dir):
     best = selection.top_k(scores.anova_scores(doc_moments(spark, sf_dir)), 2000, buckets=16, digits=6)
     return six(best, "score")
@@ -258,7 +281,7 @@ def feature_list_string(spark, sf_dir):
 
 
 @query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
-  PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature) AS rn FROM emb_f) WHERE rn <= 50""", "emb_f"))
+  PARTITION BY cohort, seed ORDER BY sig(score) DESC, feature) AS rn FROM emb_f) WHERE rn <= 50""", "emb_f"))
 def top_n_features(spark, sf_dir):
     return six(selection.top_k(scores.anova_scores(emb_moments(spark, sf_dir)), 50, higher_index_wins=False), "score")
 
@@ -266,8 +289,8 @@ def top_n_features(spark, sf_dir):
 # ---- imputation, fractions, scaling, projection -----------------------------------------------
 
 def hour_inputs(spark, sf_dir):
-    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos")
-    matrix = cut_lineage(align.average_duplicates(fx.evt_hour_readings(spark, sf_dir)))
+    labels = align.prepare_labels(fx.order_labels(spark, sf_dir), "barcode", "label", "file_pos", fx.ID_LENGTH)
+    matrix = cut_lineage(align.average_duplicates(fx.evt_hour_readings(spark, sf_dir), id_length=fx.ID_LENGTH))
     samples = align.common_samples(matrix, labels)
     return matrix, labels, samples, cut_lineage(splits.stratified_split(samples, fx.SEEDS))
 
@@ -300,7 +323,7 @@ def median_impute(spark, sf_dir):
 
 
 @query(sql(f"""SELECT cohort, seed, fraction, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (
-  SELECT f.*, t.fraction, row_number() OVER (PARTITION BY cohort, seed, fraction ORDER BY round(score, 9) DESC NULLS LAST, feature DESC) AS rn,
+  SELECT f.*, t.fraction, row_number() OVER (PARTITION BY cohort, seed, fraction ORDER BY sig(score) DESC NULLS LAST, feature DESC) AS rn,
     count(*) OVER (PARTITION BY cohort, seed, fraction) AS width
   FROM hour_f f, (SELECT unnest([0.01::DOUBLE, 0.05, 0.10, 0.25, 0.50]) AS fraction) t)
   WHERE rn <= greatest(1, floor(width * fraction))""", "hour_f"))
@@ -349,7 +372,7 @@ def one_scores(spark, sf_dir):
 
 
 def one_predictions(spark, sf_dir):
-    return metrics.predictions_from_scores(one_scores(spark, sf_dir), metrics.RUN_KEYS)
+    return fx.centroid_predictions(one_scores(spark, sf_dir))
 
 
 # broken probabilities derived from the scores: best class +inf or NaN, worst two NaN and -inf
@@ -403,6 +426,13 @@ def roc_auc_ovr(spark, sf_dir):
     return six(metrics.class_auc(one_predictions(spark, sf_dir)), "auc")
 
 
+@query(sql(f"SELECT {RUN}, class, n_pos, n_neg, {r6s('auc')} FROM one_small_auc", "one_small_auc"))
+def roc_auc_saturated(spark, sf_dir):
+    """Areas of probabilities that differ by less than 1e-9."""
+    tiny = one_predictions(spark, sf_dir).withColumn("proba", F.transform_values("proba", lambda _, p: p * 1e-12))
+    return six(metrics.class_auc(tiny), "auc")
+
+
 @query(sql(f"SELECT {RUN}, {r6s('roc_auc_macro', 'roc_auc_weighted')} FROM one_avgauc", "one_avgauc"))
 def roc_auc_macro_weighted(spark, sf_dir):
     return six(metrics.average_auc(metrics.class_auc(one_predictions(spark, sf_dir))), "roc_auc_macro", "roc_auc_weighted")
@@ -608,7 +638,7 @@ def mutual_info(spark, sf_dir):
 
 
 @query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
-  PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature DESC) AS rn FROM mi_score) WHERE rn <= 20""", "mi_score"))
+  PARTITION BY cohort, seed ORDER BY sig(score) DESC, feature DESC) AS rn FROM mi_score) WHERE rn <= 20""", "mi_score"))
 def mutual_info_top_k(spark, sf_dir):
     return six(selection.top_k(emb_information(spark, sf_dir), 20), "score")
 

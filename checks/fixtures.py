@@ -8,6 +8,9 @@ from widesift.operators import metrics, moments, reports, scores, selection, spl
 from widesift.session import broadcast_if_bounded, cut_lineage, spread
 
 SEEDS = [42, 43, 44, 45, 46]
+#: digits of a user in a barcode, and length of the part that names the user
+ID_DIGITS = 12
+ID_LENGTH = len("USER-") + ID_DIGITS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +49,7 @@ def doc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def doc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     return (docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
             .select("doc_id", words.alias("feature"))
             .groupBy("doc_id", "feature").agg(F.count("*").alias("n"))
@@ -59,7 +62,7 @@ def doc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evt_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.lit("E").alias("cohort"),
-        F.concat(F.lit("USER-"), F.lpad(F.col("user_id").cast("string"), 7, "0"), F.lit("-"),
+        F.concat(F.lit("USER-"), F.lpad(F.col("user_id").cast("string"), ID_DIGITS, "0"), F.lit("-"),
                  F.col("event_id").cast("string")).alias("barcode"),
         F.col("event_id").alias("file_pos"), F.col("event_type").alias("feature"), "value")
 
@@ -67,27 +70,16 @@ def evt_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evt_hour_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.lit("E").alias("cohort"),
-        F.concat(F.lit("USER-"), F.lpad(F.col("user_id").cast("string"), 7, "0"), F.lit("-"),
+        F.concat(F.lit("USER-"), F.lpad(F.col("user_id").cast("string"), ID_DIGITS, "0"), F.lit("-"),
                  F.col("event_id").cast("string")).alias("barcode"),
         F.concat("event_type", F.lit("_"), F.lpad(F.hour("ts").cast("string"), 2, "0")).alias("feature"), "value")
 
 
-def evt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label rows as a clinical table would have them: one per event, several per patient."""
-    events = table(spark, sf_dir, "events").select("event_id", "user_id")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return events.join(customers, events.user_id == customers.c_custkey).select(
-        F.lit("E").alias("cohort"),
-        F.concat(F.lit("USER-"), F.lpad(F.col("user_id").cast("string"), 7, "0"), F.lit("-"),
-                 F.col("event_id").cast("string")).alias("barcode"),
-        F.col("event_id").alias("file_pos"), F.col("c_mktsegment").alias("label"))
-
-
 def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several label rows per patient, in file order, some incomplete: one per order of a customer."""
     return table(spark, sf_dir, "orders").select(
         F.lit("E").alias("cohort"),
-        F.concat(F.lit("USER-"), F.lpad(F.col("o_custkey").cast("string"), 7, "0"), F.lit("-"),
+        F.concat(F.lit("USER-"), F.lpad(F.col("o_custkey").cast("string"), ID_DIGITS, "0"), F.lit("-"),
                  F.col("o_orderkey").cast("string")).alias("barcode"),
         F.col("o_orderkey").alias("file_pos"),
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias("label"))
@@ -135,6 +127,12 @@ def centroid_scores(matrix: DataFrame, split: DataFrame, stats: DataFrame,
             .agg((-F.round(F.sum(gap * gap), 9)).alias("score")))
 
 
+def centroid_predictions(distances: DataFrame) -> DataFrame:
+    """Predictions with probabilities in steps of 1e-9, so that both engines see the same ties."""
+    found = metrics.predictions_from_scores(distances, metrics.RUN_KEYS)
+    return found.withColumn("proba", F.transform_values("proba", lambda _, p: F.round(p, 9)))
+
+
 def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every feature set of FEATURE_SETS evaluated for every cohort and seed.
 
@@ -147,7 +145,7 @@ def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = moments.feature_moments(stats)
     sets = cut_lineage(feature_sets(summary))
     distances = centroid_scores(matrix, split, stats, sets)
-    predictions = cut_lineage(metrics.predictions_from_scores(distances, metrics.RUN_KEYS))
+    predictions = cut_lineage(centroid_predictions(distances))
     width = stats.groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
     grid = splits.job_grid(samples, SEEDS, FEATURE_SETS)
     records = reports.run_records(grid, sets, metrics.evaluate(predictions), width)

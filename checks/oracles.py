@@ -6,6 +6,8 @@ needs, in order.
 
 from __future__ import annotations
 
+import re
+
 SEEDS = "42, 43, 44, 45, 46"
 
 
@@ -14,6 +16,15 @@ def r6(expr: str) -> str:
     return f"CASE WHEN abs({expr}) < 5e-7 THEN CAST(0 AS DOUBLE) ELSE round({expr}, 6) END"
 
 
+def significant(text: str) -> str:
+    """Writes out sig(column) and sig(column, digits): the value to so many (10) significant digits."""
+    def written(m: re.Match) -> str:
+        x, digits = m[1], int(m[2] or 10)
+        scale = f"pow(10.0::DOUBLE, {digits - 1} - greatest(floor(log10(abs({x}))), -280))"
+        return f"(CASE WHEN {x} = 0 OR NOT isfinite({x}) THEN {x} ELSE round({x} * {scale}) / {scale} END)"
+    return re.sub(r"\bsig\((\w+)(?:, (\d+))?\)", written, text)
+
+
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -34,7 +45,7 @@ def sql(body: str, *names: str) -> str:
     for name in names:
         visit(name)
     head = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in ordered)
-    return f"WITH {head}\n{body}" if head else body
+    return significant(f"WITH {head}\n{body}" if head else body)
 
 
 # ---- inputs -----------------------------------------------------------------------------------
@@ -46,9 +57,9 @@ cte("emb_cells", """SELECT cohort, sample_id, label, 'f' || lpad(CAST(pos AS VAR
     CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)""")
 cte("doc_lab", """SELECT 'docs' AS cohort, CAST(d.doc_id AS VARCHAR) AS sample_id,
   d.lang || CAST(l.quality AS VARCHAR) AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
-cte("doc_cells", """SELECT 'docs' AS cohort, CAST(doc_id AS VARCHAR) AS sample_id, feature,
+cte("doc_cells", r"""SELECT 'docs' AS cohort, CAST(doc_id AS VARCHAR) AS sample_id, feature,
   ln(1 + CAST(count(*) AS DOUBLE)) AS value FROM (
-    SELECT d.doc_id, unnest(regexp_extract_all(lower(d.text), '[a-z]+')) AS feature
+    SELECT d.doc_id, unnest(regexp_extract_all(lower(d.text), '\p{L}+')) AS feature
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id) GROUP BY doc_id, feature""")
 
 
@@ -91,13 +102,13 @@ cte("emb_mom", """SELECT s.cohort, s.seed, s.feature, CAST(sum(s.n) AS BIGINT) A
 cte("emb_f", """SELECT cohort, seed, feature, (between_ss / (k - 1)) / (within_ss / (n - k)) AS score FROM emb_mom""", "emb_mom")
 
 # ---- events -----------------------------------------------------------------------------------
-cte("evt_read", """SELECT 'E' AS cohort, 'USER-' || lpad(CAST(user_id AS VARCHAR), 7, '0') || '-' || CAST(event_id AS VARCHAR) AS barcode,
+cte("evt_read", """SELECT 'E' AS cohort, 'USER-' || lpad(CAST(user_id AS VARCHAR), 12, '0') || '-' || CAST(event_id AS VARCHAR) AS barcode,
   event_type AS feature, event_type || '_' || lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS hour_feature, value FROM events""")
-cte("evt_cells", """SELECT cohort, substr(barcode, 1, 12) AS sample_id, feature, avg(value) AS value
+cte("evt_cells", """SELECT cohort, substr(barcode, 1, 17) AS sample_id, feature, avg(value) AS value
   FROM evt_read GROUP BY 1, 2, 3""", "evt_read")
-cte("hour_cells", """SELECT cohort, substr(barcode, 1, 12) AS sample_id, hour_feature AS feature, avg(value) AS value
+cte("hour_cells", """SELECT cohort, substr(barcode, 1, 17) AS sample_id, hour_feature AS feature, avg(value) AS value
   FROM evt_read GROUP BY 1, 2, 3""", "evt_read")
-cte("ord_rows", """SELECT * FROM (SELECT 'E' AS cohort, substr('USER-' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') || '-' || CAST(o_orderkey AS VARCHAR), 1, 12) AS sample_id,
+cte("ord_rows", """SELECT * FROM (SELECT 'E' AS cohort, substr('USER-' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') || '-' || CAST(o_orderkey AS VARCHAR), 1, 17) AS sample_id,
   o_orderkey AS file_pos, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS label FROM orders)
   WHERE label IS NOT NULL""")
 cte("ord_lab", """SELECT cohort, sample_id, label FROM (SELECT *, row_number() OVER (PARTITION BY cohort, sample_id ORDER BY file_pos) AS rn
@@ -116,7 +127,7 @@ def on(a: str, b: str, keys: str) -> str:
     return " AND ".join(f"{a}.{k.strip()} = {b}.{k.strip()}" for k in keys.split(","))
 
 
-cte("emb_anova_rank", """SELECT *, row_number() OVER (PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature DESC) AS rn
+cte("emb_anova_rank", """SELECT *, row_number() OVER (PARTITION BY cohort, seed ORDER BY sig(score) DESC, feature DESC) AS rn
   FROM emb_f""", "emb_f")
 cte("emb_sets", """SELECT cohort, seed, 'baseline' AS method, 'all' AS param, feature FROM emb_mom
   UNION ALL SELECT cohort, seed, 'anova', 'k=10', feature FROM emb_anova_rank WHERE rn <= 10
@@ -133,7 +144,7 @@ def centroid_ctes(p: str, sets: str) -> None:
       JOIN emb_stats m ON m.cohort = t.cohort AND m.seed = t.seed AND m.feature = c.feature
       JOIN {sets} f ON f.cohort = t.cohort AND f.seed = t.seed AND f.feature = c.feature
       WHERE t.part = 'test' GROUP BY 1, 2, 3, 4, 5, 6, 7""", "emb_split", "emb_cells", "emb_stats", sets)
-    cte(f"{p}_prob", f"""SELECT *, e / sum(e) OVER (PARTITION BY {RUN}, sample_id) AS p FROM (
+    cte(f"{p}_prob", f"""SELECT *, round(e / sum(e) OVER (PARTITION BY {RUN}, sample_id), 9) AS p FROM (
       SELECT *, exp(score - max(score) OVER (PARTITION BY {RUN}, sample_id)) AS e FROM {p}_score)""", f"{p}_score")
     cte(f"{p}_pred", f"""SELECT {RUN}, sample_id, label, class AS prediction FROM (SELECT *, row_number() OVER (
       PARTITION BY {RUN}, sample_id ORDER BY score DESC, class) AS rn FROM {p}_score) WHERE rn = 1""", f"{p}_score")
@@ -147,18 +158,24 @@ def centroid_ctes(p: str, sets: str) -> None:
     cte(f"{p}_met", f"""SELECT {RUN}, sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1,
       avg(recall) AS macro_recall, sum(recall * support) / sum(support) AS weighted_recall, sum(support)::BIGINT AS n_test
       FROM {p}_class GROUP BY ALL""", f"{p}_class")
-    cte(f"{p}_auc", f"""SELECT {RUN}, class, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0
+    auc_cte(f"{p}_auc", p)
+    cte(f"{p}_avgauc", f"""SELECT {RUN}, CASE WHEN count(auc) = count(*) THEN avg(auc) END AS roc_auc_macro,
+      CASE WHEN count(auc) = count(*) THEN sum(auc * n_pos) / sum(n_pos) END AS roc_auc_weighted FROM {p}_auc GROUP BY ALL""", f"{p}_auc")
+
+
+def auc_cte(name: str, p: str, unit: float = 1.0) -> None:
+    """Areas of the probabilities {p}_prob in some unit."""
+    cte(name, f"""SELECT {RUN}, class, n_pos, n_neg, CASE WHEN n_pos > 0 AND n_neg > 0
         THEN (ranks - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos * n_neg) END AS auc FROM (
       SELECT {RUN}, class, count(*) FILTER (WHERE label = class) AS n_pos, count(*) FILTER (WHERE label <> class) AS n_neg,
         sum(CASE WHEN label = class THEN first_rank + (ties - 1) / 2.0::DOUBLE END) AS ranks FROM (
           SELECT {RUN}, label, class, rank() OVER (PARTITION BY {RUN}, class ORDER BY s) AS first_rank,
-            count(*) OVER (PARTITION BY {RUN}, class, s) AS ties FROM (SELECT *, round(p, 9) AS s FROM {p}_prob)) GROUP BY ALL)""", f"{p}_prob")
-    cte(f"{p}_avgauc", f"""SELECT {RUN}, CASE WHEN count(auc) = count(*) THEN avg(auc) END AS roc_auc_macro,
-      CASE WHEN count(auc) = count(*) THEN sum(auc * n_pos) / sum(n_pos) END AS roc_auc_weighted FROM {p}_auc GROUP BY ALL""", f"{p}_auc")
+            count(*) OVER (PARTITION BY {RUN}, class, s) AS ties FROM (SELECT *, p * {unit}::DOUBLE AS s FROM {p}_prob)) GROUP BY ALL)""", f"{p}_prob")
 
 
 cte("emb_all", "SELECT cohort, seed, 'baseline' AS method, 'all' AS param, feature FROM emb_mom", "emb_mom")
 centroid_ctes("one", "emb_all")
+auc_cte("one_small_auc", "one", 1e-12)
 centroid_ctes("many", "emb_sets")
 cte("runs", f"""SELECT g.cohort, g.method, g.param, g.seed, g.seed - 42 AS run_id, w.n AS n_features_total, coalesce(c.n, 0)::INTEGER AS n_features,
   m.accuracy, m.macro_f1, m.weighted_f1, m.macro_recall, m.weighted_recall, a.roc_auc_macro, a.roc_auc_weighted,

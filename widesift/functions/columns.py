@@ -14,6 +14,14 @@ def rounded(value: Column | str, digits: int = 6) -> Column:
     return F.round(value, digits)
 
 
+def significant(value: Column | str, digits: int = 10) -> Column:
+    """The value to a number of significant digits, whatever its unit; zeros, infinities and NaN stay."""
+    value = F.col(value) if isinstance(value, str) else value
+    scale = F.pow(F.lit(10.0), digits - 1 - F.greatest(F.floor(F.log10(F.abs(value))), F.lit(-280)))
+    plain = (value == 0) | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    return F.when(plain, value).otherwise(F.rint(value * scale) / scale)
+
+
 def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 

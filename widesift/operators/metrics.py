@@ -12,7 +12,6 @@ from widesift.functions.columns import clean_probability, safe_ratio
 from widesift.operators import ranking
 
 RUN_KEYS = ["cohort", "seed", "method", "param"]
-SCORE_DIGITS = 9
 
 
 # ---- probabilities ----------------------------------------------------------------------------
@@ -133,12 +132,11 @@ def class_report(predictions: DataFrame, keys: list[str] = RUN_KEYS) -> DataFram
 def score_auc(scored: DataFrame, keys: list[str], buckets: int = 1) -> DataFrame:
     """(keys, n_pos, n_neg, auc) from (keys, positive boolean, score); null when a side is empty.
 
-    Rows are first folded to one per distinct score (in steps of 1e-9), then negatives are counted in score order; a
+    Rows are first folded to one per distinct score (as an exact double), then negatives are counted in score order; a
     positive beats the negatives below it and half of those it ties with. `buckets` > 1 spreads the
     counting of one key over that many tasks.
     """
-    folded = (scored.withColumn("score", F.rint(F.col("score") * 10.0 ** SCORE_DIGITS))
-              .groupBy(*keys, "score")
+    folded = (scored.groupBy(*keys, "score")
               .agg(F.count_if("positive").alias("_pos"), F.count_if(~F.col("positive")).alias("_neg")))
     if buckets > 1:
         folded = ranking.with_value_bucket(folded, keys, "score", buckets)

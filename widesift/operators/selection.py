@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from widesift.functions.columns import feature_budget
+from widesift.functions.columns import feature_budget, significant
 from widesift.operators import ranking
 from widesift.session import broadcast_if_bounded, cut_lineage
 
 GROUP = ["cohort", "seed"]
-SCORE_DIGITS = 9
+SCORE_DIGITS = 10
 
 
 def ranked_scores(scores: DataFrame, higher_index_wins: bool = True, buckets: int = 1,
@@ -17,11 +17,11 @@ def ranked_scores(scores: DataFrame, higher_index_wins: bool = True, buckets: in
     """Adds `rank` (1 = best) per cohort and seed: score descending, undefined scores last.
 
     Ties go to the feature later in column order (`feature` sorts in column order), or to the earlier one.
-    Scores are compared after rounding, so that the order of a sum cannot decide a tie. `buckets` > 1
+    Scores are compared to `digits` significant digits, so that neither their unit nor the order of a sum decides. `buckets` > 1
     spreads the ranking of one group over that many tasks.
     """
     tie = F.col("feature").desc() if higher_index_wins else F.col("feature").asc()
-    known = scores.withColumn("_down", -F.coalesce(F.rint(F.col("score") * 10.0 ** digits), F.lit(float("-inf"))))
+    known = scores.withColumn("_down", -F.coalesce(significant("score", digits), F.lit(float("-inf"))))
     order = [F.col("_down").asc(), tie]
     if buckets <= 1:
         rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order))
