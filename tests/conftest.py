@@ -9,8 +9,9 @@ from widesift.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g",
+                                                    "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
                                                     "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -34,6 +34,20 @@ def test_missing_cells_are_null(spark, tmp_path):
         ("s1", "a", 1.5), ("s1", "b", None), ("s2", "a", None), ("s2", "b", None)]
 
 
+def test_headers_by_place_quotes_and_separators(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,"g,1",g2\nid,1,2\n"x ""y""",3,4\n')
+    (folder / "b.csv").write_text('id,g2,"g,1"\n,5,6\nz,7\n\n')
+    rows = {(r["barcode"], r["feature"]): (r["value"], r["feature_pos"]) for r in matrices.read_matrix_csv(spark, str(folder), "X").collect()}
+    assert rows == {("id", "g,1"): (1.0, 0), ("id", "g2"): (2.0, 1), ('x "y"', "g,1"): (3.0, 0), ('x "y"', "g2"): (4.0, 1),
+                    ("", "g2"): (5.0, 0), ("", "g,1"): (6.0, 1), ("z", "g2"): (7.0, 0)}
+    path = tmp_path / "m.txt"
+    path.write_text("|a|b.\ns|1|2\n")
+    got = {(r["feature"], r["value"]) for r in matrices.read_matrix_csv(spark, str(path), "X", separator="|").collect()}
+    assert got == {("a", 1.0), ("b.", 2.0)}
+
+
 def test_transposed_gzip(spark, tmp_path):
     path = tmp_path / "m.tsv.gz"
     with gzip.open(path, "wt") as f:
@@ -102,6 +116,18 @@ def test_glob_of_run_files(spark, tmp_path):
     assert {(r["method"], r["accuracy"], r["run_id"]) for r in got.collect()} == {("ANOVA", 0.5, 0), ("ANOVA", 0.6, 1), ("ANOVA", 0.7, 2)}
 
 
+def test_run_files_of_several_layouts(spark, tmp_path):
+    (tmp_path / "run_01.csv").write_text("Cancer,Method,Threshold,Accuracy,ROC-AUC,Seed,RunID\nA,Variance,0.50,0.5,0.9,42,1\n")
+    (tmp_path / "run_02.csv").write_text("Seed,Accuracy,Cancer,Method,RunID,Threshold\n43,0.25,A,Variance,2,0.05\n")
+    (tmp_path / "run_03.csv").write_text("run,seed,accuracy,roc_auc,Dataset,Method,train_time\n3,44,0.75,0.8,A,Random Forest,1.5\n")
+    got = runs.read_runs(spark, str(tmp_path / "run_*.csv"))
+    rows = {r["run_id"]: (r["method"], r["param"], r["seed"], r["accuracy"], r["roc_auc_macro"], r["roc_auc_weighted"], r["train_time_s"]) for r in got.collect()}
+    assert rows == {1: ("Variance", "threshold=0.5", 42, 0.5, 0.9, None, None), 2: ("Variance", "threshold=0.05", 43, 0.25, None, None, None),
+                    3: ("RandomForest", "all", 44, 0.75, None, 0.8, 1.5)}
+    summary = reports.aggregate_runs(got).where("param = 'threshold=0.5'").first()
+    assert summary["roc_auc_macro_mean"] == 0.9 and summary["n_runs"] == 1
+
+
 def test_old_runs_take_names_from_directories(spark, tmp_path):
     folder = tmp_path / "LASSO" / "BETA"
     folder.mkdir(parents=True)

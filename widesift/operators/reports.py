@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 METRICS = ["accuracy", "macro_f1", "weighted_f1", "macro_recall", "weighted_recall",
            "roc_auc_macro", "roc_auc_weighted"]
@@ -23,6 +23,7 @@ OLD_HEADINGS = {
     "Method": "method",
     "Seed": "seed",
     "RunID": "run_id",
+    "run": "run_id",
     "Original Features": "n_features_total",
     "Selected Features": "n_features",
     "Accuracy": "accuracy",
@@ -32,6 +33,14 @@ OLD_HEADINGS = {
     "Runtime (s)": "run_time_s",
     "train_time": "train_time_s",
 }
+# Headings of a method's parameter, and what the parameter is called by now.
+OLD_PARAMETERS = {
+    "Threshold": "threshold",
+    "Top K": "k",
+    "Feature Fraction": "fraction",
+}
+#: the only area of older files is the weighted average in these methods' files and the macro average in all others
+WEIGHTED_AREA = ("baseline", "LASSO", "RandomForest")
 OLD_METHOD_NAMES = {
     "ANOVA / F-test": "ANOVA",
     "Random Forest": "RandomForest",
@@ -123,9 +132,30 @@ def prefer_new(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def canonical(runs: DataFrame) -> DataFrame:
-    """Current column and method names for a run table with older ones."""
-    renamed = runs.withColumnsRenamed({k: v for k, v in OLD_HEADINGS.items() if k in runs.columns})
-    return renamed.replace(OLD_METHOD_NAMES, subset=["method"]) if "method" in renamed.columns else renamed
+    """Current column and method names for a run table with older ones.
+
+    A parameter of its own heading becomes `param`, written as present runs write it; `all` stands for none. An area
+    under the single name roc_auc is also given under the name of the average it is.
+    """
+    known = {k: v for k, v in OLD_HEADINGS.items() if k in runs.columns and (v not in runs.columns or k == v)}
+    named = runs.withColumnsRenamed(known)
+    if "method" in named.columns:
+        named = named.replace(OLD_METHOD_NAMES, subset=["method"])
+    if "param" not in named.columns:
+        given = [F.when(F.col(f"`{k}`").isNotNull(), F.concat(F.lit(f"{name}="), _short(F.col(f"`{k}`"))))
+                 for k, name in OLD_PARAMETERS.items() if k in named.columns]
+        named = named.withColumn("param", F.coalesce(*given, F.lit("all"))).drop(*OLD_PARAMETERS)
+    if "roc_auc" in named.columns and not available(named, ["roc_auc_macro", "roc_auc_weighted"]):
+        weighted = F.col("method").isin(*WEIGHTED_AREA) if "method" in named.columns else F.lit(False)
+        area = F.expr("try_cast(roc_auc AS double)")
+        named = named.withColumns({"roc_auc_weighted": F.when(weighted, area), "roc_auc_macro": F.when(~weighted, area)})
+    return named
+
+
+def _short(number: Column) -> Column:
+    """A number as text without closing zeros: 0.50 is 0.5, 2000.0 is 2000."""
+    text = number.cast("string")
+    return F.when(text.contains("."), F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))).otherwise(text)
 
 
 def sweep_series(runs: DataFrame, method: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from widesift.functions.columns import nan_to_null
-from widesift.session import broadcast_if_bounded
+from widesift.session import broadcast_if_bounded, cut_lineage
 
 
 def _existing(read: Callable[[], DataFrame], path: str) -> DataFrame:
@@ -24,39 +24,49 @@ def _existing(read: Callable[[], DataFrame], path: str) -> DataFrame:
         raise
 
 
-def _unquoted(cell: Column) -> Column:
-    return F.regexp_replace(F.trim(cell), '^"|"$', "")
+def _cells(line: Column, separator: str) -> Column:
+    """The cells of a text line; a separator within double quotes belongs to its cell, two quotes within them are one."""
+    literal = "\\Q" + separator + "\\E"
+    quoted = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(f'{literal}("(?:[^"]|"")*+"|(?:(?!{literal}).)*+)'), F.lit(1))
+    plain = lambda c: F.when(c.rlike('^".*"$'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    cells = F.when(F.contains(line, F.lit('"')), F.transform(quoted, plain)).otherwise(F.split(line, literal, -1))
+    return F.transform(cells, lambda c: F.trim(c))
 
 
 def _wide_cells(spark: SparkSession, path: str, cohort: str, separator: str, tasks: int | None) -> DataFrame:
-    """(cohort, row_id, column_id, value) of a text matrix whose first line names the columns."""
-    lines = _existing(lambda: spark.read.text(path), path)
-    split = lambda line: F.split(line, separator)
-    first = lines.limit(1)
-    corner = first.select(_unquoted(F.element_at(split("value"), 1))).first()
-    if corner is None:
+    """(cohort, row_id, column_id, column_pos, value) of text matrices; the first line of each file names its columns.
+
+    A header is the first line of a file's first block, whatever it says; every file has its own. Cells beyond the
+    header's width have no name and are left out. Empty lines are no rows.
+    """
+    text = _existing(lambda: spark.read.text(path), path)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("line"))
+    # one line of each file
+    heads = cut_lineage(lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("value"), F.min("line").alias("line")))
+    if heads.isEmpty():
         raise ValueError(f"empty matrix file: {path}")
-    names = (first.select(F.posexplode(split("value")).alias("pos", "name"))
-             .where(F.col("pos") > 0).select("pos", _unquoted(F.col("name")).alias("column_id")))
+    names = (heads.select("file", F.posexplode(_cells(F.col("value"), separator)).alias("pos", "column_id")).where("pos > 0"))
+    first = heads.select("file", F.lit(0).cast("bigint").alias("block"), "line")
+    rows = lines.join(broadcast_if_bounded(first, first), ["file", "block", "line"], "left_anti").where("value != ''").select("file", "value")
     if tasks:
-        lines = lines.repartition(tasks)  # a gzip file arrives as one partition
-    cells = (lines.select(split("value").alias("c"))
-             .withColumn("row_id", _unquoted(F.element_at("c", 1)))
-             .where(F.col("row_id") != corner[0])
-             .select("row_id", F.posexplode("c").alias("pos", "text")).where(F.col("pos") > 0))
-    number = nan_to_null(F.expr("try_cast(trim(text) AS double)"))
-    return cells.join(broadcast_if_bounded(names, names), "pos").select(
-        F.lit(cohort).alias("cohort"), "row_id", "column_id", number.alias("value"))
+        rows = rows.repartition(tasks)  # a gzip file arrives as one partition
+    cells = (rows.select("file", _cells(F.col("value"), separator).alias("c"))
+             .select("file", F.element_at("c", 1).alias("row_id"), F.posexplode("c").alias("pos", "text")).where("pos > 0"))
+    number = nan_to_null(F.expr("try_cast(text AS double)"))
+    return cells.join(broadcast_if_bounded(names), ["file", "pos"]).select(
+        F.lit(cohort).alias("cohort"), "row_id", "column_id", (F.col("pos") - 1).alias("column_pos"), number.alias("value"))
 
 
 def read_matrix_csv(spark: SparkSession, path: str, cohort: str, separator: str = ",",
                     tasks: int | None = None) -> DataFrame:
-    """(cohort, barcode, feature, value) of a samples x features file, first column the sample.
+    """(cohort, barcode, feature, value, feature_pos) of samples x features files, first column the sample.
 
-    Cells that are empty or not a number are null.
+    Cells that are empty or not a number are null; feature_pos counts the columns of a file from 0.
     """
     cells = _wide_cells(spark, path, cohort, separator, tasks)
-    return cells.select("cohort", F.col("row_id").alias("barcode"), F.col("column_id").alias("feature"), "value")
+    return cells.select("cohort", F.col("row_id").alias("barcode"), F.col("column_id").alias("feature"), "value",
+                        F.col("column_pos").alias("feature_pos"))
 
 
 def read_transposed_tsv(spark: SparkSession, path: str, cohort: str, separator: str = "\t",

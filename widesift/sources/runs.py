@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -20,14 +23,35 @@ def _typed(frame: DataFrame) -> DataFrame:
                          for c in frame.columns])
 
 
-def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
-    """All run files matching a glob such as `.../runs/anova/run_*.csv`; none gives an empty table."""
+def _by_header(spark: SparkSession, pattern: str) -> list[DataFrame]:
+    """One DataFrame, with the column _file, for each distinct header among the CSV files of a glob.
+
+    Run files are few and their headers short, so the driver sorts the files by their first lines.
+    """
     try:
-        return _typed(reports.canonical(spark.read.option("header", True).csv(pattern)))
+        text = spark.read.text(pattern)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
+        return []
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().alias("line"))
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "line").alias("head")).groupBy("head").agg(F.collect_list("file").alias("files"))
+    reader = spark.read.option("header", True)
+    return [reader.csv([unquote(f) for f in row["files"]]).select("*", F.col("_metadata.file_path").alias("_file"))
+            for row in heads.orderBy("head").collect()]
+
+
+def _united(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
+    """Frames of different layouts by column name; columns that one of them lacks are null there."""
+    if not frames:
         return spark.createDataFrame([], run_schema())
+    return _typed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
+
+
+def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
+    """All run files matching a glob such as `.../runs/anova/run_*.csv`, whatever the order of their columns; none gives an empty table."""
+    return _united(spark, [reports.canonical(f.drop("_file")) for f in _by_header(spark, pattern)])
 
 
 def read_old_runs(spark: SparkSession, root: str, method: str) -> DataFrame:
@@ -35,20 +59,15 @@ def read_old_runs(spark: SparkSession, root: str, method: str) -> DataFrame:
 
     Cohort and method come from the directory names where the files do not have the columns.
     """
-    try:
-        found = spark.read.option("header", True).csv(f"{root}/{method}/*/*_run_results.csv")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], run_schema())
-    where = F.col("_metadata.file_path")
-    named = reports.canonical(found.select("*", F.regexp_extract(where, "([^/]+)/[^/]+$", 1).alias("_cohort"),
-                                           F.regexp_extract(where, "([^/]+)/[^/]+/[^/]+$", 1).alias("_method")))
-    for column in ("cohort", "method"):
-        derived = F.col(f"_{column}")
-        value = F.coalesce(F.col(column), derived) if column in named.columns else derived
-        named = named.withColumn(column, value)
-    return _typed(named.drop("_cohort", "_method"))
+    def named(found: DataFrame) -> DataFrame:
+        frame = reports.canonical(found.withColumns({"_cohort": F.regexp_extract("_file", "([^/]+)/[^/]+$", 1),
+                                                     "_method": F.regexp_extract("_file", "([^/]+)/[^/]+/[^/]+$", 1)}).drop("_file"))
+        for column in ("cohort", "method"):
+            derived = F.col(f"_{column}")
+            frame = frame.withColumn(column, F.coalesce(F.col(column), derived) if column in frame.columns else derived)
+        return frame.drop("_cohort", "_method")
+
+    return _united(spark, [named(f) for f in _by_header(spark, f"{root}/{method}/*/*_run_results.csv")])
 
 
 def write_results(runs: DataFrame, folder: str, kind: str = "csv") -> None:
