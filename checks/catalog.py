@@ -350,6 +350,39 @@ def project_features(spark, sf_dir):
     return six(projected.select("cohort", "seed", "sample_id", "feature", "value"), "value")
 
 
+def vector_facts(rows):
+    """width, number of stored values and position-weighted sum of the vectors, read from their sparse form."""
+    plain = "features struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    parts = rows.withColumn("v", F.from_json(F.to_json(F.struct("features")), plain)["features"])
+    places = F.coalesce("v.indices", F.sequence(F.lit(0), F.size("v.values") - 1))
+    weighted = F.aggregate(F.zip_with(places, "v.values", lambda i, x: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.columns[:-1], parts.withColumns({
+        "width": F.coalesce("v.size", F.size("v.values")).cast("bigint"), "stored": F.size("v.values").cast("bigint"), "weighted": rounded(weighted, 5)})
+
+
+@query(sql("""SELECT c.cohort, c.sample_id, any_value(w.width) AS width, count(*) AS stored, round(sum(c.value * p.pos), 5) AS weighted
+  FROM doc_cells c JOIN (SELECT cohort, feature, row_number() OVER (PARTITION BY cohort ORDER BY feature) AS pos FROM (SELECT DISTINCT cohort, feature FROM doc_cells)) p
+    ON p.cohort = c.cohort AND p.feature = c.feature JOIN (SELECT cohort, count(DISTINCT feature) AS width FROM doc_cells GROUP BY 1) w ON w.cohort = c.cohort
+  GROUP BY 1, 2""", "doc_cells"))
+def assemble_sparse(spark, sf_dir):
+    cells = cut_lineage(fx.doc_matrix(spark, sf_dir))
+    rows = prepare.assemble(cells, ["cohort", "sample_id"], "value", features=cells.select("cohort", "feature"), gaps="zero")
+    keys, facts = vector_facts(rows)
+    return facts.select(*keys, "width", "stored", "weighted")
+
+
+@query(sql("""SELECT d.cohort, d.seed, d.sample_id, count(*) AS width, count(*) AS stored, round(sum(d.value * p.pos), 5) AS weighted
+  FROM hour_dense d JOIN (SELECT cohort, seed, feature, row_number() OVER (PARTITION BY cohort, seed ORDER BY feature) AS pos FROM hour_median) p
+    ON p.cohort = d.cohort AND p.seed = d.seed AND p.feature = d.feature GROUP BY 1, 2, 3""", "hour_dense"))
+def assemble_imputed(spark, sf_dir):
+    matrix, _, _, split = hour_inputs(spark, sf_dir)
+    fill = cut_lineage(prepare.train_medians(matrix, split))
+    filled = prepare.median_impute(matrix, split, fill)
+    rows = prepare.assemble(filled, ["cohort", "seed", "sample_id"], "value", features=fill.select("cohort", "seed", "feature"), rows=split)
+    keys, facts = vector_facts(rows)
+    return facts.select(*keys, "width", "stored", "weighted")
+
+
 @query(sql("""SELECT cohort, sample_id, label, len(list(feature)) AS width, round(list_sum(list(value ORDER BY feature)), 6) AS total,
   round(list_dot_product(list(value ORDER BY feature), list(CAST(CAST(substr(feature, 2) AS INTEGER) + 1 AS DOUBLE) ORDER BY feature)), 6) AS weighted
   FROM emb_cells GROUP BY 1, 2, 3""", "emb_cells"))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from widesift.operators import embedded, metrics, models, reports, selection
+from widesift.operators import embedded, metrics, models, prepare, reports, selection
 from widesift.plans import benchmark
 
 
@@ -81,7 +81,7 @@ def test_a_failed_fit_is_recorded(separable):
     sets = separable.moments.select("cohort", "seed", F.lit("m").alias("method"), F.lit("p").alias("param"), "feature")
     vectors = models.build_vectors(separable.matrix, separable.split, sets, separable.moments)
     [fit] = models.fit_runs(vectors, lambda keys: models.Classifier(broken))
-    assert fit.status == "failed: ValueError" and fit.predictions is None
+    assert fit.status == "failed: ValueError: no estimator" and fit.predictions is None
     assert models.fit_log(vectors, [fit]).first()["status"] == "failed: ValueError"
 
 
@@ -111,3 +111,39 @@ def test_gaps_are_filled_for_the_selected_features_only(spark):
     row = outcome.runs.first()
     assert row["n_features"] == 2 and row["accuracy"] > 0.8
     assert outcome.predictions.count() == 18
+
+
+def gappy(spark, share):
+    rng = random.Random(3)
+    labels = {f"s{i:03d}": f"c{i % 2}" for i in range(60)}
+    cells = [("X", s, f"f{f}", rng.gauss(0, 1) + 4.0 * (int(c[1]) == f)) for s, c in labels.items() for f in range(6) if rng.random() > share]
+    return (spark.createDataFrame(cells, "cohort string, sample_id string, feature string, value double"),
+            spark.createDataFrame([("X", s, c) for s, c in labels.items()], "cohort string, sample_id string, label string"))
+
+
+@pytest.mark.parametrize("gaps", ["zero", "median"])
+def test_every_test_row_is_predicted_however_many_gaps(spark, gaps):
+    p = benchmark.prepared(*gappy(spark, 0.6), [42, 43], gaps=gaps)
+    outcome = benchmark.run_benchmark(p, [benchmark.anova(1), benchmark.baseline(), benchmark.mutual_info(2)])
+    assert {r["status"] for r in outcome.runs.collect()} == {"ok"}
+    wanted = {(r["seed"], r["sample_id"]) for r in p.split.where("part = 'test'").collect()}
+    for method in ("anova", "baseline", "mutual_info"):
+        found = [(r["seed"], r["sample_id"]) for r in outcome.predictions.where(F.col("method") == method).collect()]
+        assert len(found) == len(wanted) and set(found) == wanted
+
+
+def test_a_gap_is_an_error_with_its_message(spark):
+    p = benchmark.prepared(*gappy(spark, 0.1), [42])
+    with pytest.raises(RuntimeError, match="no method could be run") as raised:
+        benchmark.run_benchmark(p, [benchmark.baseline()])
+    assert "features" in str(raised.value.__cause__)
+
+
+def test_places_in_vectors(spark):
+    cells = spark.createDataFrame([("s1", "a", 1.0), ("s1", "b", 2.0), ("s1", "c", 3.0), ("s2", "b", 5.0), ("s2", "c", None)],
+                                  "sample_id string, feature string, value double")
+    rows = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample_id string")
+    got = {r["sample_id"]: list(r["features"]) for r in prepare.assemble(cells, ["sample_id"], "value", rows=rows, gaps="zero").collect()}
+    assert got == {"s1": [1.0, 2.0, 3.0], "s2": [0.0, 5.0, 0.0], "s3": [0.0, 0.0, 0.0]}
+    with pytest.raises(Exception, match="a sample has 1 of 3 features"):
+        prepare.assemble(cells, ["sample_id"], "value").collect()

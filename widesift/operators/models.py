@@ -63,20 +63,23 @@ CLASSIFIERS = {
 
 
 def build_vectors(matrix: DataFrame, split: DataFrame, feature_sets: DataFrame, moments: DataFrame,
-                  fill: DataFrame | None = None) -> DataFrame:
+                  fill: DataFrame | None = None, gaps: str = "error") -> DataFrame:
     """(RUN_KEYS, sample_id, label, part, features): each feature set projected, scaled and assembled.
 
     feature_sets: (cohort, seed, method, param, feature). Scaling is fitted on the training rows. With
-    `fill` (cohort, seed, feature, fill) the gaps of the selected features are filled first.
+    `fill` (cohort, seed, feature, fill) the gaps of the selected features are filled first; other gaps are
+    an error or, with gaps="zero", zeros that take no space. Every sample of the split gets its vector.
     """
     sets = feature_sets.select(*RUN_KEYS, "feature")
     cells = matrix.select("cohort", "sample_id", "feature", "value")
     if fill is not None:
         used = fill.join(sets.select("cohort", "seed", "feature").distinct(), ["cohort", "seed", "feature"], "left_semi")
         cells = median_impute(cells, split, used).select("cohort", "seed", "sample_id", "feature", "value")
-    cells = standard_scale(project_features(cells, sets), moments)
-    vectors = assemble(cells, [*RUN_KEYS, "sample_id"])
+    cells = standard_scale(project_features(cells, sets), moments, centred=gaps != "zero")
     rows = split.select("cohort", "seed", "sample_id", "label", "part")
+    runs = sets.select(*RUN_KEYS).distinct()
+    wanted = rows.select("cohort", "seed", "sample_id").join(broadcast_if_bounded(runs), ["cohort", "seed"])
+    vectors = assemble(cells, [*RUN_KEYS, "sample_id"], features=sets, rows=wanted, gaps=gaps)
     return vectors.join(broadcast_if_bounded(rows, rows_from=split), ["cohort", "seed", "sample_id"])
 
 
@@ -143,7 +146,7 @@ def training_facts(vectors: DataFrame, keys: list[str]) -> list[tuple[dict, list
 
 
 def fit_run(vectors: DataFrame, classifier: Classifier, keys: dict, classes: list[str], rows: int) -> Fit:
-    """Trains on the `train` rows of one run and predicts its `test` rows."""
+    """Trains on the `train` rows of one run, predicts its `test` rows and writes the predictions."""
     started = time.time()
     fit = Fit(keys)
     training = indexed(vectors.where(F.col("part") == "train"), classes).select("_y", "features")
@@ -151,33 +154,36 @@ def fit_run(vectors: DataFrame, classifier: Classifier, keys: dict, classes: lis
     fit.train_time_s = time.time() - started
     guessed = fit.model.transform(vectors.where(F.col("part") == "test"))
     tags = [F.lit(v).alias(k) for k, v in keys.items()]
-    fit.predictions = guessed.select(*tags, "sample_id", "label", name_of(F.col("prediction"), classes).alias("prediction"),
-                                     probabilities(classifier.scores, classes).alias("proba"))
+    fit.predictions = cut_lineage(guessed.select(*tags, "sample_id", "label", name_of(F.col("prediction"), classes).alias("prediction"),
+                                                 probabilities(classifier.scores, classes).alias("proba")))
     fit.run_time_s = time.time() - started
     return fit
 
 
-def fit_runs(vectors: DataFrame, classifier_of: Callable[[dict], Classifier], parallelism: int = 8) -> list[Fit]:
-    """One fit per run key of a materialised vectors table, a few at a time."""
+def fit_runs(vectors: DataFrame, classifier_of: Callable[[dict], Classifier], parallelism: int = 8, shared_s: float = 0.0) -> list[Fit]:
+    """One fit per run key of a materialised vectors table, a few at a time; `shared_s` seconds were spent on all of them before."""
+    facts = training_facts(vectors, RUN_KEYS)
 
     def one(fact: tuple[dict, list[str], int]) -> Fit:
         keys, classes, rows = fact
         mine = vectors.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in keys.items()]))
         try:
-            return fit_run(mine, classifier_of(keys), keys, classes, rows)
+            fit = fit_run(mine, classifier_of(keys), keys, classes, rows)
         except Exception as error:  # recorded as a failed run
-            return Fit(keys, status=f"failed: {type(error).__name__}")
+            return Fit(keys, status=f"failed: {type(error).__name__}: {error}")
+        fit.run_time_s += shared_s / len(facts)
+        return fit
 
     with ThreadPool(parallelism) as pool:
-        return pool.map(inheritable_thread_target(vectors.sparkSession)(one), training_facts(vectors, RUN_KEYS))
+        return pool.map(inheritable_thread_target(vectors.sparkSession)(one), facts)
 
 
 def collected_predictions(fits: list[Fit]) -> DataFrame:
-    """The predictions of all fits as one written table."""
+    """The predictions of all fits, which each of them has written, as one table."""
     tables = [f.predictions for f in fits if f.predictions is not None]
     if not tables:
         raise RuntimeError("no model could be trained: " + "; ".join(sorted({f.status for f in fits})))
-    return cut_lineage(reduce(DataFrame.unionByName, tables))
+    return reduce(DataFrame.unionByName, tables)
 
 
 def fit_log(vectors: DataFrame, fits: list[Fit]) -> DataFrame:

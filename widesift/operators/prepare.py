@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from widesift.operators import ranking
 from widesift.session import broadcast_if_bounded
 
 KEYS = ["cohort", "seed", "feature"]
 FILL_CHUNKS = 32
+VECTOR = StructType([StructField("v", VectorUDT())])
 
 
 def train_cells(matrix: DataFrame, splits: DataFrame, part: str = "train") -> DataFrame:
@@ -50,18 +53,59 @@ def scaling(feature_moments: DataFrame) -> DataFrame:
                                   F.when(F.col("hi") > F.col("lo"), deviation).otherwise(1.0).alias("spread"))
 
 
-def standard_scale(cells: DataFrame, feature_moments: DataFrame) -> DataFrame:
-    """Adds seed and `scaled` to cells (cohort, sample_id, feature, value); train and test rows alike."""
+def standard_scale(cells: DataFrame, feature_moments: DataFrame, centred: bool = True) -> DataFrame:
+    """Adds seed and `scaled` to cells (cohort, sample_id, feature, value); train and test rows alike.
+
+    Without centring a zero stays a zero, so that implicit zeros need no cells; a model with a free intercept is the same.
+    """
     on = KEYS if "seed" in cells.columns else ["cohort", "feature"]
+    shifted = F.col("value") - F.col("centre") if centred else F.col("value")
     return (cells.join(broadcast_if_bounded(scaling(feature_moments)), on)
-            .withColumn("scaled", (F.col("value") - F.col("centre")) / F.col("spread"))
+            .withColumn("scaled", shifted / F.col("spread"))
             .drop("centre", "spread"))
 
 
-def assemble(cells: DataFrame, keys: list[str], value: str = "scaled") -> DataFrame:
-    """One `features` vector per key, in feature order (as long as the feature set is wide)."""
-    ordered = F.array_sort(F.collect_list(F.struct("feature", value)))
-    return cells.groupBy(*keys).agg(
-        array_to_vector(F.transform(ordered, lambda s: s[value])).alias("features"))
+def positions(features: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, feature, pos, width): place of each feature, in feature order, in the vectors of its feature set."""
+    of_set = Window.partitionBy(*keys)
+    named = features.select(*keys, "feature").distinct()
+    return named.withColumns({"pos": F.row_number().over(of_set.orderBy("feature")) - 1, "width": F.count("*").over(of_set).cast("int")})
 
 
+def assemble(cells: DataFrame, keys: list[str], value: str = "scaled", features: DataFrame | None = None, rows: DataFrame | None = None,
+             gaps: str = "error") -> DataFrame:
+    """One `features` vector per key: every feature at its place, whatever cells are there.
+
+    keys are the keys of a feature set and those of a sample. `features` lists the feature sets (by default the features that
+    occur in the cells, one set for everything), `rows` the samples that get a vector (by default those with a cell). A cell that
+    is absent or null is a gap: `gaps` says whether that is an error when the vector is made, or a zero, in which case vectors
+    are sparse.
+    """
+    if gaps not in ("error", "zero"):
+        raise ValueError(f"gaps is 'error' or 'zero', not {gaps!r}")
+    set_keys = [k for k in keys if features is not None and k in features.columns]
+    if features is None:
+        features = cells
+    if set_keys:
+        places = positions(features, set_keys)
+    else:
+        places = positions(features.withColumn("_one", F.lit(1)), ["_one"]).drop("_one")
+    widths = places.select(*set_keys, "width").distinct()
+    placed = cells.where(F.col(value).isNotNull()).join(broadcast_if_bounded(places.drop("width")), [*set_keys, "feature"])
+    lists = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col(value).cast("double").alias("value")))).alias("_cells"))
+    if rows is not None:
+        lists = rows.select(*keys).distinct().join(lists, keys, "left")
+    widths = broadcast_if_bounded(widths)
+    sized = lists.join(widths, set_keys) if set_keys else lists.crossJoin(widths)  # a single row
+    filled = sized.withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<pos:int,value:double>>")))
+    values = F.transform("_cells", lambda s: s["value"])
+    if gaps == "error":
+        missing = F.concat(F.lit("a sample has "), F.size("_cells").cast("string"), F.lit(" of "), F.col("width").cast("string"), F.lit(" features"))
+        vector = F.when(F.size("_cells") == F.col("width"), array_to_vector(values)).otherwise(
+            F.from_json(F.raise_error(missing).cast("string"), VECTOR)["v"])
+    else:
+        # the JVM's own way from plain columns to a sparse vector
+        plain = F.struct(F.lit(0).cast("byte").alias("type"), F.col("width").alias("size"), F.transform("_cells", lambda s: s["pos"]).alias("indices"),
+                         values.alias("values"))
+        vector = F.from_json(F.to_json(F.struct(plain.alias("v"))), VECTOR)["v"]
+    return filled.select(*keys, vector.alias("features"))

@@ -65,9 +65,9 @@ def train_quotas(samples: DataFrame, share: float = HOLDOUT_SHARE) -> DataFrame:
               .withColumn("_all", F.sum("size").over(by_cohort))
               .withColumn("_rows", F.col("_all") - F.col("_lone"))
               .withColumn("_train", F.col("_all") - F.ceil(F.lit(share) * F.col("_all")) - F.col("_lone"))
-              .withColumn("_part", F.when(lone, 0).otherwise(F.col("size") * F.col("_train")))
-              .withColumn("_base", F.when(lone, 0).otherwise(F.expr("_part div _rows")))
-              .withColumn("_left", F.when(lone, -1).otherwise(F.expr("_part % _rows"))))
+              .withColumn("_part", F.when(lone, 0).otherwise(F.col("size").cast("decimal(38,0)") * F.col("_train")))
+              .withColumn("_base", F.when(lone, 0).otherwise(F.expr("_part div _rows")).cast("long"))
+              .withColumn("_left", F.when(lone, -1).otherwise(F.expr("_part % _rows")).cast("long")))
     by_remainder = by_cohort.orderBy(F.col("_left").desc(), "label")
     short = F.col("_train") - F.sum("_base").over(by_cohort)
     extra = (F.row_number().over(by_remainder) <= short).cast("long")

@@ -6,6 +6,7 @@ fits are submitted one by one (see `operators.models`).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -38,6 +39,7 @@ class Prepared:
     rows: int
     width: int
     fill: DataFrame | None = None
+    gaps: str = "error"
 
     def row_buckets(self) -> int:
         """Tasks per group that is ordered by sample."""
@@ -48,12 +50,18 @@ class Prepared:
         return ranking.buckets_for(self.width)
 
     def cells(self) -> DataFrame:
-        """The matrix, with its gaps filled (per seed) if it is to be imputed."""
-        if self.fill is None:
+        """The matrix, with its gaps filled (per seed) if they stand for something: dense, for methods that need all cells."""
+        if self.gaps == "error":
             return self.matrix
-        return prepare.median_impute(self.matrix, self.split, self.fill).select(
+        fill = self.fill if self.gaps == "median" else self.moments.select("cohort", "seed", "feature", F.lit(0.0).alias("fill"))
+        return prepare.median_impute(self.matrix, self.split, fill).select(
             "cohort", "seed", "sample_id", "feature", "value")
 
+    def vectors(self, feature_sets: DataFrame) -> DataFrame:
+        """Assembled vectors of the feature sets, written once."""
+        return cut_lineage(models.build_vectors(self.matrix, self.split, feature_sets, self.moments, self.fill,
+                                                "zero" if self.gaps == "zero" else "error"))
+
     def train_cells(self) -> DataFrame:
         return prepare.train_cells(self.cells(), self.split)
 
@@ -69,20 +77,28 @@ class Method:
 
 
 def prepared(matrix: DataFrame, samples: DataFrame, seeds: Sequence[int], impute: bool = False,
-             share: float = splits.HOLDOUT_SHARE) -> Prepared:
-    """Splits and statistics for an aligned matrix; `impute` fills gaps with training medians."""
+             share: float = splits.HOLDOUT_SHARE, gaps: str | None = None) -> Prepared:
+    """Splits and statistics for an aligned matrix.
+
+    gaps says what an absent cell is: an error ("error", the default), a zero ("zero", for sparse matrices) or
+    the training median of its feature ("median", or impute=True).
+    """
+    gaps = gaps or ("median" if impute else "error")
+    if gaps not in ("error", "zero", "median"):
+        raise ValueError(f"gaps is 'error', 'zero' or 'median', not {gaps!r}")
     seeds = [int(s) for s in seeds]
     rows = samples.count()
     split = cut_lineage(splits.stratified_split(samples, seeds, share))
     stats = moments.feature_stats(matrix, split, seeds, samples)
-    if impute:
+    if gaps == "median":
         fill = cut_lineage(prepare.train_medians(matrix, split, ranking.buckets_for(rows)))
         summary = cut_lineage(moments.feature_moments(stats, moments.class_sizes(split), fill))
     else:
         fill = None
-        summary = cut_lineage(moments.feature_moments(stats))
+        sizes = moments.class_sizes(split) if gaps == "zero" else None
+        summary = cut_lineage(moments.feature_moments(stats, sizes))
     widest = summary.groupBy("cohort", "seed").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    return Prepared(matrix, samples, seeds, split, summary, rows, widest or 0, fill)
+    return Prepared(matrix, samples, seeds, split, summary, rows, widest or 0, fill, gaps)
 
 
 def _tagged(features: DataFrame, param) -> DataFrame:
@@ -144,7 +160,7 @@ def forward_selection(fraction: float = FORWARD_FRACTION, prefilter: int = FORWA
         steps = max(1, int(widest * fraction))
         if scorer == "logistic":
             named = candidates.withColumns({"method": F.lit("forward"), "param": F.lit("candidates")})
-            vectors = cut_lineage(models.build_vectors(p.matrix, p.split, named, p.moments, p.fill))
+            vectors = p.vectors(named)
             found = forward.forward_selection_logistic(vectors, folded, candidates, steps, folds)
         else:
             found = forward.forward_selection(p.cells(), folded, steps, folds, candidates)
@@ -160,7 +176,7 @@ def _by_model(score: Callable[[DataFrame, list[str], int], DataFrame], mask: Cal
     def select(p: Prepared) -> DataFrame:
         varying = cut_lineage(scores.varying_features(p.moments)
                               .withColumns({"method": F.lit("tuning"), "param": F.lit("all")}))
-        vectors = cut_lineage(models.build_vectors(p.matrix, p.split, varying, p.moments, p.fill))
+        vectors = p.vectors(varying)
         found = []
         for run in vectors.select("cohort", "seed").distinct().orderBy("cohort", "seed").collect():
             this = (F.col("cohort") == run["cohort"]) & (F.col("seed") == run["seed"])
@@ -191,24 +207,28 @@ class Outcome:
     feature_sets: DataFrame
 
 
-def evaluate_feature_sets(p: Prepared, feature_sets: DataFrame, classifier: str, parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(predictions, fit log) of one classifier for every feature set (RUN_KEYS, feature)."""
-    vectors = cut_lineage(models.build_vectors(p.matrix, p.split, feature_sets, p.moments, p.fill))
-    fits = models.fit_runs(vectors, lambda keys: models.CLASSIFIERS[classifier], parallelism)
+def evaluate_feature_sets(p: Prepared, feature_sets: DataFrame, classifier: str, parallelism: int = 8,
+                          selected_s: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(predictions, fit log) of one classifier for every feature set (RUN_KEYS, feature); `selected_s` seconds went into the sets."""
+    started = time.time()
+    vectors = p.vectors(feature_sets)
+    fits = models.fit_runs(vectors, lambda keys: models.CLASSIFIERS[classifier], parallelism, selected_s + time.time() - started)
     return models.collected_predictions(fits), models.fit_log(vectors, fits)
 
 
 def run_benchmark(p: Prepared, methods: Sequence[Method], parallelism: int = 8) -> Outcome:
     """Runs every method for every cohort and seed. A failure is a run with its status, not an abort."""
-    parts, broken = [], []
+    parts, broken, first = [], [], None
     for method in methods:
+        started = time.time()
         try:
             sets = cut_lineage(method.select(p).select("cohort", "seed", F.lit(method.name).alias("method"), "param", "feature"))
-            parts.append((sets, *evaluate_feature_sets(p, sets, method.classifier, parallelism)))
+            parts.append((sets, *evaluate_feature_sets(p, sets, method.classifier, parallelism, time.time() - started)))
         except Exception as error:  # recorded, and the other methods go on
-            broken.append(F.when(F.col("method") == method.name, f"failed: {type(error).__name__}: {error}"[:200]))
+            broken.append(F.when(F.col("method") == method.name, f"failed: {type(error).__name__}: {error}"))
+            first = first or error
     if not parts:
-        raise RuntimeError("no method could be run")
+        raise RuntimeError("no method could be run") from first
     sets, predictions, log = (reduce(DataFrame.unionByName, column) for column in zip(*parts))
     results = metrics.evaluate(predictions, buckets=p.row_buckets()).join(log, metrics.RUN_KEYS, "full")
     width = p.moments.groupBy("cohort").agg(F.count_distinct("feature").alias("n_features_total"))
