@@ -106,14 +106,12 @@ def _links(classes: DataFrame, plan: Plan) -> DataFrame:
     large = cut_lineage(placed.select("label", F.size("vector").alias("dims"), F.posexplode("keys").alias("table", "key")).groupBy(*cell).count()
                         .where(F.col("count") > MEET).select(*cell, F.ceil(F.col("count") / MEET).cast("int").alias("chunks")))
     if large.isEmpty():
-        rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
-    else:
+        rows = rows.withColumns({"i": F.lit(0), "j": F.lit(0), "chunk": F.lit(0)})
+    else:  # every pair of chunks of a cell meets in a task of its own
         rows = rows.join(large, cell, "left").fillna(1, ["chunks"])
-        rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rows = rows.select(*placed.columns, *cell, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-                           F.col("mine").alias("chunk"))
-    rows = rows if "chunk" in rows.columns else rows.withColumn("chunk", F.lit(0))
+        rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunks", "other")
     tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-placed.count() * plan.tables // TASK_ROWS))
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
