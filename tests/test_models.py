@@ -82,7 +82,7 @@ def test_a_failed_fit_is_recorded(separable):
     vectors = models.build_vectors(separable.matrix, separable.split, sets, separable.moments)
     [fit] = models.fit_runs(vectors, lambda keys: models.Classifier(broken))
     assert fit.status == "failed: ValueError: no estimator" and fit.predictions is None
-    assert models.fit_log(vectors, [fit]).first()["status"] == "failed: ValueError"
+    assert models.fit_log(vectors, [fit]).first()["status"] == "failed: ValueError: no estimator"
 
 
 def test_nonzero_mask_reads_coefficients(spark):

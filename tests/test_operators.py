@@ -342,3 +342,41 @@ def test_forward_selection_takes_informative_features_first(spark):
     found = forward.forward_selection(matrix, folded, steps=7).orderBy("rank").collect()
     assert {r["feature"] for r in found[:2]} <= {"f0", "f1", "f2"} and len(found) == 5
     assert found[1]["score"] > found[0]["score"]
+
+
+def test_small_scores_keep_their_order_and_infinite_ones_their_place(spark):
+    rows = [("X", 1, n, v) for n, v in (("a", 1e-10), ("b", 3e-10), ("z", 1e-12), ("none", None))]
+    table = spark.createDataFrame(rows, "cohort string, seed int, feature string, score double")
+    for buckets in (1, 4):
+        assert [r["feature"] for r in selection.top_k(table, 2, buckets=buckets).orderBy("rank").collect()] == ["b", "a"]
+    more = table.unionByName(spark.createDataFrame([("X", 1, "inf", float("inf"))], table.schema))
+    assert {r["feature"] for r in selection.above_mean(more).collect()} == {"inf", "b"}
+
+
+def test_top_k_among_many_ties_equals_the_plain_ranking(spark):
+    rng = random.Random(4)
+    rows = [("X", s, f"f{i:04d}", rng.choice([0.0] * 9 + [rng.random()])) for s in (1, 2) for i in range(900)]
+    table = spark.createDataFrame(rows, "cohort string, seed int, feature string, score double").repartition(5)
+    for k in (1, 50, 400, 2000):
+        plain, cut = ({(r["seed"], r["feature"], r["rank"]) for r in selection.top_k(table, k, buckets=b).collect()} for b in (1, 8))
+        assert plain == cut and len(plain) == 2 * min(k, 900)
+
+
+def test_medians_of_mostly_equal_values(spark):
+    rng = random.Random(5)
+    rows = [(g, 0.0 if rng.random() < 0.9 else rng.gauss(0, 1)) for g in "ab" for _ in range(501 if g == "a" else 500)] + [("c", 2.0), ("c", 3.0), ("d", None)]
+    table = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    want = {g: float(np.median([v for h, v in rows if h == g])) for g in "abc"}
+    for buckets in (1, 16):
+        assert {r["g"]: r["m"] for r in ranking.medians(table, ["g"], "v", "m", buckets).collect()} == pytest.approx(want)
+
+
+def test_saturated_areas_and_shifted_moments(spark):
+    rows = [("k", True, 1e-11), ("k", True, 1e-12), ("k", False, 1e-14), ("k", False, 1e-15)]
+    assert metrics.score_auc(spark.createDataFrame(rows, "k string, positive boolean, score double"), ["k"]).first()["auc"] == 1.0
+    cells = [("X", f"s{i}", "f", 1e8 + (i % 2) + 0.01 * (i % 3)) for i in range(20)]
+    split = spark.createDataFrame([("X", 1, f"s{i}", str(i % 2), "train") for i in range(20)], "cohort string, seed int, sample_id string, label string, part string")
+    stats = moments.feature_stats(spark.createDataFrame(cells, "cohort string, sample_id string, feature string, value double"), split, [1], split)
+    plain, filled = (moments.feature_moments(stats, sizes).first()["between"] for sizes in (None, moments.class_sizes(split)))
+    assert filled == pytest.approx(plain, rel=1e-6) and filled > 4
+

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from widesift.functions.columns import clean_probability
 from widesift.operators.metrics import RUN_KEYS
 from widesift.operators.prepare import assemble, median_impute, standard_scale
 from widesift.operators.selection import project_features
-from widesift.session import broadcast_if_bounded, cut_lineage
+from widesift.session import broadcast_if_bounded, checkpoint_folder, cut_lineage
 
 PREDICTION_SCHEMA = "sample_id string, label string, prediction string, proba map<string,double>"
 
@@ -83,6 +84,15 @@ def build_vectors(matrix: DataFrame, split: DataFrame, feature_sets: DataFrame,
     return vectors.join(broadcast_if_bounded(rows, rows_from=split), ["cohort", "seed", "sample_id"])
 
 
+def stored(vectors: DataFrame) -> DataFrame:
+    """The vectors as Parquet in the shared folder, a directory for each run, so that a fit reads its own run only."""
+    spark = vectors.sparkSession
+    folder = f"{checkpoint_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    # large runs are split over several files, small ones are not scattered
+    vectors.hint("rebalance", *[F.col(k) for k in RUN_KEYS]).write.partitionBy(*RUN_KEYS).parquet(folder)
+    return spark.read.schema(vectors.schema).parquet(folder)
+
+
 def indexed(vectors: DataFrame, classes: list[str]) -> DataFrame:
     names = F.array(*[F.lit(c) for c in classes])
     return vectors.withColumn("_y", (F.array_position(names, F.col("label")) - 1).cast("double"))

@@ -73,15 +73,16 @@ def medians(df: DataFrame, keys: list[str], col: str, out: str, buckets: int = 1
     present = df.where(F.col(col).isNotNull())
     if buckets <= 1:
         return present.groupBy(*keys).agg(F.percentile(col, 0.5).alias(out))
-    # written because the quantile sketch, the counts and the ranking read it
-    present = cut_lineage(present.select(*keys, col))
-    cut = with_value_bucket(present, keys, col, buckets)
-    sizes = present.groupBy(*keys).agg(F.count(col).alias("_size"))
+    # one row for each distinct value, however often it occurs; written because the sketch, the sizes and the totals read it
+    folded = cut_lineage(present.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n")))
+    cut = with_value_bucket(folded, keys, col, buckets)
+    sizes = folded.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     # the group size travels with the bucket offsets, so that the rows never meet under the key alone
-    offsets = bucket_offsets(cut, keys, F.lit(1).cast("long")).join(sizes, keys)
+    offsets = bucket_offsets(cut, keys, F.col("_n")).join(sizes, keys)
     spread = [*keys, BUCKET]
-    place = F.row_number().over(Window.partitionBy(*spread).orderBy(col))
-    return (cut.withColumn("_rank", place).join(offsets, spread)
-            .withColumn("_rank", F.col("_rank") + F.col("_before"))
-            .where(F.col("_rank").between(F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1))
+    upto = F.sum("_n").over(Window.partitionBy(*spread).orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+    low, high = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
+    return (cut.withColumn("_upto", upto).join(offsets, spread)
+            .withColumn("_upto", F.col("_upto") + F.col("_before"))
+            .where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_n") < high))
             .groupBy(*keys).agg(F.avg(col).alias(out)))

@@ -10,6 +10,9 @@ from widesift.session import broadcast_if_bounded, cut_lineage
 
 GROUP = ["cohort", "seed"]
 SCORE_DIGITS = 10
+#: quantiles of the sketch that bounds a top-k
+SKETCH_ACCURACY = 10_000
+SKETCH = [i / 200 for i in range(1, 201)]
 
 
 def ranked_scores(scores: DataFrame, higher_index_wins: bool = True, buckets: int = 1,
@@ -34,8 +37,24 @@ def ranked_scores(scores: DataFrame, higher_index_wins: bool = True, buckets: in
 
 def top_k(scores: DataFrame, k: int, higher_index_wins: bool = True, buckets: int = 1,
           digits: int = SCORE_DIGITS) -> DataFrame:
-    """The min(k, width) best features of each cohort and seed, with `rank`."""
-    return ranked_scores(scores, higher_index_wins, buckets, digits).where(F.col("rank") <= k)
+    """The min(k, width) best features of each cohort and seed, with `rank`.
+
+    With `buckets` > 1 a quantile sketch first gives a score that is surely among the best k and a little beyond, and
+    only what reaches it is ranked; the ranking itself keeps k rows of each map task.
+    """
+    if buckets <= 1:
+        return ranked_scores(scores, higher_index_wins, 1, digits).where(F.col("rank") <= k)
+    scores = cut_lineage(scores)  # read by the sketch and the ranking
+    down = -F.coalesce(F.col("score"), F.lit(float("-inf")))
+    sizes = scores.groupBy(*GROUP).agg(F.count("*").alias("_n"), F.percentile_approx(down, SKETCH, SKETCH_ACCURACY).alias("_q"))
+    # a quantile of the sketch is off by 1/accuracy of the rows at most
+    place = F.ceil((F.lit(k) / F.col("_n") + 1.0 / SKETCH_ACCURACY) * len(SKETCH))
+    bound = F.when(place < len(SKETCH), F.get("_q", place.cast("int"))).otherwise(F.lit(float("inf")))
+    bounds = sizes.select(*GROUP, bound.alias("_bound"))
+    # the bound is widened by more than rounding to significant digits can move a score
+    slack = F.abs(F.col("_bound")) * 10.0 ** (2 - digits)
+    near = scores.join(broadcast_if_bounded(bounds), GROUP).where(down <= F.col("_bound") + slack).drop("_bound")
+    return ranked_scores(near, higher_index_wins, 1, digits).where(F.col("rank") <= k)
 
 
 def top_fraction(scores: DataFrame, fractions: list[float], buckets: int = 1,
@@ -59,10 +78,12 @@ def above(scores: DataFrame, threshold: float | Column) -> DataFrame:
 
 
 def above_mean(scores: DataFrame) -> DataFrame:
-    """Scores strictly above the mean score of their cohort and seed."""
+    """Scores strictly above the mean of the finite scores of their cohort and seed; an infinite score always is."""
     scores = cut_lineage(scores)
-    mean = scores.groupBy(*GROUP).agg(F.avg("score").alias("_mean"))
-    return scores.join(broadcast_if_bounded(mean), GROUP).where(F.col("score") > F.col("_mean")).drop("_mean")
+    finite = F.when(F.abs("score") < F.lit(float("inf")), F.col("score"))
+    mean = scores.groupBy(*GROUP).agg(F.avg(finite).alias("_mean"))
+    reached = (F.col("score") > F.col("_mean")) | (F.col("score") == F.lit(float("inf")))
+    return scores.join(broadcast_if_bounded(mean), GROUP).where(reached & ~F.isnan("score")).drop("_mean")
 
 
 def nonzero(scores: DataFrame) -> DataFrame:

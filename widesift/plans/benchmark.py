@@ -59,8 +59,8 @@ class Prepared:
 
     def vectors(self, feature_sets: DataFrame) -> DataFrame:
         """Assembled vectors of the feature sets, written once."""
-        return cut_lineage(models.build_vectors(self.matrix, self.split, feature_sets, self.moments, self.fill,
-                                                "zero" if self.gaps == "zero" else "error"))
+        return models.stored(models.build_vectors(self.matrix, self.split, feature_sets, self.moments, self.fill,
+                                                  "zero" if self.gaps == "zero" else "error"))
 
     def train_cells(self) -> DataFrame:
         return prepare.train_cells(self.cells(), self.split)

@@ -102,8 +102,8 @@ def cohort_paths(registry: dict[str, tuple[str, str]], cohort: str) -> tuple[str
 
 def write_matrix(matrix: DataFrame, folder: str) -> None:
     """Parquet by cohort, with the cells of a feature together: statistics aggregate before they
-    shuffle, and a filter on features skips row groups."""
-    (matrix.repartitionByRange("cohort", "feature").sortWithinPartitions("cohort", "feature")
+    shuffle, and a filter on features skips row groups. A feature with very many cells spreads over several files."""
+    (matrix.repartitionByRange("cohort", "feature", "sample_id").sortWithinPartitions("cohort", "feature")
      .write.mode("overwrite").partitionBy("cohort").parquet(folder))
 
 
