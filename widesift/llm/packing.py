@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from widesift.llm.tokens import Encoder, by_bytes
+from widesift.llm.tokens import Encoder, by_bytes, ids_of
 
 #: ids of remainders a task gathers before it packs them
 POOL_IDS = 4_000_000
@@ -25,11 +25,16 @@ OUT_ROWS = 2048
 SCHEMA = "start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 
 
-def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
-    """How many of each length add up to the largest sum within `room`; longer lengths are tried first."""
+def best_fill(counts: list[int], room: int) -> dict[int, int]:
+    """How many of each length add up to the largest sum within `room`; counts[n] is the number of pieces of length n.
+
+    Longer lengths are tried first, and no further ones once the room is filled.
+    """
     mask = (1 << (room + 1)) - 1
     reach, steps = 1, []
-    for length in sorted((n for n in counts if n <= room), reverse=True):
+    for length in range(min(room, len(counts) - 1), 0, -1):
+        if not counts[length]:
+            continue
         most, chunk = min(counts[length], room // length), 1
         while most > 0:
             chunk = min(chunk, most)
@@ -67,7 +72,8 @@ class Packer:
 
     def __init__(self, capacity: int):
         self.capacity, self.sequence = capacity, 0
-        self.pool: dict[int, list[Piece]] = {}
+        self.pool: list[list[Piece]] = [[] for _ in range(capacity)]
+        self.counts = [0] * capacity
         self.held = 0
 
     def add(self, key, ids: bytes) -> Iterator[tuple]:
@@ -81,16 +87,18 @@ class Packer:
             yield from self.pack(last=False)
 
     def _hold(self, piece: Piece) -> None:
-        self.pool.setdefault(len(piece), []).append(piece)
-        self.held += len(piece)
+        n = len(piece)
+        self.pool[n].append(piece)
+        self.counts[n] += 1
+        self.held += n
 
     def _take(self, length: int) -> Piece:
-        pieces = self.pool[length]
-        piece = pieces.pop()
-        if not pieces:
-            del self.pool[length]
+        self.counts[length] -= 1
         self.held -= length
-        return piece
+        return self.pool[length].pop()
+
+    def _longest(self) -> int:
+        return next(n for n in range(self.capacity - 1, 0, -1) if self.counts[n])
 
     def _emit(self, pieces: list[Piece]) -> Iterator[tuple]:
         offset = 0
@@ -102,16 +110,17 @@ class Packer:
     def pack(self, last: bool) -> Iterator[tuple]:
         """Packs the pool; keeps what fills less than a window unless it is the last time."""
         while self.held >= self.capacity:
-            longest = max(self.pool)
-            counts = {n: len(p) for n, p in self.pool.items()}
-            counts[longest] -= 1
-            used = best_fill({n: c for n, c in counts.items() if c}, self.capacity - longest)
+            longest = self._longest()
+            self.counts[longest] -= 1
+            used = best_fill(self.counts, self.capacity - longest)
+            self.counts[longest] += 1
             used[longest] = used.get(longest, 0) + 1
             slack = self.capacity - sum(n * c for n, c in used.items())
-            for _ in range(1 if slack else min(len(self.pool[n]) // c for n, c in used.items())):
-                pieces = [self._take(n) for n, c in sorted(used.items(), reverse=True) for _ in range(c)]
+            order = sorted(used.items(), reverse=True)
+            for _ in range(1 if slack else min(self.counts[n] // c for n, c in order)):
+                pieces = [self._take(n) for n, c in order for _ in range(c)]
                 if slack:  # the rest of the pool has only pieces longer than the slack
-                    front, back = self._take(min(n for n in self.pool if n > slack)).cut(slack)
+                    front, back = self._take(next(n for n in range(slack + 1, self.capacity) if self.counts[n])).cut(slack)
                     pieces.append(front)
                     self._hold(back)
                 yield from self._emit(pieces)
@@ -120,7 +129,7 @@ class Packer:
 
     def _tail(self) -> Iterator[tuple]:
         """Less than a window is left: sequences at powers of two, which need no padding."""
-        rest = [self._take(max(self.pool)) for _ in range(sum(map(len, self.pool.values())))]
+        rest = [self._take(self._longest()) for _ in range(sum(self.counts))]
         total = sum(map(len, rest))
         while total:
             room, pieces = 1 << (total.bit_length() - 1), []
@@ -147,7 +156,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
     kind = docs.schema[key_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, "ids", lambda ids: ids.tobytes())
+        encode = Encoder(tokenizer, ids_of)
         end, packer = struct.pack("<I", end_id), Packer(capacity)
         first = TaskContext.get().partitionId() << 36
         key_type = [None]

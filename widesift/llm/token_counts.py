@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from widesift.llm.tokens import Encoder, by_bytes
+from widesift.llm.tokens import Encoder, by_bytes, lengths_of
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
@@ -21,7 +21,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text_col: s
     kind = docs.schema[key_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, "count", len)
+        encode = Encoder(tokenizer, lengths_of)
         for batch in batches:
             n = [sum(lengths) for part in by_bytes(batch.column(1)) for lengths in encode(part)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])

@@ -17,13 +17,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: characters that some engine may call white space; no safe boundary comes after one of them
-SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff"
-UNSAFE = re.compile(f"[{SPACES}][ \n]|\0")
-SAFE = re.compile(f"(?<=[^{SPACES}])(?=[ \n])")
-JOINABLE = re.compile(f"[ \n].*[^{SPACES}]", re.S)
+ASCII_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
+SPACES = ASCII_SPACES + "\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200e))) + "\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+SAFE = re.compile(f"(?<=[^{re.escape(SPACES)}])(?=[ \n])")
+#: in a text with one of these, boundaries have to be looked for
+ASCII_UNSAFE = ("\0", *(a + b for a in ASCII_SPACES for b in " \n"))
+UNSAFE = (*ASCII_UNSAFE, *(a + b for a in SPACES[len(ASCII_SPACES):] for b in " \n"))
+SPACE_SET = frozenset(SPACES)
 #: characters encoded in one call, and segments remembered at once and from before
 CALL_CHARS = 1 << 18
-MEMORY = 300_000
+MEMORY = 400_000
 #: a longer segment is encoded but not remembered
 MEMORABLE = 64
 
@@ -32,8 +35,9 @@ def segments(text: str) -> list[str]:
     """The text cut in front of every blank and line end after something other than white space."""
     if not text:
         return []
-    if UNSAFE.search(text):
-        return SAFE.split(text)
+    for mark in ASCII_UNSAFE if text.isascii() else UNSAFE:
+        if mark in text:
+            return SAFE.split(text)
     parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
     return parts if parts[0] else parts[1:]
 
@@ -44,13 +48,23 @@ def _worker_memory(name: tuple) -> list[dict]:
     return module.__dict__.setdefault(repr(name), [{}, {}])
 
 
+def ids_of(ids: np.ndarray, stops: np.ndarray) -> list[bytes]:
+    """The ids up to each stop, four little-endian bytes to an id."""
+    raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+    return [raw[i:j] for i, j in zip(at, at[1:])]
+
+
+def lengths_of(ids: np.ndarray, stops: np.ndarray) -> list[int]:
+    return np.diff(stops, prepend=0).tolist()
+
+
 class Encoder:
-    """What `value` makes of the ids (an array of unsigned numbers) of segments, computed once while it is remembered.
+    """Ids or lengths (what `values` makes of the ids of many segments) of segments, computed once while remembered.
 
-    `kind` names the function: values are shared by all encoders of a worker with the same file and kind.
+    All encoders of a worker with the same file and function share what they remember.
     """
 
-    def __init__(self, path: str, kind: str, value: Callable[[np.ndarray], object]):
+    def __init__(self, path: str, values: Callable[[np.ndarray, np.ndarray], list]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallelism
         from tokenizers import Tokenizer
 
@@ -63,26 +77,26 @@ class Encoder:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = added.get(i, len(token))
-        self.value = value
-        self.memory = _worker_memory((path, kind))
-
-    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(encoding.ids, "<u4")
-
-    def _encode(self, items: list[str]) -> Iterator[tuple[str, object]]:
-        joinable = [JOINABLE.fullmatch(s) is not None for s in items]
-        alone = [s for s, j in zip(items, joinable) if not j]
+        self.values = values
+        self.memory = _worker_memory((path, values.__name__))
+
+    def _encode(self, items: list[str]) -> Iterator[tuple[list[str], list]]:
+        joined, alone = [], []
+        for item in items:
+            # a segment that begins with white space and ends with something else can follow and be followed by others
+            (joined if item[0] in " \n" and item[-1] not in SPACE_SET else alone).append(item)
         for batch in batches(alone):
-            yield from zip(batch, map(self.value, self._ids(batch)))
-        for batch in batches([s for s, j in zip(items, joinable) if j]):
-            ids, = self._ids(["".join(batch)])
+            ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+            yield batch, self.values(np.concatenate(ids), np.cumsum(list(map(len, ids))))
+        for batch in batches(joined):
+            encoding, = self.tokenizer.encode_batch_fast(["".join(batch)], add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u4")
             ends = np.cumsum(self.bytes[ids])
             want = np.cumsum([len(s.encode()) for s in batch])
             stops = np.searchsorted(ends, want) + 1
             if not np.array_equal(ends[stops - 1], want):
                 raise ValueError("the file holds no byte-level BPE tokenizer without normaliser")
-            yield from zip(batch, map(self.value, np.split(ids, stops[:-1])))
+            yield batch, self.values(ids, stops)
 
     def __call__(self, texts: list[str]) -> list[list]:
         """For each text the values of its segments in order."""
@@ -90,12 +104,15 @@ class Encoder:
         if len(self.memory[0]) > MEMORY:
             self.memory[:] = [{}, self.memory[0]]
         known, before = self.memory
-        new = {s for parts in cut for s in parts if s not in known}
+        new = set().union(*cut).difference(known)
         again = {s: before[s] for s in new if s in before}
         known.update(again)
         long: dict[str, object] = {}
-        for segment, value in self._encode(list(new.difference(again))):
-            (known if len(segment) <= MEMORABLE else long)[segment] = value
+        for items, values in self._encode(list(new.difference(again))):
+            known.update(zip(items, values))
+            long.update((s, v) for s, v in zip(items, values) if len(s) > MEMORABLE)
+        for segment in long:
+            del known[segment]
         if long:
             return [[long[s] if len(s) > MEMORABLE else known[s] for s in parts] for parts in cut]
         return [list(map(known.__getitem__, parts)) for parts in cut]
