@@ -190,7 +190,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.
     vector = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vector.alias("vector"))
     rows = rows.withColumn("usable", F.col("label").isNotNull() & F.col("id").isNotNull() & _usable(F.col("vector")))
-    address = F.sha2(F.concat_ws(",", "label", F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")), 256)
+    address = F.sha2(F.concat_ws(",", F.size("vector"), "label", F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")), 256)
     rows = rows.withColumn("class", F.when(F.col("usable"), F.unhex(address)))
     classes = cut_lineage(rows.where("usable").groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"),
                                                                    F.first("label").alias("label"), F.first("vector").alias("vector")))
