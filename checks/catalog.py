@@ -728,6 +728,69 @@ def trained(spark, sf_dir, *methods):
     return outcome.runs.drop("train_time_s", "run_time_s")
 
 
+def model_facts(spark, sf_dir, *methods):
+    """What is exact about trained runs, for all seeds: sizes, and that predictions follow from probabilities."""
+    p = benchmark.prepared(fx.emb_matrix(spark, sf_dir), fx.emb_samples(spark, sf_dir), fx.SEEDS)
+    outcome = benchmark.run_benchmark(p, methods)
+    classes, values = F.map_keys("proba"), F.map_values("proba")
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    best = F.array_min(F.filter(classes, lambda c: F.element_at("proba", c) == F.array_max(values)))
+    facts = outcome.predictions.groupBy(*metrics.RUN_KEYS).agg(
+        F.count("*").alias("n_test"), F.every(F.abs(total - 1) < 1e-9).alias("sums_to_one"), F.every(F.col("prediction") == best).alias("best_class"))
+    runs = outcome.runs.select(*metrics.RUN_KEYS, "n_features", "status")
+    return runs.join(facts, metrics.RUN_KEYS).select(*metrics.RUN_KEYS, "n_features", "n_test", "sums_to_one", "best_class", "status")
+
+
+def facts_twin(sets: str) -> str:
+    """The twin for feature sets given as (cohort, seed, method, param, n_features)."""
+    return sql(f"""SELECT s.cohort, s.seed, s.method, s.param, CAST(s.n_features AS INTEGER) AS n_features, t.n_test, true AS sums_to_one, true AS best_class, 'ok' AS status
+      FROM ({sets}) s JOIN (SELECT cohort, seed, count(*) AS n_test FROM emb_split WHERE part = 'test' GROUP BY ALL) t ON t.cohort = s.cohort AND t.seed = s.seed""",
+               "emb_mom", "emb_split")
+
+
+@query(facts_twin("SELECT cohort, seed, 'baseline' AS method, 'all' AS param, count(*) AS n_features FROM emb_mom GROUP BY ALL"))
+def baseline_facts(spark, sf_dir):
+    return model_facts(spark, sf_dir, benchmark.baseline())
+
+
+@query(facts_twin("""SELECT DISTINCT cohort, seed, unnest(['anova', 'mutual_info']) AS method, 'k=20' AS param, 20 AS n_features FROM emb_mom"""))
+def filter_facts(spark, sf_dir):
+    return model_facts(spark, sf_dir, benchmark.anova(20), benchmark.mutual_info(20))
+
+
+@query(facts_twin("""SELECT cohort, seed, 'variance' AS method, 'threshold=' || t AS param, count(*) AS n_features
+  FROM emb_mom, (SELECT unnest(['0.015', '0.016']) AS t) WHERE variance > CAST(t AS DOUBLE) GROUP BY ALL
+  UNION ALL SELECT cohort, seed, 'select_k_best', 'fraction=0.5', count(*) // 2 FROM emb_mom GROUP BY ALL"""))
+def ovr_facts(spark, sf_dir):
+    return model_facts(spark, sf_dir, benchmark.variance_threshold([0.015, 0.016]), benchmark.select_k_best([0.5]))
+
+
+@query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
+  PARTITION BY cohort, seed ORDER BY sig(score) DESC, feature DESC) AS rn FROM (SELECT cohort, seed, feature, between_ss AS score FROM emb_mom)) WHERE rn <= 10""", "emb_mom"))
+def user_scorer(spark, sf_dir):
+    """A user's own score, registered under a name: the spread between the classes."""
+    @scores.scorer("between_classes")
+    def between_classes(summary):
+        return summary.select(*scores.KEYS, F.col("between").alias("score"))
+
+    return six(selection.top_k(scores.SCORERS["between_classes"](emb_moments(spark, sf_dir)), 10, buckets=4), "score")
+
+
+@query(sql(f"SELECT cohort, method, param, seed, run_id, n_features, {r6s('accuracy', 'macro_f1', 'roc_auc_macro')} FROM runs", "runs"))
+def run_files_reread(spark, sf_dir):
+    """The run table written as one file set per method and run, and read back by column name."""
+    import uuid
+
+    from widesift.session import checkpoint_folder
+    from widesift.sources import runs as run_files
+    folder = f"{checkpoint_folder(spark)}/runs-{uuid.uuid4().hex}"
+    run_files.write_run_files(fx.run_table(spark, sf_dir).withColumns({"named": F.col("method"), "number": F.col("run_id")}), folder)
+    back = run_files.read_runs(spark, f"{folder}/*/*/*.csv")
+    rows = back.select("cohort", F.col("named").alias("method"), "param", "seed", F.col("number").cast("int").alias("run_id"), "n_features",
+                       "accuracy", "macro_f1", "roc_auc_macro")
+    return six(rows, "accuracy", "macro_f1", "roc_auc_macro")
+
+
 @query()
 def baseline_lr(spark, sf_dir):
     return trained(spark, sf_dir, benchmark.baseline())

@@ -94,8 +94,9 @@ def _prepared(cells: DataFrame, buckets: int) -> DataFrame:
     present = cells.where(F.col("value").isNotNull()).select(*KEYS, "sample_id", "label", "value")
     magnitude = F.avg(F.abs("value"))
     if buckets <= 1:
-        # one shuffle by feature; every later step of the unbucketed path keeps that partitioning
-        sized = (present.repartition(*KEYS)
+        # one shuffle by feature (the one of `train_cells`, if the cells come from there); every later step of the
+        # unbucketed path keeps that partitioning
+        sized = (present
                  .withColumn("_mean", magnitude.over(Window.partitionBy(*KEYS)))
                  .withColumn("class_size", F.count("*").over(Window.partitionBy(*KEYS, "label"))))
     else:

@@ -16,10 +16,17 @@ VECTOR = StructType([StructField("v", VectorUDT())])
 
 
 def train_cells(matrix: DataFrame, splits: DataFrame, part: str = "train") -> DataFrame:
-    """(cohort, seed, sample_id, label, feature, value) of one part of every seed's split."""
+    """(cohort, seed, sample_id, label, feature, value) of one part of every seed's split.
+
+    A matrix without seeds is shuffled once, by feature, while a cell still carries the list of its seeds; groups by
+    (cohort, seed, feature) need no further shuffle.
+    """
     rows = splits.where(F.col("part") == part).select("cohort", "sample_id", "seed", "label")
-    on = [k for k in ("cohort", "seed", "sample_id") if k in matrix.columns]
-    return matrix.join(broadcast_if_bounded(rows, rows_from=splits), on)
+    if "seed" in matrix.columns:
+        return matrix.join(broadcast_if_bounded(rows, rows_from=splits), ["cohort", "seed", "sample_id"])
+    seeds = rows.groupBy("cohort", "sample_id", "label").agg(F.collect_list("seed").alias("_seeds"))
+    cells = matrix.join(broadcast_if_bounded(seeds), ["cohort", "sample_id"]).repartition("cohort", "feature")
+    return cells.withColumn("seed", F.explode("_seeds")).drop("_seeds")
 
 
 def train_medians(matrix: DataFrame, splits: DataFrame, buckets: int = 1) -> DataFrame:
