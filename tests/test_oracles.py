@@ -12,7 +12,9 @@ SF_DIR = "/root/testdata/sf0.001"
 NAMES = ["align_average_dedup", "align_merge_no_dedup", "rare_class_filter", "class_distribution", "matrix_shape", "label_index",
          "stratified_split", "stratified_folds", "job_grid", "feature_stats", "variance_sweep_counts", "top_variance",
          "anova_top_k", "anova_top_k_sparse", "constant_features", "mutual_info_top_k", "kbest_fraction", "median_impute",
-         "proba_normalise", "class_report", "confusion", "roc_auc_binary", "run_table", "best_setting", "forward_selection_nb"]
+         "proba_normalise", "class_report", "confusion", "roc_auc_binary", "run_table", "best_setting", "forward_selection_nb",
+         "top_variance_small_units", "anova_f_shifted", "roc_auc_saturated", "assemble_sparse", "assemble_imputed", "user_scorer",
+         "run_files_reread"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 
