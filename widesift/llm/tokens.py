@@ -24,8 +24,8 @@ SAFE = re.compile(f"(?<=[^{re.escape(SPACES)}])(?=[ \n])")
 ASCII_UNSAFE = ("\0", *(a + b for a in ASCII_SPACES for b in " \n"))
 UNSAFE = (*ASCII_UNSAFE, *(a + b for a in SPACES[len(ASCII_SPACES):] for b in " \n"))
 SPACE_SET = frozenset(SPACES)
-#: characters encoded in one call, and segments remembered at once and from before
-CALL_CHARS = 1 << 18
+#: segments encoded in one call, and remembered at once and from before
+CALL_SEGMENTS = 1 << 15
 MEMORY = 400_000
 #: a longer segment is encoded but not remembered
 MEMORABLE = 64
@@ -81,18 +81,20 @@ class Encoder:
         self.memory = _worker_memory((path, values.__name__))
 
     def _encode(self, items: list[str]) -> Iterator[tuple[list[str], list]]:
-        joined, alone = [], []
-        for item in items:
-            # a segment that begins with white space and ends with something else can follow and be followed by others
-            (joined if item[0] in " \n" and item[-1] not in SPACE_SET else alone).append(item)
-        for batch in batches(alone):
+        # a segment that begins with white space and ends with something else can follow and be followed by others
+        joined = [s for s in items if s[0] in " \n" and s[-1] not in SPACE_SET]
+        alone = [] if len(joined) == len(items) else [s for s in items if s[0] not in " \n" or s[-1] in SPACE_SET]
+        for i in range(0, len(alone), CALL_SEGMENTS):
+            batch = alone[i:i + CALL_SEGMENTS]
             ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
             yield batch, self.values(np.concatenate(ids), np.cumsum(list(map(len, ids))))
-        for batch in batches(joined):
-            encoding, = self.tokenizer.encode_batch_fast(["".join(batch)], add_special_tokens=False)
+        for i in range(0, len(joined), CALL_SEGMENTS):
+            batch = joined[i:i + CALL_SEGMENTS]
+            text = "".join(batch)
+            encoding, = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(encoding.ids, "<u4")
             ends = np.cumsum(self.bytes[ids])
-            want = np.cumsum([len(s.encode()) for s in batch])
+            want = np.cumsum(list(map(len, batch if text.isascii() else map(str.encode, batch))))
             stops = np.searchsorted(ends, want) + 1
             if not np.array_equal(ends[stops - 1], want):
                 raise ValueError("the file holds no byte-level BPE tokenizer without normaliser")
@@ -110,7 +112,8 @@ class Encoder:
         long: dict[str, object] = {}
         for items, values in self._encode(list(new.difference(again))):
             known.update(zip(items, values))
-            long.update((s, v) for s, v in zip(items, values) if len(s) > MEMORABLE)
+            if max(map(len, items)) > MEMORABLE:
+                long.update((s, v) for s, v in zip(items, values) if len(s) > MEMORABLE)
         for segment in long:
             del known[segment]
         if long:
@@ -118,18 +121,6 @@ class Encoder:
         return [list(map(known.__getitem__, parts)) for parts in cut]
 
 
-def batches(items: list[str], most: int = CALL_CHARS) -> Iterator[list[str]]:
-    batch, size = [], 0
-    for item in items:
-        batch.append(item)
-        size += len(item)
-        if size >= most:
-            yield batch
-            batch, size = [], 0
-    if batch:
-        yield batch
-
-
 def by_bytes(texts, most: int = 1 << 22) -> Iterator[list[str]]:
     """Texts of an Arrow column in order, null as empty, in batches of about equal size however long single texts are."""
     part, size = [], 0
