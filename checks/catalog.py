@@ -758,13 +758,6 @@ def filter_facts(spark, sf_dir):
     return model_facts(spark, sf_dir, benchmark.anova(20), benchmark.mutual_info(20))
 
 
-@query(facts_twin("""SELECT cohort, seed, 'variance' AS method, 'threshold=' || t AS param, count(*) AS n_features
-  FROM emb_mom, (SELECT unnest(['0.015', '0.016']) AS t) WHERE variance > CAST(t AS DOUBLE) GROUP BY ALL
-  UNION ALL SELECT cohort, seed, 'select_k_best', 'fraction=0.5', count(*) // 2 FROM emb_mom GROUP BY ALL"""))
-def ovr_facts(spark, sf_dir):
-    return model_facts(spark, sf_dir, benchmark.variance_threshold([0.015, 0.016]), benchmark.select_k_best([0.5]))
-
-
 @query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
   PARTITION BY cohort, seed ORDER BY sig(score) DESC, feature DESC) AS rn FROM (SELECT cohort, seed, feature, between_ss AS score FROM emb_mom)) WHERE rn <= 10""", "emb_mom"))
 def user_scorer(spark, sf_dir):
