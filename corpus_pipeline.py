@@ -13,31 +13,38 @@ from widesift.session import checkpoint_folder, cut_lineage
 LEAST_SCORE = 0.5
 
 
-def keyed(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id `verdicts` lists; rows without a doc_id stay."""
-    return docs.join(cut_lineage(verdicts.select("doc_id").distinct()), "doc_id", "left_anti")
+def whole(docs: DataFrame) -> DataFrame:
+    """(row, text): the whole row as a key of its own, so that a verdict is passed on the row and on no other one."""
+    return docs.select(F.struct("*").alias("row"), "text")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told: without letters, or with no language more likely than not."""
-    found = language.identify(docs, catalog.language_model(docs))
-    return keyed(docs, found.where((F.col("lang_pred") == language.UNDECIDED) | (F.col("score") < LEAST_SCORE)))
+    found = language.identify(whole(docs), catalog.language_model(docs), key_col="row")
+    return found.where((F.col("lang_pred") != language.UNDECIDED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of every group of near-duplicates, the document with the smallest id; rows that share an id are one document."""
-    found = simhash.near_duplicates(docs)
-    kept = keyed(docs.where(F.col("doc_id").isNotNull()), found.where(F.col("id") != F.col("component")).withColumnRenamed("id", "doc_id"))
-    again = cut_lineage(found.groupBy(F.col("id").alias("doc_id")).count().where("count > 1 AND doc_id IS NOT NULL"))
-    if not again.isEmpty():
-        kept = keyed(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps one row of every group of near-duplicates: that with the smallest id, a row without an id only where none has one.
+
+    Rows are numbered and written once, and the numbers are compared; rows of one id with different texts are different documents.
+    """
+    folder = f"{checkpoint_folder(spark)}/rows-{uuid.uuid4().hex}"
+    docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    found = simhash.near_duplicates(rows.select("number", "row.text"), id_col="number").select(F.col("id").alias("number"), "component")
+    ranked = found.join(rows.select("number", "row.doc_id"), "number").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "number"))
+    named = cut_lineage(ranked.select("number", "component", "rank"))
+    # written, so that a group of very many rows can be split in the join
+    first = cut_lineage(named.groupBy("component").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    again = cut_lineage(named.join(first.select("component", F.col("rank.number").alias("kept")), "component").where("number != kept").select("number"))
+    return rows.join(again, "number", "left_anti").select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words at least one in twenty stands in a passage of the benchmark."""
-    found = contamination.match(docs, catalog.table(spark, sf_dir, "benchmark"))
-    return keyed(docs, found.where(contamination.contaminated(F.col("n_words"), F.col("hits"))))
+    found = contamination.match(whole(docs), catalog.table(spark, sf_dir, "benchmark"), key_col="row")
+    return found.where(~contamination.contaminated(F.col("n_words"), F.col("hits"))).select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

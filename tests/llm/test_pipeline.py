@@ -71,3 +71,25 @@ def test_stages_with_nulls_repeated_rows_and_no_rows(spark, corpus):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert corpus_pipeline.known_language(spark, docs, folder).count() <= 4
+
+
+def test_stages_decide_by_row(spark, corpus):
+    """Rows without an id are rejected like any other, and no row goes with another one of its id."""
+    folder, rows, items = corpus
+    clean, other, copied, hit = rows[3][1], rows[5][1], rows[40][1], items[2][1]
+    row = lambda i, text: (i, text, "en", "s", len(text))
+    docs = spark.createDataFrame([row(i, rows[i][1]) for i in range(10, 20)] + [
+        row(3, clean), row(10, clean), row(None, clean), row(None, copied), row(None, copied), row(8, "123 %%"), row(8, other), row(None, "456 %%"),
+        row(9, hit), row(9, other + " x"), row(None, hit)], SCHEMA).repartition(3)
+    out = lambda stage: sorted(((x.doc_id, x.text) for x in stage(spark, docs, folder).collect()), key=str)
+    every = [(x.doc_id, x.text) for x in docs.collect()]
+    assert out(corpus_pipeline.known_language) == sorted((x for x in every if "%%" not in x[1]), key=str)
+    assert out(corpus_pipeline.decontaminated) == sorted((x for x in every if x[1] != hit), key=str)
+    texts = {t: slow_print(t) for _, t in every}
+    groups = sets([(a, b) for a in texts for b in texts if (texts[a] ^ texts[b]).bit_count() <= 3], list(texts))
+    best = {}
+    for i, text in every:
+        best[groups[text]] = min(best.get(groups[text], (True, 0, "")), (i is None, i or 0, text))
+    got = out(corpus_pipeline.near_dedup)
+    assert len(got) == len(best) and {(i, groups[t]) for i, t in got} == {(None if none else i, g) for g, (none, i, _) in best.items()}
+    assert (10, rows[10][1]) in got and (3, clean) in got and (10, clean) not in got and sum(t == copied for _, t in got) == 1

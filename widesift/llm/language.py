@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from widesift.session import cut_lineage
 
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", key_col: str
     Equal probabilities go to the first language in order.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[key_col].dataType.simpleString()
+    schema = T.StructType().add("key", docs.schema[key_col].dataType).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -221,7 +221,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", key_col: str
                                              ["key", "lang_pred", "score"])
 
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key_col)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key_col)
 
 
 def _by_bytes(texts: pa.Array, most: int = 1 << 22) -> Iterator[list[str | None]]:
