@@ -101,3 +101,27 @@ def test_match_with_one_and_many_shards(spark, monkeypatch, shard):
     assert got == {i: slow_match([x for x in items if x[0] is not None], t, 13) for i, t in enumerate(texts)}
     assert contamination.match(docs.limit(0), bench).count() == 0
     assert all(x.hits == [] and x["items"] == [] for x in contamination.match(docs, bench.limit(0)).collect())
+
+
+@pytest.mark.parametrize("shard,held", [(1 << 20, 1 << 25), (300, 1 << 25), (1, 1)])
+def test_match_by_row_with_long_items(spark, monkeypatch, shard, held):
+    """Rows of one id or none keep their own hits however many shards there are; a long item is hit across its cuts."""
+    monkeypatch.setattr(contamination, "SHARD_BYTES", shard)
+    monkeypatch.setattr(contamination, "HELD_BYTES", held)
+    r = random.Random(5)
+    items = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(n))) for i, n in enumerate([400, 30, 5, 13])] + [(7, "same words")]
+    words = items[0][1].split()
+    texts = [" ".join(words[k:k + 14]) + " tail" for k in range(0, 386, 9)] + [items[0][1], items[1][1] + " x " + items[3][1], "a same words b", "nothing", None]
+    rows = [(r.choice([None, 1, 2]), t) for t in texts]
+    found = contamination.match(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((str(x.doc_id), x.n_words, sum(h.end - h.start for h in x.hits), x["items"]) for x in found.collect())
+    assert got == sorted((str(i), *slow_match(items, t, 13)) for i, t in rows)
+
+
+def test_shards_are_bounded(monkeypatch):
+    monkeypatch.setattr(contamination, "SHARD_BYTES", 200)
+    words = [b"%d" % i for i in range(2000)]
+    pieces = list(contamination._cut(words, 13))
+    assert all(13 <= len(p.split()) and len(p) <= 200 for p in pieces)
+    grams = {tuple(p.split()[k:k + 13]) for p in pieces for k in range(len(p.split()) - 12)}
+    assert grams == {tuple(words[k:k + 13]) for k in range(1988)}

@@ -2,7 +2,8 @@
 
 The automaton accepts every run of words of every item. A document's words are streamed through it, which gives the
 longest run ending at each word that some item contains; where that run reaches a window, the state names the items.
-Items are cut into shards of bounded size; each shard's automaton is broadcast, and the hits of several shards are merged.
+Items are cut into shards of bounded size. A worker builds the automata of the shards one after another and merges the
+hits of a row.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: words are runs of digits, letters and bytes beyond ASCII, after A-Z are lower-cased
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: of item text in one automaton, which takes some 200 times that in a worker
 SHARD_BYTES = 1 << 20
+#: of rows that a worker holds while it goes through several shards
+HELD_BYTES = 1 << 25
 SCHEMA = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<string>"
 
 
@@ -128,64 +131,124 @@ class Automaton:
         return spans, items
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """The items in order of their ids, streamed partition by partition and cut at SHARD_BYTES."""
-    shard, size = [], 0
+def _cut(words: list[bytes], window: int) -> Iterator[bytes]:
+    """The words in pieces of bounded size that overlap by a window less a word, so that each window lies in one of them.
+
+    Every piece of several has a window's length at least.
+    """
+    start, end, size = 0, 0, 0
+    while end < len(words):
+        if size + len(words[end]) >= SHARD_BYTES and end - start >= window:
+            yield b" ".join(words[start:end])
+            start = end - window + 1
+            size = sum(len(w) + 1 for w in words[start:end])
+        size += len(words[end]) + 1
+        end += 1
+    if words:
+        yield b" ".join(words[start:])
+
+
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """(name, piece): the words of every item, long items cut."""
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where(F.col(id_col).isNotNull()).distinct()
-    for name, text in rows.toLocalIterator():
-        if words := words_of(text):
-            shard.append((name, words))
-            size += len(text)
-        if size >= SHARD_BYTES:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1)):
+                for piece in _cut(words_of(text.as_py()), window):
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([piece], pa.binary())], ["name", "piece"])
+
+    return rows.mapInArrow(run, "name string, piece binary")
+
+
+def _shards(pieces: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The pieces, streamed partition by partition; a shard has SHARD_BYTES at most, or one piece."""
+    shard, size = [], 0
+    for name, piece in pieces.toLocalIterator():
+        if shard and size + len(piece) > SHARD_BYTES:
             yield shard
             shard, size = [], 0
+        shard.append((name, bytes(piece)))
+        size += len(piece)
     if shard:
         yield shard
 
 
+def _united(spans: list[list[int]], more: list[list[int]]) -> list[list[int]]:
+    """The union of two sorted lists of disjoint spans; spans that touch become one."""
+    if not spans or not more:
+        return spans or more
+    out: list[list[int]] = []
+    for start, end in sorted(spans + more):
+        if out and out[-1][1] >= start:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
 def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
           window: int = 13, key_col: str = "doc_id") -> DataFrame:
     """(key_col, n_words, hits, items): places of hit words, as disjoint ranges of word numbers, and the ids of the items hit, sorted.
 
-    One row for each row of `docs`, null and empty texts included (no words). Items without words or without an id hit
-    nothing; equal items are all named. With items of more than one shard, rows that share a key are merged, so keys
-    must then be unique.
+    One row for each row of `docs`, null and empty texts and repeated keys included. Items without words or without an id
+    hit nothing; equal items are all named. Tasks build the automata of the shards and take one after another over
+    the texts they hold, so the documents are read once and a worker has one automaton at a time.
     """
     sc = docs.sparkSession.sparkContext
-    kind = docs.schema[key_col].dataType.simpleString()
     inputs = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    shards = [sc.broadcast(shard) for shard in _shards(_pieces(benchmark, item_col, item_text_col, window))] or [sc.broadcast([])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, of = None, -1
+        for held in _held(batches) if len(shards) > 1 else ([batch] for batch in batches):
+            n = [[0] * len(batch) for batch in held]
+            hits: list[list[list]] = [[[]] * len(batch) for batch in held]
+            items: list[list] = [[()] * len(batch) for batch in held]
+            # the automaton of the last shard is still there for the next texts
+            for i in sorted(range(len(shards)), key=lambda i: i != of):
+                if i != of:
+                    automaton = None
+                    automaton, of = Automaton(((name, piece.split()) for name, piece in _once(shards[i])), window), i
+                for b, batch in enumerate(held):
+                    for row, text in enumerate(batch.column(1)):
+                        words = words_of(text.as_py())
+                        spans, found = automaton.hits(words)
+                        n[b][row] = len(words)
+                        if spans:
+                            hits[b][row] = _united(hits[b][row], spans)
+                            items[b][row] = {*items[b][row], *(automaton.names[x] for x in found)}
+            place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+            for b, batch in enumerate(held):
+                places = [[{"start": start, "end": end} for start, end in spans] for spans in hits[b]]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n[b], pa.int64()), pa.array(places, pa.list_(place)),
+                                                  pa.array(map(sorted, items[b]), pa.list_(pa.string()))], ["key", "n_words", "hits", "items"])
+
+    schema = T.StructType().add("key", docs.schema[key_col].dataType)
+    for field in T.StructType.fromDDL(SCHEMA):
+        schema = schema.add(field)
+    return inputs.mapInArrow(run, schema).withColumnRenamed("key", key_col)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches by HELD_BYTES, so that a shard's automaton is built for many texts at once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
 
-    def through(shared) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            for batch in batches:
-                n, hits, items = [], [], []
-                for text in batch.column(1):
-                    words = words_of(text.as_py())
-                    spans, found = automaton.hits(words)
-                    n.append(len(words))
-                    hits.append([{"start": a, "end": b} for a, b in spans])
-                    items.append(sorted({automaton.names[i] for i in found}))
-                place = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(place)),
-                                                  pa.array(items, pa.list_(pa.string()))], ["key", "n_words", "hits", "items"])
-        return inputs.mapInArrow(run, f"key {kind}, {SCHEMA}")
-
-    parts = [through(sc.broadcast(Automaton(shard, window))) for shard in _shards(benchmark, item_col, item_text_col)]
-    if not parts:
-        parts = [through(sc.broadcast(Automaton([], window)))]
-    out = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out = out.groupBy("key").agg(F.first("n_words").alias("n_words"), _united(F.flatten(F.collect_list("hits"))).alias("hits"),
-                                     F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.withColumnRenamed("key", key_col)
-
-
-def _united(hits: Column) -> Column:
-    from widesift.llm.spans import merged
-    return merged(hits)
+def _once(shared) -> list:
+    """What is broadcast, which the worker doesn't keep."""
+    value = shared.value
+    if getattr(shared, "_path", None):
+        del shared._value
+    return value
 
 
 def coverage(hits: Column) -> Column:
