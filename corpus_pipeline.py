@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of whose words at least one in twenty stands in a passage of the benchmark."""
-    found = contamination.match(whole(docs), catalog.table(spark, sf_dir, "benchmark"), key_col="row")
+    found = contamination.match(whole(docs), catalog.table(spark, sf_dir, "benchmark"), key_col="row", nameless=True)
     return found.where(~contamination.contaminated(F.col("n_words"), F.col("hits"))).select("row.*")
 
 

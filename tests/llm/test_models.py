@@ -4,10 +4,12 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from widesift.llm import catalog, contamination, language
 
 PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))
@@ -125,3 +127,21 @@ def test_shards_are_bounded(monkeypatch):
     assert all(13 <= len(p.split()) and len(p) <= 200 for p in pieces)
     grams = {tuple(p.split()[k:k + 13]) for p in pieces for k in range(len(p.split()) - 12)}
     assert grams == {tuple(words[k:k + 13]) for k in range(1988)}
+
+
+def test_items_without_an_id_count_as_in_the_twin(spark, tmp_path):
+    passage = " ".join(f"p{i}" for i in range(15))
+    named = " ".join(f"q{i}" for i in range(15))
+    items = [(None, passage), (None, "only two"), (3, named), (10, named)]
+    docs = [(i, t) for i, t in enumerate([passage + " and more", named, passage + " " + named, "a only two b", "nothing here", None])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    order = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    want = sorted(con.execute(f"SELECT {order} FROM ({catalog.ORACLES['op9_contamination']})").fetchall())
+    got = sorted(tuple(x) for x in catalog.QUERIES["op9_contamination"](spark, str(tmp_path)).select(*order.split(", ")).collect())
+    assert got == want and [x[5] for x in got] == [True, True, True, True, False, False]
+    kept = corpus_pipeline.decontaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {x.doc_id for x in kept.collect()} == {4, 5}

@@ -113,7 +113,7 @@ def op8_language(spark, sf_dir):
 
 @query(twins.CONTAMINATION)
 def op9_contamination(spark, sf_dir):
-    found = contamination.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = contamination.match(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
     return found.select("doc_id", "n_words", contamination.coverage(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         contamination.contaminated(F.col("n_words"), F.col("hits")).alias("contaminated"))

@@ -37,13 +37,13 @@ class Automaton:
     def __init__(self, items: Iterable[tuple[object, list[bytes]]], window: int):
         self.step, self.link, self.length = [{}], [-1], [0]
         ends: list[tuple[int, int]] = []
-        self.names: list[str] = []
+        self.names: list[str | None] = []
         short: dict[int, list[tuple[int, int]]] = {}
         for name, words in items:
             if not words:
                 continue
             item = len(self.names)
-            self.names.append(str(name))
+            self.names.append(None if name is None else str(name))
             last = 0
             for n, word in enumerate(words, 1):
                 last = self._extend(last, word)
@@ -148,9 +148,9 @@ def _cut(words: list[bytes], window: int) -> Iterator[bytes]:
         yield b" ".join(words[start:])
 
 
-def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def _pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int, nameless: bool) -> DataFrame:
     """(name, piece): the words of every item, long items cut."""
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where(F.col(id_col).isNotNull()).distinct()
+    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).where(F.lit(nameless) | F.col(id_col).isNotNull()).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,16 +188,17 @@ def _united(spans: list[list[int]], more: list[list[int]]) -> list[list[int]]:
 
 
 def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-          window: int = 13, key_col: str = "doc_id") -> DataFrame:
+          window: int = 13, key_col: str = "doc_id", nameless: bool = False) -> DataFrame:
     """(key_col, n_words, hits, items): places of hit words, as disjoint ranges of word numbers, and the ids of the items hit, sorted.
 
-    One row for each row of `docs`, null and empty texts and repeated keys included. Items without words or without an id
-    hit nothing; equal items are all named. Tasks build the automata of the shards and take one after another over
+    One row for each row of `docs`, null and empty texts and repeated keys included. Items without words hit
+    nothing; equal items are all named. Items without an id hit nothing unless `nameless` is set: then their words count like
+    any others, and a null at the end of `items` stands for all of them. Tasks build the automata of the shards and take one after another over
     the texts they hold, so the documents are read once and a worker has one automaton at a time.
     """
     sc = docs.sparkSession.sparkContext
     inputs = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    shards = [sc.broadcast(shard) for shard in _shards(_pieces(benchmark, item_col, item_text_col, window))] or [sc.broadcast([])]
+    shards = [sc.broadcast(shard) for shard in _shards(_pieces(benchmark, item_col, item_text_col, window, nameless))] or [sc.broadcast([])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, of = None, -1
@@ -222,7 +223,7 @@ def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
             for b, batch in enumerate(held):
                 places = [[{"start": start, "end": end} for start, end in spans] for spans in hits[b]]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n[b], pa.int64()), pa.array(places, pa.list_(place)),
-                                                  pa.array(map(sorted, items[b]), pa.list_(pa.string()))], ["key", "n_words", "hits", "items"])
+                                                  pa.array([sorted(x, key=_null_last) for x in items[b]], pa.list_(pa.string()))], ["key", "n_words", "hits", "items"])
 
     schema = T.StructType().add("key", docs.schema[key_col].dataType)
     for field in T.StructType.fromDDL(SCHEMA):
@@ -230,6 +231,10 @@ def match(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     return inputs.mapInArrow(run, schema).withColumnRenamed("key", key_col)
 
 
+def _null_last(name: str | None) -> tuple[bool, str]:
+    return name is None, name or ""
+
+
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     """Batches by HELD_BYTES, so that a shard's automaton is built for many texts at once."""
     held, size = [], 0
