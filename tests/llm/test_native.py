@@ -93,6 +93,28 @@ def test_contexts_find_what_patterns_miss(spark):
     assert not any(found[i] for i in (*range(60), 200))
 
 
+def test_contexts_across_gaps_long_words_and_tokens(spark):
+    """The word in front is found behind any white space, whole, and where it has a digit itself."""
+    long = "w" * 60
+    rows = [(f"{word} +1 415 555 {1000 + i} end", f"{word} 55512{i:02d}x end") for word in (f"wide{' ' * 80}", long, "id2:", "a 7 id3:") for i in range(10)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for pair in rows for t in pair)], "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in personal.find_personal(docs).collect()}
+    at = [pair[1].index("555") for pair in rows]
+    assert all(found[2 * i] == [] and found[2 * i + 1] == [("context", at[i], at[i] + 8)] for i in range(len(rows)))
+
+
+def test_word_in_front_by_brute_force(spark):
+    r = random.Random(4)
+    parts = ["ab", "C", "12345", "x@12345", "1", "  ", "\n", " " * 60, "é" * 60, "(", "."]
+    texts = ["".join(r.choices(parts, weights=[2, 2, 2, 1, 1, 6, 2, 2, 1, 1, 1], k=r.randint(0, 25))) for _ in range(600)] + ["a" * 60_000 + " 12345", (" " * 60_000) + "12345"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {x.i: [t.left for t in x.t] for x in docs.select("i", personal._tokens(F.col("text"), F.array().cast(personal.SPANS)).alias("t")).collect()}
+    for i, text in enumerate(texts):
+        words = re.findall(r"[^ \n]+", text)
+        marks = lambda w: len(re.sub("[^0-9@]", "", re.sub(r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "", w)))
+        assert got[i] == [a.lower() for a, b in zip(words, words[1:]) if marks(b) >= personal.MARKS]
+
+
 def test_quotations_equal_their_twin(spark, tmp_path):
     r, said = random.Random(5), ["Hello there friend", "What is  the plan?", "See you\tsoon", "I agree", "", "> odd", "fine"]
     rows = []

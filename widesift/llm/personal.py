@@ -72,14 +72,16 @@ def entities(text: Column) -> Column:
 
 def _tokens(text: Column, base: Column) -> Column:
     """array<struct<left, start, end, token, seed>>: tokens after a word, outside entities or (seed) with the entity that begins there."""
-    left = lambda before: F.lower(F.regexp_extract(before, r"(\S+)\s+$", 1))
+    word = lambda gap: F.regexp_extract(gap, r"(?<!\S)(\S++)\s++\z", 1)
+    # between two tokens stand whole words, so white space alone means that the token before is the word in front
+    left = lambda gap, last: F.lower(let(word(gap), lambda w: F.when(w != "", w).otherwise(F.coalesce(last, F.lit("")))))
     front = lambda t: F.length(F.regexp_extract(t, r"^[^A-Za-z0-9@+]*", 0))
     core = lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "")
     begun = lambda m: F.get(F.filter(base, lambda s: (s["start"] >= m["start"]) & (s["start"] < m["end"])), F.lit(0))
     inside = lambda m: F.exists(base, lambda s: (s["start"] < m["start"]) & (m["start"] < s["end"]))
-    found = F.filter(matches(text, TOKEN), lambda m: ~inside(m))
+    found = F.filter(matches(text, TOKEN, left), lambda m: ~inside(m))
     placed = F.transform(found, lambda m: let(begun(m), lambda s: F.struct(
-        left(m["before"]).alias("left"), (m["start"] + front(m["text"])).alias("start"),
+        m["before"].alias("left"), (m["start"] + front(m["text"])).alias("start"),
         (m["start"] + front(m["text"]) + F.length(core(m["text"]))).alias("end"),
         F.when(s.isNull(), core(m["text"])).otherwise(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).alias("token"),
         s.isNotNull().alias("seed"))))

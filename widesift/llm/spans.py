@@ -10,8 +10,6 @@ from pyspark.sql import Column, functions as F
 
 #: matches per stretch of the running sum; keeps the cost of very many matches in one text near-linear
 STRETCH = 256
-#: characters in front of a match that are kept with it
-BEFORE = 48
 EMPTY = "array<struct<start:bigint,end:bigint,text:string,before:string>>"
 
 
@@ -20,19 +18,26 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, before=None) -> Column:
     """array<struct<start, end, text, before>> of the leftmost non-overlapping matches of a (Java) pattern that never matches nothing.
 
-    `before` is the end of what stands between the match and the one before it. A null text has no matches.
+    `before` makes a string of all that stands between the match and the one before it, and of that one (null for the
+    first match); without it the field is empty. A null text has no matches.
     """
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
     none = F.array().cast(EMPTY)
-    return let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(_placed(F.split(text, pattern, -1), m)))
-
-
-def _placed(gaps: Column, found: Column) -> Column:
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(
-        F.length(g).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("long"), m.alias("text"), F.substring(g, -BEFORE, BEFORE).alias("before")))
+    return let(found, lambda m: F.when(F.size(m) == 0, none).otherwise(_placed(F.split(text, pattern, -1), m, before)))
+
+
+def _placed(gaps: Column, found: Column, before) -> Column:
+    gaps = F.slice(gaps, 1, F.size(found))
+    if before is None:
+        gaps = F.transform(gaps, lambda g: F.struct(F.length(g).cast("bigint").alias("gap"), F.lit("").alias("before")))
+    else:
+        last = F.concat(F.array(F.lit(None).cast("string")), F.slice(found, F.lit(1), F.size(found) - 1))
+        gaps = F.zip_with(gaps, last, lambda g, m: F.struct(F.length(g).cast("bigint").alias("gap"), before(g, m).alias("before")))
+    steps = F.zip_with(gaps, found, lambda g, m: F.struct(
+        g["gap"].alias("gap"), F.length(m).cast("bigint").alias("long"), m.alias("text"), g["before"].alias("before")))
 
     def walk(steps: Column) -> Column:
         stretches = F.transform(F.sequence(F.lit(0), ((F.size(steps) - 1) / STRETCH).cast("int")),
