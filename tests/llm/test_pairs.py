@@ -126,6 +126,21 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_two_lengths(spark):
+    """Links at the threshold are found among short vectors although the table has long ones too."""
+    rng = np.random.default_rng(2)
+    rows, pairs = [], 300
+    for dims in (16, 1024):
+        for _ in range(pairs):
+            x, side = unit(rng, dims), unit(rng, dims)
+            side -= (side @ x) * x
+            y = 0.981 * x + np.sqrt(1 - 0.981 ** 2) * side / np.linalg.norm(side)
+            rows += [(len(rows), x.tolist(), 0), (len(rows) + 1, y.tolist(), 0)]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+    linked = {r.id for r in found if r.n_links}
+    assert all(len(linked & set(range(start, start + 2 * pairs))) >= 0.97 * 2 * pairs for start in (0, 2 * pairs))
+
+
 def test_plan_reaches_the_recall_it_is_made_for():
     for n in (100, 10_000, 10 ** 8):
         plan = vectors.Plan.for_recall(n, 64, 0.98, 0.99)

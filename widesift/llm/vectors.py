@@ -9,7 +9,7 @@ projections cut into cells; width, projections to a table and number of tables f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +41,7 @@ class Plan:
 
     @classmethod
     def for_recall(cls, n: int, dims: int, cosine: float, recall: float, directions: int = 16) -> Plan:
-        """Half of the allowed loss goes to the tables and half to the counting; n is the largest number of vectors of a label."""
+        """Half of the allowed loss goes to the tables and half to the counting; n is the largest number of vectors of a label and length."""
         loss = (1 - recall) / 2
         # along a random unit direction two vectors at the threshold differ by a normal number of this deviation
         sigma = math.sqrt(2 - 2 * cosine) / math.sqrt(dims)
@@ -87,18 +87,18 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _links(classes: DataFrame, plan: Plan) -> DataFrame:
+def _links(classes: DataFrame, plan_of: Callable[[int], Plan]) -> DataFrame:
     """(a, b, n): for every class a the rows of other classes linked to it (b = a), and links (b < a) that connect what is linked.
 
-    A pair is counted in the first table in which it shares a cell.
+    A pair is counted in the first table in which it shares a cell. `plan_of` gives the plan of a vector length; all have as many tables.
     """
     kind = classes.schema["vector"].dataType.simpleString()
     fields = f"rep bigint, n bigint, label string, vector {kind}, keys array<bigint>"
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for _, part in frame.groupby(frame["vector"].map(len)):
-                yield part.assign(keys=list(_cells(_unit(part["vector"]), plan)))[["rep", "n", "label", "vector", "keys"]]
+            for dims, part in frame.groupby(frame["vector"].map(len)):
+                yield part.assign(keys=list(_cells(_unit(part["vector"]), plan_of(dims))))[["rep", "n", "label", "vector", "keys"]]
 
     placed = cut_lineage(classes.mapInPandas(place, fields))
     rows = placed.select("*", F.posexplode("keys").alias("table", "key")).withColumn("dims", F.size("vector"))
@@ -112,7 +112,7 @@ def _links(classes: DataFrame, plan: Plan) -> DataFrame:
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunks", "other")
-    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-placed.count() * plan.tables // TASK_ROWS))
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-placed.count() * plan_of(1).tables // TASK_ROWS))
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
@@ -122,11 +122,11 @@ def _links(classes: DataFrame, plan: Plan) -> DataFrame:
         ids, member = np.unique(frame["rep"].to_numpy(), return_inverse=True)
         count = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
-        for (table, _, _, _, i, j), part in frame.groupby(["table", "key", "label", "dims", "i", "j"], sort=False):
+        for (table, _, _, dims, i, j), part in frame.groupby(["table", "key", "label", "dims", "i", "j"], sort=False):
             if len(part) < 2:
                 continue
             at, n, chunk = member[part.index], part["n"].to_numpy(), part["chunk"].to_numpy()
-            for a, b in _collide(_unit(part["vector"]), np.array(part["keys"].tolist()), table, chunk if i != j else None, plan):
+            for a, b in _collide(_unit(part["vector"]), np.array(part["keys"].tolist()), table, chunk if i != j else None, plan_of(dims)):
                 np.add.at(count, at[a], n[b])
                 np.add.at(count, at[b], n[a])
                 _join(root, at[a], at[b])
@@ -194,9 +194,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.
     rows = rows.withColumn("class", F.when(F.col("usable"), F.unhex(address)))
     classes = cut_lineage(rows.where("usable").groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"),
                                                                    F.first("label").alias("label"), F.first("vector").alias("vector")))
-    shape = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dims")).agg(F.max("n"), F.max("dims")).first()
-    plan = Plan.for_recall(shape[0] or 1, shape[1] or 1, cosine, recall)
-    found = cut_lineage(_links(classes.select("rep", "n", "label", "vector"), plan))
+    # only vectors of one label and length meet; widths follow from the length, everything else from the largest number of them
+    most = classes.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0] or 1
+    found = cut_lineage(_links(classes.select("rep", "n", "label", "vector"), lambda dims: Plan.for_recall(most, dims, cosine, recall)))
     parts = connected_components(found.where("a != b"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     named = cut_lineage(classes.select("class", "rep", "n").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
