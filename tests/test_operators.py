@@ -344,6 +344,20 @@ def test_forward_selection_takes_informative_features_first(spark):
     assert found[1]["score"] > found[0]["score"]
 
 
+def test_forward_selection_whatever_the_unit(spark):
+    """Features chosen by their spread alone, so that an absolute smoothing hides them in small units."""
+    rng = random.Random(3)
+    cells = [("X", f"s{i:03d}", f"f{f}", rng.gauss(0, 1 + 9 * (i % 3 == f))) for i in range(150) for f in range(4)]
+    cells += [("X", f"s{i:03d}", "flat", 1.0) for i in range(150)]
+    samples = spark.createDataFrame([("X", f"s{i:03d}", f"c{i % 3}") for i in range(150)], SAMPLES)
+    folded = splits.stratified_folds(splits.stratified_split(samples, [1]).where("part = 'train'").drop("part"), 2)
+    found = [[(r["feature"], round(r["score"], 6)) for r in forward.forward_selection(
+        spark.createDataFrame([(*c[:3], c[3] * unit) for c in cells], MATRIX), folded, steps=3).orderBy("rank").collect()] for unit in (1.0, 1e-7)]
+    assert found[0] == found[1] and found[0][1][1] > 0.5
+    one = spark.createDataFrame([c for c in cells if c[2] == "flat"], MATRIX)
+    assert forward.forward_selection(one, folded, steps=1).count() == 1
+
+
 def test_small_scores_keep_their_order_and_infinite_ones_their_place(spark):
     rows = [("X", 1, n, v) for n, v in (("a", 1e-10), ("b", 3e-10), ("z", 1e-12), ("none", None))]
     table = spark.createDataFrame(rows, "cohort string, seed int, feature string, score double")

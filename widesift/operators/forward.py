@@ -21,6 +21,7 @@ from widesift.session import broadcast_if_bounded, cut_lineage
 GROUP = ["cohort", "seed"]
 SAMPLE = ["cohort", "seed", "fold", "sample_id"]
 CELL = ["cohort", "seed", "sample_id", "feature", "value"]
+#: of the largest variance of a feature among the rows that a fold is fitted on; added to every variance
 SMOOTHING = 1e-9
 DIGITS = 9
 
@@ -34,6 +35,13 @@ def _row_keys(cells: DataFrame) -> list[str]:
     return [k for k in ("cohort", "seed", "sample_id") if k in cells.columns]
 
 
+def _pooled(classes):
+    """Variance over the rows of all classes, from array<struct<n, mean, var>>."""
+    add = lambda part: F.aggregate(classes, F.lit(0.0), lambda a, c: a + c["n"] * part(c))
+    n, mean = add(lambda c: F.lit(1.0)), add(lambda c: c["mean"])
+    return add(lambda c: c["var"] + F.pow(c["mean"] - mean / n, F.lit(2.0))) / n
+
+
 def _fold_fits(cells: DataFrame, folded: DataFrame, folds: int) -> tuple[DataFrame, DataFrame]:
     """Class priors and per-feature Gaussians of every fold, fitted on the rows of the other folds.
 
@@ -48,13 +56,23 @@ def _fold_fits(cells: DataFrame, folded: DataFrame, folds: int) -> tuple[DataFra
         F.array_sort(F.collect_list(F.struct("label", "n"))).alias("_c"), F.sum("n").alias("_n")).select(
         *GROUP, "fold", F.transform("_c", lambda c: F.struct(
             c["label"].alias("label"), F.log(c["n"] / F.col("_n")).alias("prior"))).alias("classes"))
-    gaussians = (cells.join(_small(fitting), _row_keys(cells))
-                 .groupBy(*GROUP, "fold", "feature", "label")
-                 .agg(F.avg("value").alias("mean"), (F.var_pop("value") + SMOOTHING).alias("_var"))
-                 .withColumn("peak", -0.5 * F.log(2 * math.pi * F.col("_var")))
-                 .withColumn("slope", 0.5 / F.col("_var"))
-                 .groupBy(*GROUP, "fold", "feature")
-                 .agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("mean", "peak", "slope")))).alias("_by")))
+    classes = (cells.join(_small(fitting), _row_keys(cells))
+               .groupBy(*GROUP, "fold", "feature", "label")
+               .agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
+               .groupBy(*GROUP, "fold", "feature")
+               .agg(F.collect_list(F.struct("label", "n", "mean", "var")).alias("_by")))
+    classes = cut_lineage(classes.withColumn("_all", _pooled(F.filter("_by", lambda c: c["n"] > 0))))
+    # where no feature varies any number does
+    added = classes.groupBy(*GROUP, "fold").agg((F.max("_all") * SMOOTHING).alias("_most")).select(
+        *GROUP, "fold", F.when(F.col("_most") > 0, F.col("_most")).otherwise(SMOOTHING).alias("_added"))
+
+    def gaussian(c):
+        var = c["var"] + F.col("_added")
+        return F.struct(c["label"].alias("label"), F.struct(
+            c["mean"].alias("mean"), (-0.5 * F.log(2 * math.pi * var)).alias("peak"), (0.5 / var).alias("slope")).alias("p"))
+
+    gaussians = classes.join(added, [*GROUP, "fold"]).select(
+        *GROUP, "fold", "feature", F.map_from_entries(F.transform("_by", gaussian)).alias("_by"))
     fits = gaussians.join(priors, [*GROUP, "fold"]).select(
         *GROUP, "fold", "feature", F.transform("classes", lambda c: F.col("_by")[c["label"]]).alias("params"))
     return priors, fits
