@@ -101,3 +101,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iterative result in the cluster's checkpoint folder (survives executor loss)."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediate files, wherever it lies; one that is gone already is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
