@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import (blob_ledger, contamination, language, packing, personal, quotations, simhash, token_counts, twins, url_lists,
-                          vectors)
+from widesift.llm import (blob_ledger, contamination, language, line_runs, packing, personal, quotations, simhash, token_counts, twins,
+                          url_lists, vectors)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,9 @@ def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query(twins.LINES)
+def op11_lines(spark, sf_dir):
+    found = line_runs.drop_frequent_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))

@@ -87,3 +87,12 @@ pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b
 walk AS (SELECT vec_id AS node, vec_id AS seen FROM embeddings UNION SELECT w.node, p.b FROM walk w JOIN pairs p ON p.a = w.seen)
 SELECT e.vec_id, (SELECT count(*) FROM pairs p WHERE p.a = e.vec_id) AS n_links, min(w.seen) AS component_id, e.vec_id = min(w.seen) AS kept
 FROM embeddings e JOIN walk w ON w.node = e.vec_id GROUP BY e.vec_id"""
+
+#: lines of at least 20 code points that three documents hold stay in the last one only
+LINES = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT *, translate(trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+hot AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+v AS (SELECT k.*, hot.key IS NOT NULL AND doc_id <> last AS lost FROM k LEFT JOIN hot USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256 FROM v GROUP BY doc_id"""
