@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from widesift.llm import (blob_ledger, contamination, language, line_runs, packing, personal, quotations, simhash, token_counts, twins,
-                          url_lists, vectors)
+from widesift.llm import (blob_ledger, contamination, language, line_runs, packing, personal, quotations, simhash, spelling, token_counts,
+                          twins, url_lists, vectors, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +130,13 @@ def op10_simhash(spark, sf_dir):
 def op11_lines(spark, sf_dir):
     found = line_runs.drop_frequent_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(twins.SPELLING)
+def op12_spelling(spark, sf_dir):
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op13_whitening(spark, sf_dir):
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))

