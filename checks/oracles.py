@@ -144,7 +144,7 @@ def centroid_ctes(p: str, sets: str) -> None:
       JOIN emb_stats m ON m.cohort = t.cohort AND m.seed = t.seed AND m.feature = c.feature
       JOIN {sets} f ON f.cohort = t.cohort AND f.seed = t.seed AND f.feature = c.feature
       WHERE t.part = 'test' GROUP BY 1, 2, 3, 4, 5, 6, 7""", "emb_split", "emb_cells", "emb_stats", sets)
-    cte(f"{p}_prob", f"""SELECT *, round(e / sum(e) OVER (PARTITION BY {RUN}, sample_id), 9) AS p FROM (
+    cte(f"{p}_prob", f"""SELECT *, e / sum(e) OVER (PARTITION BY {RUN}, sample_id) AS p FROM (
       SELECT *, exp(score - max(score) OVER (PARTITION BY {RUN}, sample_id)) AS e FROM {p}_score)""", f"{p}_score")
     cte(f"{p}_pred", f"""SELECT {RUN}, sample_id, label, class AS prediction FROM (SELECT *, row_number() OVER (
       PARTITION BY {RUN}, sample_id ORDER BY score DESC, class) AS rn FROM {p}_score) WHERE rn = 1""", f"{p}_score")
@@ -170,7 +170,7 @@ def auc_cte(name: str, p: str, unit: float = 1.0) -> None:
       SELECT {RUN}, class, count(*) FILTER (WHERE label = class) AS n_pos, count(*) FILTER (WHERE label <> class) AS n_neg,
         sum(CASE WHEN label = class THEN first_rank + (ties - 1) / 2.0::DOUBLE END) AS ranks FROM (
           SELECT {RUN}, label, class, rank() OVER (PARTITION BY {RUN}, class ORDER BY s) AS first_rank,
-            count(*) OVER (PARTITION BY {RUN}, class, s) AS ties FROM (SELECT *, p * {unit}::DOUBLE AS s FROM {p}_prob)) GROUP BY ALL)""", f"{p}_prob")
+            count(*) OVER (PARTITION BY {RUN}, class, s) AS ties FROM (SELECT *, round(p, 9) * {unit}::DOUBLE AS s FROM {p}_prob)) GROUP BY ALL)""", f"{p}_prob")
 
 
 cte("emb_all", "SELECT cohort, seed, 'baseline' AS method, 'all' AS param, feature FROM emb_mom", "emb_mom")

@@ -23,10 +23,11 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def canonical(frame: pd.DataFrame) -> pd.DataFrame:
+def canonical(frame: pd.DataFrame, whole: list[str]) -> pd.DataFrame:
+    """All values as text, rows in order; `whole` names the columns of whole numbers, which pandas keeps as floats beside nulls."""
     columns = sorted(frame.columns)
-    text = frame[columns].astype(object)
-    text = text.apply(lambda c: c.map(lambda v: "null" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)))
+    text = frame[columns].astype({c: "Int64" for c in whole}).astype(object)
+    text = text.apply(lambda c: c.map(lambda v: "null" if v is None or v is pd.NA or v != v else repr(float(v)) if isinstance(v, float) else str(v)))
     return text.sort_values(columns).reset_index(drop=True)
 
 
@@ -50,7 +51,8 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
         return f"FAIL types { {k: (got_types[k], want_types[k]) for k in got_types if got_types[k] != want_types[k]} } {tail}"
     if len(got) != len(want):
         return f"FAIL rows {len(got)} != {len(want)} {tail}"
-    a, b = canonical(got), canonical(want)
+    whole = [c for c, kind in want_types.items() if kind in ("BIGINT", "INTEGER")]
+    a, b = canonical(got, whole), canonical(want, whole)
     if not a.equals(b):
         bad = (a != b).any(axis=1)
         return f"FAIL {int(bad.sum())} rows differ, e.g.\n{a[bad].head(3)}\n{b[bad].head(3)} {tail}"
