@@ -827,20 +827,25 @@ def evaluate_feature_set(spark, sf_dir):
 
 @query()
 def lasso_select(spark, sf_dir):
-    return benchmark.lasso().select(one_seed(spark, sf_dir))
+    return benchmark.lasso().select(benchmark.prepared(fx.emb_matrix(spark, sf_dir), fx.emb_samples(spark, sf_dir), fx.SEEDS))
+
+
+def varying_vectors(spark, sf_dir):
+    p = benchmark.prepared(fx.emb_matrix(spark, sf_dir), fx.emb_samples(spark, sf_dir), fx.SEEDS)
+    varying = scores.varying_features(p.moments).withColumns({"method": F.lit("tuning"), "param": F.lit("all")})
+    return cut_lineage(models.build_vectors(p.matrix, p.split, varying, p.moments))
 
 
 @query()
 def lasso_c_sweep(spark, sf_dir):
-    p = one_seed(spark, sf_dir)
-    varying = scores.varying_features(p.moments).withColumns({"method": F.lit("tuning"), "param": F.lit("all")})
-    vectors = cut_lineage(models.build_vectors(p.matrix, p.split, varying, p.moments))
-    sweeps = [embedded.lasso_sweep(vectors.where(F.col("cohort") == r["cohort"]), ()).withColumn("cohort", F.lit(r["cohort"]))
-              for r in vectors.select("cohort").distinct().orderBy("cohort").collect()]
-    out = sweeps[0]
-    for sweep in sweeps[1:]:
-        out = out.unionByName(sweep)
-    return out
+    return embedded.lasso_sweep(varying_vectors(spark, sf_dir))
+
+
+@query(sql("SELECT DISTINCT cohort, seed, CAST(c AS DOUBLE) AS c, true AS converged, true AS optimal FROM emb_split, (SELECT unnest([0.1, 0.05, 0.01]) AS c)", "emb_split"))
+def lasso_optimal(spark, sf_dir):
+    """Whether every model of the sweep meets the condition of its minimum in all columns, the screened ones included."""
+    found = embedded.lasso_violations(varying_vectors(spark, sf_dir))
+    return found.select("cohort", "seed", "c", "converged", (F.col("violation") < 1e-4).alias("optimal"))
 
 
 @query()

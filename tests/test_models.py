@@ -64,7 +64,7 @@ def test_forward_selection_method(separable, scorer):
 def test_fixed_strengths_report_both_counts(separable):
     sets = separable.moments.where("feature <> 'flat'").select("cohort", "seed", F.lit("m").alias("method"), F.lit("p").alias("param"), "feature")
     vectors = models.build_vectors(separable.matrix, separable.split, sets, separable.moments)
-    rows = {r["c"]: r for r in embedded.lasso_sweep(vectors, (), (1.0, 0.001)).collect()}
+    rows = {r["c"]: r for r in embedded.lasso_sweep(vectors, (1.0, 0.001)).collect()}
     assert rows[1.0]["n_coefficients"] >= rows[1.0]["n_features"] >= 3 and rows[0.001]["n_features"] == 0
     assert rows[1.0]["accuracy"] > 0.8
 

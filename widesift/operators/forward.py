@@ -8,13 +8,10 @@ chosen so far and takes the best class. One job scores all candidates of all coh
 from __future__ import annotations
 
 import math
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorSlicer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from widesift.operators import metrics, models
+from widesift.operators import batched, metrics
 from widesift.operators.selection import project_features
 from widesift.session import broadcast_if_bounded, cut_lineage
 
@@ -151,48 +148,39 @@ def _best_candidate(terms: DataFrame, running: DataFrame) -> DataFrame:
 
 # ---- trained candidates -----------------------------------------------------------------------
 
-def forward_selection_logistic(vectors: DataFrame, folded: DataFrame, candidates: DataFrame, steps: int,
-                               folds: int = 2, parallelism: int = 8) -> DataFrame:
+def forward_selection_logistic(vectors: DataFrame, folded: DataFrame, candidates: DataFrame, steps: int, folds: int = 2, c: float = 1.0) -> DataFrame:
     """The same selection with a logistic model trained for every candidate, fold and step.
 
-    vectors: scaled (cohort, seed, sample_id, features) of all candidates in name order. Training is
-    MLlib's, on the executors; the driver submits `parallelism` fits at a time. Nothing is left out, so
-    this costs candidates x folds fits per step: use the default scorer for more than a few hundred.
+    vectors: scaled (cohort, seed, sample_id, features) of all candidates in name order; `c` is the inverse strength of the L2
+    penalty. The models of all candidates, folds, cohorts and seeds of a step are one batch of Newton fits, which begin at
+    the weights of the step before, so the number of jobs follows the steps and not the candidates. A candidate whose score is
+    equal to another one's comes after it if its name does.
     """
-    rows = cut_lineage(vectors.select(*GROUP, "sample_id", "features").join(folded, [*GROUP, "sample_id"]))
-    found = []
-    for group in rows.select(*GROUP).distinct().orderBy(*GROUP).collect():
-        this = (F.col("cohort") == group["cohort"]) & (F.col("seed") == group["seed"])
-        names = [r[0] for r in candidates.where(this).select("feature").orderBy("feature").collect()]
-        found += [(group["cohort"], group["seed"], rank, names[i], score)
-                  for rank, (i, score) in enumerate(_trained_steps(rows.where(this), len(names), steps, folds, parallelism), 1)]
-    return vectors.sparkSession.createDataFrame(found, "cohort string, seed int, rank int, feature string, score double")
-
-
-def _trained_steps(rows: DataFrame, width: int, steps: int, folds: int, parallelism: int) -> list[tuple[int, float]]:
-    """(candidate position, score) of each step for one cohort and seed."""
-    chosen: list[tuple[int, float]] = []
-    [(_, classes, _)] = models.training_facts(rows.withColumn("part", F.lit("train")), GROUP)
-    rows = models.indexed(rows, classes).persist()
-    parts = [(rows.where(F.col("fold") != f), rows.where(F.col("fold") == f)) for f in range(folds)]
-    counts = [fit.count() for fit, _ in parts]
-
-    def score(position: int) -> float:
-        columns = [i for i, _ in chosen] + [position]
-        slicer = VectorSlicer(inputCol="features", outputCol="_x", indices=columns)
-        total = 0.0
-        for (fit, held), n in zip(parts, counts):
-            model = models.CLASSIFIERS["logistic_short"].build(n).setFeaturesCol("_x").fit(slicer.transform(fit))
-            total += models.MacroF1().evaluate(model.transform(slicer.transform(held)))
-        return total / folds
-
-    try:
-        for _ in range(min(steps, width)):
-            left = [i for i in range(width) if i not in {c for c, _ in chosen}]
-            with ThreadPool(parallelism) as pool:
-                scores = pool.map(inheritable_thread_target(rows.sparkSession)(score), left)
-            best = max(range(len(left)), key=lambda i: (scores[i], -i))  # the first of equal candidates
-            chosen.append((left[best], scores[best]))
-    finally:
-        rows.unpersist()
-    return chosen
+    rows = vectors.select(*GROUP, "sample_id", "features").join(folded.select(*GROUP, "sample_id", "label", "fold"), [*GROUP, "sample_id"])
+    blocks = batched.row_blocks(rows)
+    counts = cut_lineage(batched.class_counts(blocks, range(folds)))
+    place = F.row_number().over(Window.partitionBy(*GROUP).orderBy("feature")) - 1
+    left = cut_lineage(candidates.select(*GROUP, "feature").distinct().withColumn("pos", place))
+    # what has been chosen, and by fold the weights of the model with it
+    start = cut_lineage(counts.select(*GROUP, "held", F.array().cast("array<int>").alias("columns"), F.lit(None).cast("array<double>").alias("weights"), F.size("present").alias("k")))
+    found = None
+    for rank in range(1, steps + 1):
+        width = F.size("columns") + 1
+        wider = F.flatten(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.concat(F.slice("weights", i * width + 1, width), F.array(F.lit(0.0)))))
+        fits = left.join(start, GROUP).select(
+            *GROUP, (F.col("pos") * folds + F.col("held")).cast("bigint").alias("fit"), "held", F.concat("columns", F.array("pos")).alias("columns"),
+            F.lit(1.0 / c).alias("l2"), F.array(F.lit(0.0)).alias("strengths"), wider.alias("at"))
+        models = cut_lineage(batched.models(batched.fitted(blocks, batched.starting(fits, counts))))
+        per_class = metrics.class_metrics(batched.confusions(blocks, models).drop("place"), batched.KEYS)
+        scored = (per_class.groupBy(*batched.KEYS).agg(F.avg("f1").alias("f1"))
+                  .groupBy(*GROUP, F.floor(F.col("fit") / folds).cast("int").alias("pos")).agg(F.avg("f1").alias("score")))
+        first = F.min(F.struct((-F.round("score", DIGITS)).alias("_d"), "pos", "score"))
+        best = cut_lineage(scored.groupBy(*GROUP).agg(first.alias("b")).select(*GROUP, "b.pos", "b.score")
+                           .join(left, [*GROUP, "pos"]).select(*GROUP, F.lit(rank).alias("rank"), "feature", "score", "pos"))
+        found = best if found is None else found.unionByName(best)
+        left = cut_lineage(left.join(_small(best.select(*GROUP, "pos")), [*GROUP, "pos"], "left_anti"))
+        won = models.join(_small(best.select(*GROUP, "pos")), GROUP).where(F.floor(F.col("fit") / folds) == F.col("pos"))
+        start = cut_lineage(won.select(*GROUP, "held", "columns", "weights", F.size("present").alias("k")))
+        if left.isEmpty():
+            break
+    return found.drop("pos")

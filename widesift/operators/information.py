@@ -87,27 +87,29 @@ def _intervals(points: DataFrame) -> DataFrame:
 
 
 def _prepared(cells: DataFrame, buckets: int) -> DataFrame:
-    """(KEYS, sample_id, label, x, class_size): x is the value plus a tiny amount fixed by the sample id.
+    """(KEYS, sample_id, label, x, class_size): x is the value in units of its feature's deviation, plus a tiny amount fixed by the sample id.
 
-    The amount gives repeated values an order. Members of one-row classes are dropped.
+    The unit of a feature does not matter, then; one without deviation keeps its values. The amount gives repeated values an
+    order. Members of one-row classes are dropped.
     """
     present = cells.where(F.col("value").isNotNull()).select(*KEYS, "sample_id", "label", "value")
-    magnitude = F.avg(F.abs("value"))
+    facts = {"_mean": F.avg(F.abs("value")), "_spread": F.stddev_pop("value")}
     if buckets <= 1:
         # one shuffle by feature (the one of `train_cells`, if the cells come from there); every later step of the
         # unbucketed path keeps that partitioning
         sized = (present
-                 .withColumn("_mean", magnitude.over(Window.partitionBy(*KEYS)))
+                 .withColumns({name: fact.over(Window.partitionBy(*KEYS)) for name, fact in facts.items()})
                  .withColumn("class_size", F.count("*").over(Window.partitionBy(*KEYS, "label"))))
     else:
         present = cut_lineage(present)
-        means = present.groupBy(*KEYS).agg(magnitude.alias("_mean"))
+        means = present.groupBy(*KEYS).agg(*(fact.alias(name) for name, fact in facts.items()))
         sizes = present.groupBy(*KEYS, "label").agg(F.count("*").alias("class_size"))
         sized = (present.join(broadcast_if_bounded(means), KEYS)
                  .join(broadcast_if_bounded(sizes), [*KEYS, "label"]))
-    noise = F.lit(JITTER) * F.greatest(F.lit(1.0), F.col("_mean")) * unit_hash(F.col("sample_id"))
+    unit = F.when(F.col("_spread") > 0, F.col("_spread")).otherwise(1.0)
+    noise = F.lit(JITTER) * F.greatest(F.lit(1.0), F.col("_mean") / unit) * unit_hash(F.col("sample_id"))
     return (sized.where(F.col("class_size") > 1)
-            .select(*KEYS, "sample_id", "label", (F.col("value") + noise).alias("x"), "class_size"))
+            .select(*KEYS, "sample_id", "label", (F.col("value") / unit + noise).alias("x"), "class_size"))
 
 
 @scorer("mutual_info")

@@ -191,8 +191,12 @@ def _by_model(score: Callable[[DataFrame, list[str], int], DataFrame], mask: Cal
 
 
 def lasso(**options) -> Method:
-    return Method("LASSO", ("cv",), _by_model(
-        lambda v, names, seed: embedded.lasso_scores(v, names, **options), selection.nonzero, "cv"))
+    def select(p: Prepared) -> DataFrame:
+        varying = cut_lineage(scores.varying_features(p.moments).withColumns({"method": F.lit("tuning"), "param": F.lit("all")}))
+        places = prepare.positions(varying, ["cohort", "seed"])
+        return _tagged(selection.nonzero(embedded.lasso_scores(p.vectors(varying), places, **options)), "cv")
+
+    return Method("LASSO", ("cv",), select)
 
 
 def random_forest(**options) -> Method:

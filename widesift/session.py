@@ -47,7 +47,7 @@ def _row_bytes(schema: T.StructType) -> Column:
         return 40 if isinstance(kind, T.StringType) else 8
 
     def size(field: T.StructField) -> Column:
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             return F.coalesce(F.length(field.name), F.lit(0)) + 16
         if isinstance(field.dataType, T.ArrayType):
             return F.coalesce(F.size(field.name), F.lit(0)) * fixed(field.dataType.elementType) + 32
@@ -56,6 +56,16 @@ def _row_bytes(schema: T.StructType) -> Column:
     return reduce(lambda x, y: x + y, [size(f) for f in schema.fields]).cast("long")
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("widesift.broadcastBytes", str(BROADCAST_BYTES)))
+
+
+def measured(table: DataFrame) -> tuple[int, int]:
+    """Number of rows and approximate bytes, in one job over a table that should have been written already."""
+    found = table.agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes(table.schema)).alias("size")).first()
+    return found["n"], found["size"] or 0
+
+
 def broadcast_if_bounded(side: DataFrame, rows_from: DataFrame | None = None) -> DataFrame:
     """Hint a broadcast only for a side measured to be small; a larger one takes the shuffle join.
 
@@ -65,11 +75,11 @@ def broadcast_if_bounded(side: DataFrame, rows_from: DataFrame | None = None) ->
     columns derived from it (as a split table is from the labels): its row count is the measure.
     Passing the side itself says that it has been written already.
     """
-    limit = int(side.sparkSession.conf.get("widesift.broadcastBytes", str(BROADCAST_BYTES)))
+    limit = broadcast_limit(side.sparkSession)
     if rows_from is None:
         side = rows_from = cut_lineage(side)
     if rows_from is side:
-        total = side.agg(F.sum(_row_bytes(side.schema))).first()[0] or 0
+        _, total = measured(side)
     else:
         total = rows_from.count() * PLAIN_COLUMN_BYTES * len(side.columns)
     return F.broadcast(side) if total <= limit else side
@@ -103,6 +113,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """Writes an iterative result as Parquet and reads it again: unlike a checkpoint's, its plan remembers nothing of earlier rounds."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def finished_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the tables in a folder whose writing came to its end, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [status.getPath() for status in files.listStatus(path)]
+    return sorted(p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of intermediate files, wherever it lies; one that is gone already is no error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
