@@ -1,11 +1,14 @@
 """Packing and token counts against the tokenizer library itself."""
 
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,13 +31,32 @@ def frame(spark, texts, parts=3):
 
 
 def test_segments_encode_like_whole_texts(library):
-    encode = tokens.Encoder(PATH, tokens.ids_of)
-    parts = [" ", "  ", "\n", "\t", "\0", "a", "b'", "'s", "1", "é", "\xa0", "　", "\x1c", "<|endoftext|>", "!", "…", " ", "\x85", "​", "ſ"]
-    for seed in range(1500):
-        text = "".join(random.Random(seed).choices(parts, k=seed % 14))
-        assert "".join(tokens.segments(text)) == text
-        got = b"".join(encode([text])[0])
-        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    encode = tokens.Encoder(PATH)
+    parts = [" ", "  ", "\n", "\t", "\0", "a", "b'", "'s", "1", "é", "\xa0", "　", "\x1c", "<|endoftext|>", "!", "…", " ", "\x85", "​", "ſ"]
+    texts = ["".join(random.Random(seed).choices(parts, k=seed % 14)) for seed in range(1500)]
+    for column in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["x", *texts]).slice(1), *(pa.array([t]) for t in texts[:200])):
+        segments, by_text = encode._cut(column)
+        ids, stops = encode(column)
+        assert b"".join(segments.to_pylist()).decode() == "".join(column.to_pylist()) and by_text[-1] == len(segments)
+        for text, i, j in zip(column.to_pylist(), stops, stops[1:]):
+            assert ids[i:j].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_boundaries_follow_something_other_than_white_space():
+    safe = re.compile(f"(?<=[^{re.escape(tokens.SPACES)}])(?=[ \n])")
+    for seed in range(500):
+        text = "".join(random.Random(seed).choices("ab é\n\t\u3000\u2003\xa0\x85\ufeffß€😀", k=40))
+        want = [len(text[:m.start()].encode()) for m in safe.finditer(text)]
+        assert tokens.boundaries(np.frombuffer(text.encode(), np.uint8)).tolist() == want
+
+
+def test_what_is_forgotten_is_encoded_again(library, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 20)
+    encode = tokens.Encoder(PATH)
+    for seed in range(60):
+        text = " ".join(random.Random(seed).choices(["alpha", "beta", "q" * 100, "r" * 70, "gamma"], k=30)) + f" word{seed}"
+        ids, _ = encode(pa.array([text, "", text]))
+        assert ids.tolist() == 2 * library.encode(text, add_special_tokens=False).ids
 
 
 def test_token_counts(spark, library):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from widesift.llm.tokens import Encoder, by_bytes, ids_of
+from widesift.llm.tokens import Encoder, by_bytes
 
 #: ids of remainders a task gathers before it packs them
 POOL_IDS = 4_000_000
@@ -150,13 +150,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
     Every row of `docs` becomes its text's ids (null: none) and `end_id`; each id lies in exactly one piece. `ids` holds the
     piece's ids as little-endian unsigned 32-bit numbers. Sequences are full but for the last ones of a task, whose lengths are
     powers of two, so that no padding is needed. Rows with equal texts or keys are packed each for itself; an empty table gives
-    no piece. A sequence id is the partition's number and the sequence's number in it: a lost task makes the same ones again
+    no piece; other columns are ignored, whatever their names, and a text's length bounds no step but its encoding. A sequence id is the partition's number and the sequence's number in it: a lost task makes the same ones again
     as long as its input has the same order, as that of a table read from files does.
     """
     kind = docs.schema[key_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, ids_of)
+        encode = Encoder(tokenizer)
         end, packer = struct.pack("<I", end_id), Packer(capacity)
         first = TaskContext.get().partitionId() << 36
         key_type = [None]
@@ -165,9 +165,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048,
             for batch in batches:
                 key_type[0] = batch.schema.field(0).type
                 keys, row = batch.column(0), 0
-                for part in by_bytes(batch.column(1), 1 << 21):
-                    for ids in encode(part):
-                        yield from packer.add(keys[row].as_py(), b"".join(ids) + end)
+                for part in by_bytes(batch.column(1)):
+                    ids, stops = encode(part)
+                    raw, stops = ids.tobytes(), (4 * stops).tolist()
+                    for i, j in zip(stops, stops[1:]):
+                        yield from packer.add(keys[row].as_py(), raw[i:j] + end)
                         row += 1
             yield from packer.pack(last=True)
 

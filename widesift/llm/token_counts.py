@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from widesift.llm.tokens import Encoder, by_bytes, lengths_of
+from widesift.llm.tokens import Encoder, by_bytes
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
@@ -15,16 +16,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text_col: s
 
     `tokenizer` is the path, on every executor, of a file with a byte-level BPE tokenizer without normaliser. Tokens are those
     that the library gives for the whole text, its special strings included, without added, truncated or padded ones. Null and
-    empty texts have none. Repeated keys keep a row each. A text is cut at safe boundaries only, so its length bounds no step
+    empty texts have none. Repeated keys keep a row each; other columns are ignored, whatever their names. A text is cut at safe boundaries only, so its length bounds no step
     but the one over a stretch without any blank.
     """
     kind = docs.schema[key_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, lengths_of)
+        encode = Encoder(tokenizer)
         for batch in batches:
-            n = [sum(lengths) for part in by_bytes(batch.column(1)) for lengths in encode(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["key", "n_bytes", "n_tokens"])
+            counts = [np.diff(encode(part, lengths_only=True)[1]) for part in by_bytes(batch.column(1))]
+            n = pa.array(np.concatenate([np.zeros(0, np.int64), *counts]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), n], ["key", "n_bytes", "n_tokens"])
 
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint")
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), size.alias("n_bytes"))
