@@ -646,9 +646,10 @@ def canonical_methods(spark, sf_dir):
 
 # ---- mutual information -----------------------------------------------------------------------
 
-cte("mi_points", f"""SELECT *, value + 1e-10::DOUBLE * greatest(1.0::DOUBLE, avg(abs(value)) OVER (PARTITION BY cohort, seed, feature))
+cte("mi_points", f"""SELECT *, value / unit + 1e-10::DOUBLE * greatest(1.0::DOUBLE, size / unit)
     * (CAST(('0x' || substr(md5(sample_id), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0::DOUBLE) AS x FROM (
-  SELECT *, count(*) OVER (PARTITION BY cohort, seed, feature, label) AS class_size FROM emb_train)""", "emb_train")
+  SELECT *, count(*) OVER (PARTITION BY cohort, seed, feature, label) AS class_size, avg(abs(value)) OVER (PARTITION BY cohort, seed, feature) AS size,
+    coalesce(nullif(stddev_pop(value) OVER (PARTITION BY cohort, seed, feature), 0), 1) AS unit FROM emb_train)""", "emb_train")
 cte("mi_radius", f"""SELECT cohort, seed, feature, sample_id, x, class_size, k, list_sort(distances)[k] AS r FROM (
   SELECT p.cohort, p.seed, p.feature, p.sample_id, p.x, p.class_size, least(3, p.class_size - 1) AS k, list(abs(p.x - q.x)) AS distances
   FROM mi_points p JOIN mi_points q ON {on('p', 'q', 'cohort, seed, feature, label')} AND p.sample_id <> q.sample_id
@@ -665,16 +666,26 @@ cte("mi_score", """SELECT c.cohort, c.seed, c.feature, greatest(0, any_value(t.p
   GROUP BY ALL""", "mi_count", "mi_psi1")
 
 
-def emb_information(spark, sf_dir, buckets=1):
+def emb_information(spark, sf_dir, buckets=1, unit=1.0):
     split = emb_split(spark, sf_dir)
-    return information.mutual_information(prepare.train_cells(fx.emb_matrix(spark, sf_dir), split), buckets)
+    matrix = fx.emb_matrix(spark, sf_dir).withColumn("value", F.col("value") * unit)
+    return information.mutual_information(prepare.train_cells(matrix, split), buckets)
 
 
-@query(sql(f"SELECT cohort, seed, feature, {r6('score')} AS score FROM mi_score", "mi_score"))
+MUTUAL_INFO = sql(f"SELECT cohort, seed, feature, {r6('score')} AS score FROM mi_score", "mi_score")
+
+
+@query(MUTUAL_INFO)
 def mutual_info(spark, sf_dir):
     return six(emb_information(spark, sf_dir), "score")
 
 
+@query(MUTUAL_INFO)
+def mutual_info_small_units(spark, sf_dir):
+    """The scores of values divided by 2^40: the unit decides nothing."""
+    return six(emb_information(spark, sf_dir, unit=2.0 ** -40), "score")
+
+
 @query(sql(f"""SELECT cohort, seed, feature, {r6('score')} AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (
   PARTITION BY cohort, seed ORDER BY sig(score) DESC, feature DESC) AS rn FROM mi_score) WHERE rn <= 20""", "mi_score"))
 def mutual_info_top_k(spark, sf_dir):
@@ -686,9 +697,12 @@ def mutual_info_top_k(spark, sf_dir):
 cte("fs_fold", """SELECT cohort, seed, sample_id, label, CAST((rn - 1) % 2 AS INTEGER) AS fold FROM (SELECT *, row_number() OVER (
   PARTITION BY cohort, seed, label ORDER BY md5('fold:' || CAST(seed AS VARCHAR) || ':' || sample_id), sample_id) AS rn
   FROM emb_split WHERE part = 'train')""", "emb_split")
-cte("fs_fit", f"""SELECT a.cohort, a.seed, a.fold, c.feature, a.label AS class, avg(c.value) AS mean, var_pop(c.value) + 1e-9::DOUBLE AS var
-  FROM (SELECT cohort, seed, sample_id, label, 1 - fold AS fold FROM fs_fold) a JOIN emb_cells c ON {on('a', 'c', 'cohort, sample_id')} GROUP BY ALL""",
-    "fs_fold", "emb_cells")
+cte("fs_rows", f"""SELECT a.cohort, a.seed, a.fold, a.label, c.feature, c.value
+  FROM (SELECT cohort, seed, sample_id, label, 1 - fold AS fold FROM fs_fold) a JOIN emb_cells c ON {on('a', 'c', 'cohort, sample_id')}""", "fs_fold", "emb_cells")
+cte("fs_most", """SELECT cohort, seed, fold, max(var) * 1e-9::DOUBLE AS added FROM (
+  SELECT cohort, seed, fold, feature, var_pop(value) AS var FROM fs_rows GROUP BY ALL) GROUP BY ALL""", "fs_rows")
+cte("fs_fit", f"""SELECT r.cohort, r.seed, r.fold, r.feature, r.label AS class, avg(r.value) AS mean, var_pop(r.value) + any_value(m.added) AS var
+  FROM fs_rows r JOIN fs_most m ON {on('r', 'm', 'cohort, seed, fold')} GROUP BY r.cohort, r.seed, r.fold, r.feature, r.label""", "fs_rows", "fs_most")
 cte("fs_prior", """SELECT cohort, seed, fold, class, ln(n / sum(n) OVER (PARTITION BY cohort, seed, fold)) AS lp FROM (
   SELECT cohort, seed, 1 - fold AS fold, label AS class, count(*)::DOUBLE AS n FROM fs_fold GROUP BY ALL)""", "fs_fold")
 cte("fs_term", f"""SELECT f.cohort, f.seed, f.fold, f.sample_id, f.label, c.feature, m.class,
@@ -697,29 +711,52 @@ cte("fs_term", f"""SELECT f.cohort, f.seed, f.fold, f.sample_id, f.label, c.feat
     "fs_fold", "emb_cells", "fs_fit")
 cte("fs_run0", f"""SELECT f.cohort, f.seed, f.fold, f.sample_id, p.class, p.lp AS total FROM fs_fold f JOIN fs_prior p ON {on('f', 'p', 'cohort, seed, fold')}""",
     "fs_fold", "fs_prior")
-for step in (1, 2):
-    chosen = "" if step == 1 else f"WHERE NOT EXISTS (SELECT 1 FROM fs_best1 b WHERE {on('b', 't', 'cohort, seed, feature')})"
+#: a fifth of the 64 features, as the method takes of its candidates
+STEPS = 12
+for step in range(1, STEPS + 1):
+    last = f"fs_chosen{step - 1}"
     cte(f"fs_pred{step}", f"""SELECT cohort, seed, fold, feature, sample_id, label, class AS prediction FROM (SELECT t.*, row_number() OVER (
         PARTITION BY t.cohort, t.seed, t.fold, t.feature, t.sample_id ORDER BY round(r.total + t.term, 9) DESC, t.class) AS rn
-      FROM fs_term t JOIN fs_run{step - 1} r ON {on('t', 'r', 'cohort, seed, fold, sample_id, class')} {chosen}) WHERE rn = 1""",
-        "fs_term", f"fs_run{step - 1}", *(["fs_best1"] if step == 2 else []))
+      FROM fs_term t JOIN fs_run{step - 1} r ON {on('t', 'r', 'cohort, seed, fold, sample_id, class')}
+      {f"WHERE NOT EXISTS (SELECT 1 FROM {last} b WHERE {on('b', 't', 'cohort, seed, feature')})" if step > 1 else ""}) WHERE rn = 1""",
+        "fs_term", f"fs_run{step - 1}", *([last] if step > 1 else []))
     cte(f"fs_f1_{step}", f"""SELECT cohort, seed, fold, feature, avg(2.0::DOUBLE * tp / (support + predicted)) AS f1 FROM (
       SELECT cohort, seed, fold, feature, class, sum(tp) AS tp, sum(s) AS support, sum(p) AS predicted FROM (
         SELECT cohort, seed, fold, feature, label AS class, CASE WHEN label = prediction THEN 1 ELSE 0 END AS tp, 1 AS s, 0 AS p FROM fs_pred{step}
         UNION ALL SELECT cohort, seed, fold, feature, prediction, 0, 0, 1 FROM fs_pred{step}) GROUP BY ALL) GROUP BY ALL""", f"fs_pred{step}")
     cte(f"fs_best{step}", f"""SELECT cohort, seed, feature, score FROM (SELECT *, row_number() OVER (PARTITION BY cohort, seed ORDER BY round(score, 9) DESC, feature) AS rn
       FROM (SELECT cohort, seed, feature, avg(f1) AS score FROM fs_f1_{step} GROUP BY ALL)) WHERE rn = 1""", f"fs_f1_{step}")
+    cte(f"fs_chosen{step}", f"SELECT cohort, seed, {step} AS rank, feature, score FROM fs_best{step}" + (f" UNION ALL SELECT * FROM {last}" if step > 1 else ""),
+        f"fs_best{step}", *([last] if step > 1 else []))
     cte(f"fs_run{step}", f"""SELECT r.cohort, r.seed, r.fold, r.sample_id, r.class, r.total + t.term AS total FROM fs_run{step - 1} r
       JOIN fs_term t ON {on('t', 'r', 'cohort, seed, fold, sample_id, class')} JOIN fs_best{step} b ON {on('b', 't', 'cohort, seed, feature')}""",
         f"fs_run{step - 1}", "fs_term", f"fs_best{step}")
 
+FORWARD = sql(f"SELECT cohort, seed, rank, feature, {r6('score')} AS score FROM fs_chosen{STEPS}", f"fs_chosen{STEPS}")
+
+
+def two_folds(spark, sf_dir):
+    return splits.stratified_folds(emb_split(spark, sf_dir).where(F.col("part") == "train").drop("part"), 2)
+
 
-@query(sql(f"""SELECT cohort, seed, 1 AS rank, feature, {r6('score')} AS score FROM fs_best1
-  UNION ALL SELECT cohort, seed, 2, feature, {r6('score')} FROM fs_best2""", "fs_best1", "fs_best2"))
+@query(FORWARD)
 def forward_selection_nb(spark, sf_dir):
-    train = emb_split(spark, sf_dir).where(F.col("part") == "train").drop("part")
-    folds = splits.stratified_folds(train, 2)
-    return six(forward.forward_selection(fx.emb_matrix(spark, sf_dir), folds, steps=2, folds=2), "score")
+    return six(forward.forward_selection(fx.emb_matrix(spark, sf_dir), two_folds(spark, sf_dir), steps=STEPS, folds=2), "score")
+
+
+@query(FORWARD)
+def forward_small_units(spark, sf_dir):
+    """The same selection from values a million times smaller."""
+    small = fx.emb_matrix(spark, sf_dir).withColumn("value", F.col("value") * 1e-6)
+    return six(forward.forward_selection(small, two_folds(spark, sf_dir), steps=STEPS, folds=2), "score")
+
+
+@query()
+def forward_selection_trained(spark, sf_dir):
+    """A logistic model trained for every candidate, fold and step; a test holds it against one fit after another."""
+    vectors = varying_vectors(spark, sf_dir).select("cohort", "seed", "sample_id", "features")
+    candidates = scores.varying_features(emb_moments(spark, sf_dir)).select("cohort", "seed", "feature")
+    return forward.forward_selection_logistic(vectors, two_folds(spark, sf_dir), candidates, STEPS, 2)
 
 
 # ---- trained models: no SQL twin, checked by tests on separable data --------------------------
