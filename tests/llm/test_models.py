@@ -38,6 +38,53 @@ def test_forward_sums_all_segmentations():
         assert (uses * lengths).sum(axis=0).max() <= len(text) + 1e-9
 
 
+def test_words_are_runs_of_letters():
+    texts = ["½ ² ① Ⅷ", "a½b x² é①", "三 〇", "a_b1c", "x" * 70, "\u0661 \u0967", "Ünï-cödé", "", "ªº ǆ ʰ", "अआ कि"]
+    for text in texts:
+        runs = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        assert language.words_of(text) == [r[i:i + 32] for r in runs for i in range(0, len(r), 32)]
+
+
+def test_many_languages(spark):
+    rows = [(i, f"common word{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}", f"l{i:03d}") for i in range(600)] * 2
+    docs = spark.createDataFrame([(n, t, lang) for n, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(docs, sorted({"▁", "▁common", "▁word", *"abcdefghijklmnopqrstuvwxyz"}), rounds=2)
+    assert len(model.languages) == 600
+    assert language.fit(docs.where("doc_id < 605"), ["▁"], least_rows=2, rounds=1).languages == [f"l{i:03d}" for i in range(5)]
+    got = language.identify(docs.limit(40), model).collect()
+    assert len(got) == 40 and all(0 < r.score <= 1 for r in got)
+
+
+def test_expected_uses_are_those_of_all_segmentations():
+    """The expectation step: every segmentation counts by its share of the word's probability."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba"]
+    rng = np.random.default_rng(1)
+    model = language.Model(["x", "y"], {p: i for i, p in enumerate(pieces)}, np.vstack([rng.random((len(pieces), 2)), [[0, 0]]]))
+    words, counts = ["ab", "aba", "bz", "baab"], rng.random((4, 2)) * 5
+    want = np.zeros((len(pieces) + 1, 2))
+    for word, n in zip(words, counts):
+        text, ways = language.EDGE + word, []
+        for cuts in itertools.product([0, 1], repeat=len(text) - 1):
+            places = [0, *(i for i, c in enumerate(cuts, 1) if c), len(text)]
+            parts = [text[i:j] for i, j in zip(places, places[1:])]
+            # a part of one letter is a piece or an unknown letter
+            for kinds in itertools.product(*[(["piece"] if p in model.index else []) + (["unknown"] if len(p) == 1 else []) for p in parts]):
+                chance = np.prod([model.table[model.index[p]] if k == "piece" else np.full(2, language.UNKNOWN) for p, k in zip(parts, kinds)], axis=0)
+                ways.append((chance, [p for p, k in zip(parts, kinds) if k == "piece"]))
+        total = sum(c for c, _ in ways)
+        for chance, used in ways:
+            for p in used:
+                want[model.index[p]] += n * chance / total
+    assert np.allclose(model.expected(words, counts), want)
+
+
+def test_equal_probabilities_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    model = language.fit(docs, ["▁", *"ademorsw"])
+    [row] = language.identify(docs.limit(1), model).collect()
+    assert row.lang_pred == "a" and abs(row.score - 0.5) < 1e-9
+
+
 def test_languages_of_held_out_rows(spark):
     docs = catalog.table(spark, "/root/testdata/sf0.01", "documents")
     found = catalog.op8_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -52,7 +99,7 @@ def test_language_edges(spark):
     docs = spark.createDataFrame(rows + [(None, "the", "de", 1.0)], "doc_id long, text string, lang string, score double")
     model = language.fit(docs, language.vocabulary(PIECES))
     assert model.languages == ["de", "en"]
-    probe = spark.createDataFrame([(1, "und der"), (2, None), (3, ""), (4, "12 %%"), (5, "with the"), (6, "x" * 300_000), (5, "with the")], "doc_id long, text string")
+    probe = spark.createDataFrame([(1, "und der"), (2, None), (3, ""), (4, "12 ½ %%"), (5, "with the"), (6, "x" * 300_000), (5, "with the")], "doc_id long, text string")
     got = [(r.doc_id, r.lang_pred, r.score) for r in language.identify(probe, model).collect()]
     assert [g[1] for g in got[:5]] == ["de", "und", "und", "und", "en"] and got[4] == got[6] and got[1][2] == 0
     none = language.fit(docs.limit(0), language.vocabulary(PIECES))

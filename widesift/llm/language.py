@@ -14,29 +14,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from widesift.session import cut_lineage
 
-#: a longer run of letters is read as words of 32
+#: a longer run of letters is read as words of 32; the first pattern takes some numbers, such as fractions, for letters
 WORD = re.compile(r"[^\W\d_]{1,32}")
+LETTERS = regex.compile(r"\p{L}{1,32}")
 EDGE = "▁"
 UNDECIDED = "und"
 #: rows per language, in expectation, that a model is fitted on at most
 FIT_ROWS = 2000
-MOST_LANGUAGES = 500
 ROUNDS = 3
 #: added to every expected piece count; probability of a letter outside all pieces
 SMOOTHING = 0.05
 UNKNOWN = 1e-7
-#: words a task remembers; words handled at once
+#: words a task counts at once; probabilities a task remembers, words by languages; words handled at once, by so many languages
 MEMORY = 300_000
+PROBABILITIES = 6_000_000
 BLOCK = 4096
+FEW_LANGUAGES = 64
 
 
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased."""
-    return WORD.findall(text.lower())
+    text = text.lower()
+    words = WORD.findall(text)
+    return words if not words or "".join(words).isalpha() else LETTERS.findall(text)
 
 
 def vocabulary(path: str) -> list[str]:
@@ -81,14 +86,14 @@ class Model:
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """A row of log probabilities by language for each word."""
         out = np.zeros((len(words), len(self.languages)))
-        for block in _blocks(words):
+        for block in self._blocks(words):
             out[block] = np.log(np.maximum(self._forward(self._places([words[i] for i in block]))[-1], 1e-300))
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in each language, given how often each language has each word."""
         uses = np.zeros_like(self.table)
-        for block in _blocks(words):
+        for block in self._blocks(words):
             places = self._places([words[i] for i in block])
             forward, end = self._forward(places), len(places)
             share = counts[block] / np.maximum(forward[-1], 1e-300)
@@ -106,21 +111,22 @@ class Model:
         uses[-1] = 0
         return uses
 
+    def _blocks(self, words: list[str]) -> Iterable[list[int]]:
+        """Places of words of one length, so many at once that the number of languages does not matter."""
+        size = max(64, BLOCK * FEW_LANGUAGES // max(FEW_LANGUAGES, len(self.languages)))
+        by_length = defaultdict(list)
+        for i, word in enumerate(words):
+            by_length[len(word)].append(i)
+        for places in by_length.values():
+            for i in range(0, len(places), size):
+                yield places[i:i + size]
+
     def fitted(self, uses: np.ndarray) -> Model:
         table = uses + SMOOTHING
         table[-1] = 0
         return Model(self.languages, self.index, table / table.sum(axis=0))
 
 
-def _blocks(words: list[str]) -> Iterable[list[int]]:
-    by_length = defaultdict(list)
-    for i, word in enumerate(words):
-        by_length[len(word)].append(i)
-    for places in by_length.values():
-        for i in range(0, len(places), BLOCK):
-            yield places[i:i + BLOCK]
-
-
 def _word_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
     """(word, counts): how often the rows (lang, text) of each language have the word."""
     place = {name: i for i, name in enumerate(languages)}
@@ -140,43 +146,52 @@ def _word_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
         yield out(counts)
 
     counted = rows.mapInArrow(run, "word string, place int, n bigint")
-    sums = [F.sum(F.when(F.col("place") == i, F.col("n")).otherwise(0)).cast("double") for i in range(len(languages))]
-    return counted.groupBy("word").agg(F.array(*sums).alias("counts"))
+    sums = counted.groupBy("word", "place").agg(F.sum("n").alias("n"))
+    return sums.groupBy("word").agg(F.collect_list(F.struct("place", "n")).alias("counts"))
 
 
 def fit(rows: DataFrame, pieces: list[str], key_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
-        most_rows: int = FIT_ROWS, rounds: int = ROUNDS) -> Model:
+        most_rows: int = FIT_ROWS, least_rows: int = 1, rounds: int = ROUNDS) -> Model:
     """Learns from the rows with a text and a language, `most_rows` of each language in expectation (by a hash of the key).
 
-    Rows without a key, language or text teach nothing; no rows at all give a model without languages.
+    Rows without a key, language or text teach nothing; no rows at all give a model without languages. Languages with fewer
+    than `least_rows` rows are not learned; a model's size is the number of pieces times that of languages. Repeated
+    rows count as often as they occur, texts are read whole, and other columns are ignored, whatever their names.
     """
     rows = rows.select(F.col(key_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
-    found = sorted(rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect())
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    found = sorted(map(tuple, rows.groupBy("lang").count().where(F.col("count") >= least_rows).collect()))
     languages = [lang for lang, _ in found]
     model = Model.flat(languages, pieces)
     if not languages:
         return model
-    share = F.lit(1.0)
-    for lang, n in found:
-        share = F.when(F.col("lang") == lang, min(1.0, most_rows / n)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    # as many rows as there are learned languages
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, most_rows / n)) for lang, n in found], "lang string, share double")
+    dealt = rows.join(F.broadcast(shares), "lang")
+    sample = dealt.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
     words = cut_lineage(_word_counts(sample, languages))
     for _ in range(rounds):
         model = model.fitted(_uses(words, model))
     return model
 
 
+def _shared(words: DataFrame, model: Model):
+    """The parts of a model for the workers, which may have no copy of this package to read a Model with."""
+    return words.sparkSession.sparkContext.broadcast((model.languages, model.index, model.table))
+
+
 def _uses(words: DataFrame, model: Model) -> np.ndarray:
-    """Expected uses of every piece over all words; the driver gets one row for a piece and language."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
+    """Expected uses of every piece over all words; the driver gets one row for a piece and a language that uses it."""
+    shared = _shared(words, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
         uses = np.zeros_like(model.table)
         for batch in batches:
-            uses += model.expected(batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist()).reshape(-1, len(model.languages)))
+            counts = np.zeros((batch.num_rows, len(model.languages)))
+            lists = batch.column(1)
+            flat = lists.flatten()
+            counts[np.repeat(np.arange(batch.num_rows), lists.value_lengths()), flat.field("place").to_numpy()] = flat.field("n").to_numpy()
+            uses += model.expected(batch.column(0).to_pylist(), counts)
         piece, place = np.nonzero(uses)
         yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(place), pa.array(uses[piece, place])], ["piece", "place", "uses"])
 
@@ -190,20 +205,22 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", key_col: str
     """(key_col, lang_pred, score) for every row; score is the language's posterior probability.
 
     Texts that are null or have no letter are `und` with score 0, as is everything under a model without languages.
-    Equal probabilities go to the first language in order.
+    Equal probabilities go to the first language in order. Every row gets its own result, repeated keys and texts too; a text is
+    read whole, and other columns are ignored, whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
     schema = T.StructType().add("key", docs.schema[key_col].dataType).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(*shared.value)
+        memory = PROBABILITIES // max(20, len(model.languages))
         known: dict[str, int] = {}
         table = np.zeros((0, len(model.languages)))
         for batch in batches:
             names, scores = [], []
             for part in _by_bytes(batch.column(1)):
                 texts = [words_of(t) if t else [] for t in part]
-                if len(known) > MEMORY:
+                if len(known) > memory:
                     known, table = {}, table[:0]
                 new = list({w for words in texts for w in words if w not in known}) if model.languages else []
                 known.update(zip(new, range(len(known), len(known) + len(new))))
