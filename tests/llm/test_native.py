@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 
 import duckdb
 import pytest
@@ -108,13 +109,47 @@ def test_word_in_front_by_brute_force(spark):
     parts = ["ab", "C", "12345", "x@12345", "1", "  ", "\n", " " * 60, "é" * 60, "(", "."]
     texts = ["".join(r.choices(parts, weights=[2, 2, 2, 1, 1, 6, 2, 2, 1, 1, 1], k=r.randint(0, 25))) for _ in range(600)] + ["a" * 60_000 + " 12345", (" " * 60_000) + "12345"]
     docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
-    got = {x.i: [t.left for t in x.t] for x in docs.select("i", personal._tokens(F.col("text"), F.array().cast(personal.SPANS)).alias("t")).collect()}
+    got = {i: [] for i in range(len(texts))}
+    none = F.array().cast(personal.ENTITIES).alias("entities")
+    for x in sorted(personal.tokens_of(docs.select(F.col("i").alias("number"), F.col("i").alias("blob"), none, personal._candidates(F.col("text")).alias("candidates"))).collect()):
+        got[x.number].append((x.start, x.left))
+    got = {i: [left for _, left in sorted(found)] for i, found in got.items()}
     for i, text in enumerate(texts):
         words = re.findall(r"[^ \n]+", text)
         marks = lambda w: len(re.sub("[^0-9@]", "", re.sub(r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "", w)))
         assert got[i] == [a.lower() for a, b in zip(words, words[1:]) if marks(b) >= personal.MARKS]
 
 
+def test_tokens_and_the_entities_that_begin_in_them(spark):
+    """Against every pair of a token and an entity."""
+    texts = [t for _, t in texts_of(PERSONAL_PARTS) if t]
+    rows = spark.createDataFrame(list(enumerate(texts)), "number long, text string").withColumn("blob", F.col("number")).withColumns(
+        {"entities": personal.entities(F.col("text")), "candidates": personal._candidates(F.col("text"))})
+    got = sorted((r.number, r.start, r.end, r.left, r.token, r.seed) for r in personal.tokens_of(rows).collect())
+    want = []
+    for r in rows.collect():
+        for t in r.candidates:
+            begun = [s for s in r.entities if t.start <= s.start < t.end]
+            if any(s.start < t.start < s.end for s in r.entities):
+                continue
+            token = begun[0].text if begun else t.token
+            if begun or len(re.sub("[^0-9@]", "", token)) >= personal.MARKS:
+                want.append((r.number, t["first"], t["last"], t.left, token, bool(begun)))
+    assert got == sorted(want) and any(x[5] for x in got) and not all(x[5] for x in got)
+
+
+def test_a_text_of_very_many_entities(spark):
+    """An ordinary log file: the time for each entity does not grow with their number."""
+    def seconds(n):
+        docs = spark.createDataFrame([(1, "from 1.2.3.4 " * n)], "doc_id long, text string")
+        started = time.time()
+        [row] = personal.find_personal(docs).select(F.size("base").alias("n")).collect()
+        assert row.n == n
+        return time.time() - started
+    seconds(100)
+    assert seconds(200_000) < 60
+
+
 def test_quotations_equal_their_twin(spark, tmp_path):
     r, said = random.Random(5), ["Hello there friend", "What is  the plan?", "See you\tsoon", "I agree", "", "> odd", "fine"]
     rows = []
@@ -173,4 +208,5 @@ def test_twins(spark, name):
     from checks.verify import canonical, connect
     want = connect("/root/testdata/sf0.001").execute(catalog.ORACLES[name]).df()
     got = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
-    assert canonical(got).equals(canonical(want))
+    whole = [c for c in want if str(want[c].dtype).lower().startswith("int")]
+    assert canonical(got, whole).equals(canonical(want, whole))

@@ -8,7 +8,7 @@ what stands after a pattern of high confidence is taken for an identifier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from widesift.llm.blob_ledger import address
 from widesift.llm.spans import joined, let, matches
@@ -22,6 +22,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+ENTITIES = "array<struct<kind:string,start:bigint,end:bigint,text:string>>"
 #: a token with a digit or an at sign; one that counts as an identifier has five of them
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 MARKS = 5
@@ -58,34 +59,55 @@ def _kept(text: Column, kind: str, pattern: str, valid=None) -> Column:
     found = matches(text, pattern)
     if valid is not None:
         found = F.filter(found, lambda m: valid(m["text"]))
-    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
 
 
 def entities(text: Column) -> Column:
-    """array<struct<kind, start, end>> of the fixed kinds, by kind as listed, then start; none for a null text."""
-    none = F.array().cast(SPANS)
+    """array<struct<kind, start, end, text>> of the fixed kinds, by kind as listed, then start; none for a null text."""
+    none = F.array().cast(ENTITIES)
     with_mark = lambda mark, spans: F.when(F.contains(text, F.lit(mark)), spans).otherwise(none)
     return F.concat(with_mark("@", _kept(text, "email", EMAIL)), with_mark(".", _kept(text, "ip", IP, _valid_ip)),
                     _kept(text, "card", CARD, _valid_card),
                     with_mark("+", _kept(text, "phone", PHONE, lambda t: F.length(_digits(t)).between(9, 15))))
 
 
-def _tokens(text: Column, base: Column) -> Column:
-    """array<struct<left, start, end, token, seed>>: tokens after a word, outside entities or (seed) with the entity that begins there."""
+def _candidates(text: Column) -> Column:
+    """array<struct<start, end, left, token, first, last>>: tokens after a word; `token`, from `first` to `last`, is what is left without punctuation around."""
     word = lambda gap: F.regexp_extract(gap, r"(?<!\S)(\S++)\s++\z", 1)
     # between two tokens stand whole words, so white space alone means that the token before is the word in front
     left = lambda gap, last: F.lower(let(word(gap), lambda w: F.when(w != "", w).otherwise(F.coalesce(last, F.lit("")))))
     front = lambda t: F.length(F.regexp_extract(t, r"^[^A-Za-z0-9@+]*", 0))
     core = lambda t: F.regexp_replace(t, r"^[^A-Za-z0-9@+]+|[^A-Za-z0-9]+$", "")
-    begun = lambda m: F.get(F.filter(base, lambda s: (s["start"] >= m["start"]) & (s["start"] < m["end"])), F.lit(0))
-    inside = lambda m: F.exists(base, lambda s: (s["start"] < m["start"]) & (m["start"] < s["end"]))
-    found = F.filter(matches(text, TOKEN, left), lambda m: ~inside(m))
-    placed = F.transform(found, lambda m: let(begun(m), lambda s: F.struct(
-        m["before"].alias("left"), (m["start"] + front(m["text"])).alias("start"),
-        (m["start"] + front(m["text"]) + F.length(core(m["text"]))).alias("end"),
-        F.when(s.isNull(), core(m["text"])).otherwise(text.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))).alias("token"),
-        s.isNotNull().alias("seed"))))
-    return F.filter(placed, lambda t: (t["left"] != "") & (t["seed"] | (F.length(F.regexp_replace(t["token"], "[^0-9@]", "")) >= MARKS)))
+    found = F.filter(matches(text, TOKEN, left), lambda m: m["before"] != "")
+    return F.transform(found, lambda m: let(core(m["text"]), lambda c: F.struct(
+        m["start"].alias("start"), m["end"].alias("end"), m["before"].alias("left"), c.alias("token"),
+        (m["start"] + front(m["text"])).alias("first"), (m["start"] + front(m["text"]) + F.length(c)).alias("last"))))
+
+
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """(number, blob, left, start, end, token, seed): candidates outside entities or (seed) with the first kind of entity that begins in them.
+
+    rows: (number, blob, entities, candidates). Candidates and entities of a text are put in the order of their places, where
+    a running maximum says whether an entity is open, and the last candidate is the one that an entity begins in; so a text
+    costs what sorting them costs.
+    """
+    token = "struct<start:bigint,end:bigint,left:string,token:string,first:bigint,last:bigint>"
+    rank = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
+    both = F.concat(
+        F.transform("candidates", lambda t: F.struct(t["start"].alias("at"), F.lit(0).cast("bigint").alias("rank"), t.alias("t"), F.lit(None).cast("bigint").alias("end"), F.lit(None).cast("string").alias("text"))),
+        F.transform("entities", lambda s: F.struct(s["start"].alias("at"), rank(s).alias("rank"), F.lit(None).cast(token).alias("t"), s["end"].alias("end"), s["text"].alias("text"))))
+    events = rows.where(F.size("candidates") > 0).select("number", "blob", F.explode(both).alias("e")).select("number", "blob", "e.*")
+    before = Window.partitionBy("number").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = events.withColumns({"open": F.max("end").over(before), "owner": F.last("t", ignorenulls=True).over(before)})
+    placed = placed.where(F.col("owner").isNotNull() & (F.col("t").isNotNull() | (F.col("at") < F.col("owner.end"))))
+    entity = F.when(F.col("t").isNull(), F.struct("rank", "at", "end", "text"))
+    # at a candidate's own row no entity that begins with it is counted yet
+    inside = F.max(F.when(F.col("t").isNotNull(), F.coalesce(F.col("open") > F.col("at"), F.lit(False))))
+    found = placed.groupBy("number", "blob", F.col("owner.start").alias("place")).agg(F.max("owner").alias("o"), F.min(entity).alias("s"), inside.alias("inside"))
+    seed = F.col("s").isNotNull()
+    named = found.where(~F.col("inside")).select("number", "blob", F.col("o.left").alias("left"), F.col("o.first").alias("start"), F.col("o.last").alias("end"),
+                                                 F.when(seed, F.col("s.text")).otherwise(F.col("o.token")).alias("token"), seed.alias("seed"))
+    return named.where(F.col("seed") | (F.length(F.regexp_replace("token", "[^0-9@]", "")) >= MARKS))
 
 
 def patterns(tokens: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
@@ -111,18 +133,22 @@ def find_personal(docs: DataFrame, text_col: str = "text", key_col: str = "doc_i
     """(key_col, base, found) for every row: entities of the fixed kinds, and identifiers (kind `context`) that contexts reveal.
 
     Both are array<struct<kind, start, end>> in code points, ends exclusive; `found` is sorted by start and lies outside
-    `base`. Null and empty texts have none. Equal texts have equal results; repeated keys keep a row each.
+    `base`. Null and empty texts have none. Equal texts have equal results; repeated keys keep a row each; other columns are
+    ignored, whatever their names. A text is read whole; very many entities in one cost what sorting them costs.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(key_col), address(text).alias("blob"), text.alias("text")).withColumn("base", entities(F.col("text")))
-    rows = cut_lineage(rows.select(key_col, "blob", "base", _tokens(F.col("text"), F.col("base")).alias("tokens")))
-    tokens = rows.select("blob", F.explode("tokens").alias("t")).select("blob", "t.*")
+    rows = docs.select(F.col(key_col).alias("key"), address(text).alias("blob"), F.monotonically_increasing_id().alias("number"), entities(text).alias("entities"),
+                       _candidates(text).alias("candidates"))
+    rows = cut_lineage(rows)
+    tokens = cut_lineage(tokens_of(rows))
     scored = patterns(tokens, docs, text_col)
     new = tokens.where(~F.col("seed")).join(scored, "left", "left_semi")
     place = F.struct(F.col("start"), F.col("end"))
     new = cut_lineage(new.groupBy("blob").agg(F.array_sort(F.collect_set(place)).alias("places")))
     found = F.transform("places", lambda s: F.struct(F.lit(CONTEXT).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.drop("tokens").join(new, "blob", "left").select(key_col, "base", F.coalesce(found, F.array().cast(SPANS)).alias("found"))
+    base = F.transform("entities", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.drop("candidates").join(new, "blob", "left").select(
+        F.col("key").alias(key_col), base.alias("base"), F.coalesce(found, F.array().cast(SPANS)).alias("found"))
 
 
 def digest(base: Column, found: Column) -> dict[str, Column]:

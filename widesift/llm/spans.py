@@ -42,8 +42,9 @@ def _placed(gaps: Column, found: Column, before) -> Column:
     def walk(steps: Column) -> Column:
         stretches = F.transform(F.sequence(F.lit(0), ((F.size(steps) - 1) / STRETCH).cast("int")),
                                 lambda i: F.slice(steps, i * STRETCH + 1, F.lit(STRETCH)))
-        return let(stretches, lambda s: let(F.transform(s, total), lambda sums: F.flatten(F.transform(
-            s, lambda part, i: scan(part, F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x))))))
+        # where each stretch begins: a running sum over a few numbers
+        places = lambda sums: F.aggregate(sums, F.array(F.lit(0).cast("bigint")), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+        return let(stretches, lambda s: let(places(F.transform(s, total)), lambda at: F.flatten(F.transform(s, lambda part, i: scan(part, F.get(at, i))))))
 
     return let(steps, walk)
 
