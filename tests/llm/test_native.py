@@ -151,7 +151,7 @@ def test_a_text_of_very_many_entities(spark):
 
 
 def test_quotations_equal_their_twin(spark, tmp_path):
-    r, said = random.Random(5), ["Hello there friend", "What is  the plan?", "See you\tsoon", "I agree", "", "> odd", "fine"]
+    r, said = random.Random(5), ["Hello there friend", "What is  the plan?", "See you\tsoon", "I agree with that, fully", "", "> odd", "fine"]
     rows = []
     for conv in range(25):
         for turn in range(8):
@@ -174,7 +174,7 @@ def test_quotations_equal_their_twin(spark, tmp_path):
 def test_quotations_rebuild_a_thread(spark):
     rows = [("c", 1, "a", "First line.\nSecond line."), ("c", 2, "b", "> First  LINE.\nMy answer"), ("c", 3, "a", ">> first line.\n> My answer\n\nThanks"),
             ("c", 4, "b", "no quote"), (None, 1, None, "> First line."), ("c", 2, "b", "> First  LINE.\nMy answer")]
-    found = quotations.link(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    found = quotations.link(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"), least=5).collect()
     by = {(r.conv_id, r.turn): r for r in found}
     assert len(found) == 6 and by["c", 3].path == [1, 2, 3] and by["c", 3].own == "Thanks" and by["c", 3].n_linked == 2
     assert by["c", 2].parent == 1 and by["c", 4].path == [4] and by[None, 1].parent is None and by[None, 1].own == ""
@@ -182,6 +182,25 @@ def test_quotations_rebuild_a_thread(spark):
     assert empty.count() == 0 and "path" in empty.columns
 
 
+def test_quotations_of_rows_that_share_a_turn_and_of_clashing_columns(spark):
+    kind = "conv_id string, turn long, text string, quotes_ int, linked_ int, passages_ int, c_ int, t_ int, node int, row int, parts int"
+    rows = [("c", 1, "The meeting is on Tuesday.", *range(8)), ("c", 2, "> The meeting is on Tuesday.\nFine by me, see you there.", *range(8)),
+            ("c", 2, "Something else, without any quotation.", *range(8)), ("c", 3, "> Thanks\nWelcome", *range(8)), ("c", 0, "Thanks", *range(8))]
+    found = quotations.link(spark.createDataFrame(rows, kind))
+    assert found.columns == [f.split()[0] for f in kind.split(", ")] + ["own", "n_quotes", "n_linked", "parent", "depth", "path"]
+    got = {(r.turn, r.text[:6]): (r.n_quotes, r.n_linked, r.parent, r.path, r.quotes_, r.parts) for r in found.collect()}
+    assert got[2, "> The "] == (1, 1, 1, [1, 2], 0, 7) and got[2, "Someth"] == (0, 0, None, [2], 0, 7)
+    assert got[3, "> Than"] == (1, 0, None, [3], 0, 7)  # too short to tell whose thanks they are
+
+
+def test_the_last_holder_of_a_passage_is_answered(spark):
+    line = "Please confirm that you got this."
+    rows = [("c", 1, line), ("c", 4, f"{line}\nOnce more."), ("c", 5, f"> {line}\nYes, got it."), ("c", 6, f"> {line}\n>> {line}\n> Yes, got it.\nGood, then we go on."),
+            ("c", 2, f"> {line}\nWhich one?"), ("d", 9, f"> {line}\nNot in this conversation.")]
+    got = {(r.conv_id, r.turn): (r.parent, r.n_linked) for r in quotations.link(spark.createDataFrame(rows, "conv_id string, turn long, text string")).collect()}
+    assert got == {("c", 1): (None, 0), ("c", 4): (None, 0), ("c", 5): (4, 1), ("c", 6): (4, 2), ("c", 2): (1, 1), ("d", 9): (None, 0)}
+
+
 def test_url_lists_as_of_the_fetch(spark):
     day = lambda m, d: dt.date(2024, m, d)
     events = [("bad", "host", "A.example.com", "add", day(1, 10)), ("bad", "host", "a.example.com", "add", day(1, 20)), ("bad", "host", "a.example.com", "remove", day(3, 1)),

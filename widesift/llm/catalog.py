@@ -51,9 +51,25 @@ def op3_vectors(spark, sf_dir):
                         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))
 
 
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose messages quote: a hash of conversation and turn decides whether the message before is quoted, and the one before that at a second level.
+
+    The given messages quote nothing; every message is kept, with its own text whole behind the quotations.
+    """
+    messages = table(spark, sf_dir, "conversations")
+    said = lambda back: messages.select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(f"said{back}"))
+    near = messages.join(said(1), ["conv_id", "turn"], "left").join(said(2), ["conv_id", "turn"], "left")
+    digit = F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), 1, 1)) - 1
+    quoted = lambda name, marks: F.concat(F.lit(marks), F.replace(F.col(name), F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+    second = F.when((digit >= 4) & (digit < 8), quoted("said2", ">> "))
+    first = F.when(digit < 10, quoted("said1", "> "))
+    return near.select("conv_id", "turn", "role",
+                       F.concat(F.coalesce(second, F.lit("")), F.coalesce(first, F.lit("")), F.col("text")).alias("text"))
+
+
 @query(twins.QUOTATIONS)
 def op4_quotations(spark, sf_dir):
-    found = quotations.link(table(spark, sf_dir, "conversations"))
+    found = quotations.link(replies(spark, sf_dir))
     return found.select("conv_id", "turn", F.coalesce("parent", F.lit(-1)).alias("parent"), "depth", "n_quotes", "n_linked", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"),
                         F.sha2(quotations.formatted(F.col("role"), F.col("own")), 256).alias("message_sha256"))
 

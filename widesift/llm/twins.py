@@ -2,7 +2,10 @@
 
 #: conversations, with quotation links
 QUOTATIONS = r"""
-WITH RECURSIVE m AS (SELECT conv_id, turn, role, text FROM conversations),
+WITH RECURSIVE d AS (SELECT a.*, b.text AS said1, c.text AS said2, strpos('0123456789abcdef', substr(md5(concat_ws(':', CAST(a.conv_id AS VARCHAR), CAST(a.turn AS VARCHAR))), 1, 1)) - 1 AS digit
+  FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn + 2 = a.turn),
+m AS (SELECT conv_id, turn, role, coalesce(CASE WHEN digit BETWEEN 4 AND 7 THEN '>> ' || replace(said2, chr(10), chr(10) || '>> ') || chr(10) END, '')
+  || coalesce(CASE WHEN digit < 10 THEN '> ' || replace(said1, chr(10), chr(10) || '> ') || chr(10) END, '') || text AS text FROM d),
 l AS (SELECT conv_id, turn, role, text, unnest(string_split_regex(coalesce(text, ''), '\r\n|\r|\n')) AS raw,
              generate_subscripts(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), 1) AS i FROM m),
 v AS (SELECT *, length(regexp_replace(regexp_extract(raw, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level,
@@ -17,9 +20,9 @@ own AS (SELECT conv_id, turn, any_value(role) AS role, any_value(text) AS text,
         FROM v GROUP BY conv_id, turn),
 said AS (SELECT conv_id, turn, unnest(list_concat([own], string_split_regex(own, '(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)'),
                 string_split_regex(own, '\r\n|\r|\n'))) AS part FROM own WHERE own IS NOT NULL),
-first AS (SELECT conv_id, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS part, min(turn) AS source FROM said GROUP BY 1, 2),
+held AS (SELECT DISTINCT conv_id, trim(regexp_replace(lower(part), '\s+', ' ', 'g')) AS part, turn AS source FROM said),
 found AS (SELECT w.conv_id, w.turn, w.place, max(CASE WHEN w.level = 1 THEN f.source END) AS source FROM wanted w
-          JOIN first f ON f.conv_id = w.conv_id AND f.part = w.part AND f.source < w.turn GROUP BY ALL),
+          JOIN held f ON f.conv_id = w.conv_id AND f.part = w.part AND f.source < w.turn WHERE length(w.part) >= 16 GROUP BY ALL),
 links AS (SELECT q.conv_id, q.turn, count(*) AS n_quotes, count(f.place) AS n_linked, max(f.source) AS parent
           FROM (SELECT DISTINCT conv_id, turn, place FROM wanted) q LEFT JOIN found f USING (conv_id, turn, place) GROUP BY ALL),
 tree AS (SELECT conv_id, turn, CAST(turn AS VARCHAR) AS path, 0 AS depth FROM own LEFT JOIN links USING (conv_id, turn) WHERE parent IS NULL
