@@ -37,34 +37,36 @@ ROUNDS = 200
 TOLERANCE = 1e-10
 EVERY = -1
 
-BLOCKS = "cohort string, seed int, block int, width int, classes array<string>, ids array<string>, y binary, fold binary, x binary"
+BLOCK = "block int, width int, classes array<string>, ids array<string>, y binary, fold binary, x binary"
 PATH = "array<struct<strength:double,columns:array<int>,weights:array<double>,converged:boolean>>"
 STATE = (f"cohort string, seed int, fit bigint, held int, present array<boolean>, columns array<int>, l2 double, strengths array<double>, "
          f"at array<double>, best array<double>, move array<double>, step double, goal double, rounds int, done boolean, path {PATH}")
 
 
-def row_blocks(rows: DataFrame, cells: int = BLOCK_CELLS) -> DataFrame:
-    """Rows (cohort, seed, sample_id, label, fold, features) as dense blocks; `classes` are the labels of a group in order.
+def row_blocks(rows: DataFrame, cells: int = BLOCK_CELLS, keys: Sequence[str] = GROUP) -> DataFrame:
+    """Rows (keys, sample_id, label, fold, features) as dense blocks; `classes` are the labels of a group of equal keys in order.
 
     `fold` may be absent. The blocks of a group and what they hold follow from the samples alone, not from partitions.
     """
+    keys = list(keys)
     if "fold" not in rows.columns:
         rows = rows.withColumn("fold", F.lit(EVERY))
     # a vector's width, not its values, decides how many rows make a block
-    listed = rows.select(*GROUP, "sample_id", "label", "fold", vector_to_array("features").alias("x"))
-    facts = listed.groupBy(*GROUP).agg(F.array_sort(F.collect_set("label")).alias("classes"), F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width"))
+    listed = rows.select(*keys, "sample_id", "label", "fold", vector_to_array("features").alias("x"))
+    facts = listed.groupBy(*keys).agg(F.array_sort(F.collect_set("label")).alias("classes"), F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width"))
     facts = cut_lineage(facts.withColumn("blocks", F.ceil(F.col("n") * (F.col("width") + 1) / cells).cast("int")))
-    placed = listed.join(broadcast_if_bounded(facts, facts), GROUP).withColumns({
+    placed = listed.join(broadcast_if_bounded(facts, facts), keys).withColumns({
         "block": F.pmod(F.xxhash64("sample_id"), F.col("blocks")).cast("int"), "y": (F.array_position("classes", F.col("label")) - 1).cast("int")})
 
     def block(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("sample_id", kind="stable")
         x = np.array(frame.x.tolist(), np.float64).reshape(len(frame), -1)
         first = frame.iloc[0]
-        return pd.DataFrame([{"cohort": first.cohort, "seed": first.seed, "block": first.block, "width": x.shape[1], "classes": first.classes, "ids": frame.sample_id.tolist(),
+        return pd.DataFrame([{**{k: first[k] for k in keys}, "block": first.block, "width": x.shape[1], "classes": first.classes, "ids": frame.sample_id.tolist(),
                               "y": frame.y.to_numpy(np.int32).tobytes(), "fold": frame.fold.to_numpy(np.int32).tobytes(), "x": x.tobytes()}])
 
-    return cut_lineage(placed.drop("blocks", "n", "width", "label").groupBy(*GROUP, "block").applyInPandas(block, BLOCKS))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return cut_lineage(placed.drop("blocks", "n", "width", "label").groupBy(*keys, "block").applyInPandas(block, f"{kinds}, {BLOCK}"))
 
 
 def class_counts(blocks: DataFrame, folds: Sequence[int]) -> DataFrame:
@@ -185,7 +187,7 @@ def _lasso_move(weights: np.ndarray, gradient: np.ndarray, hessian: np.ndarray,
     diagonal = np.diagonal(hessian)
     ordered = np.flatnonzero(diagonal > 1e-14 * (np.abs(diagonal).max() or 1.0))
     first = 0.0
-    for _ in range(tries):
+    for n in range(tries):
         largest = 0.0
         for _ in range(3):
             # a weight that is 0 stays it while its slope is below the penalty
@@ -200,16 +202,21 @@ def _lasso_move(weights: np.ndarray, gradient: np.ndarray, hessian: np.ndarray,
         ranked = np.sort(by_class[present, 1:], axis=0)
         by_class[inner] -= np.clip(0.0, ranked[(len(ranked) - 1) // 2], ranked[len(ranked) // 2])
         first = max(first, largest)
-        if largest <= 1e-12 * first:
+        # far from the minimum the model is not worth more than this
+        if largest <= 1e-12 * first or n >= 8 and largest <= 3e-3 * first:
             break
         support = ordered[(w[ordered] != 0) | (penalty[ordered] == 0)]
         part = hessian[np.ix_(support, support)]
         toward = -np.linalg.solve(part + 1e-12 * np.diag(np.diagonal(part)), g[support] + penalty[support] * np.sign(w[support]))
         flips = (penalty[support] > 0) & (w[support] * (w[support] + toward) < 0)
-        share = min(1.0, float((-w[support][flips] / toward[flips]).min())) if flips.any() else 1.0
-        stops = flips & (np.abs(w[support] + share * toward) <= 1e-12 * np.abs(toward))
-        w[support] += share * toward
-        w[support[stops]] = 0.0
+        # all weights that would change their sign stop at 0, if that is lower; else the first one does
+        move = np.where(flips, -w[support], toward)
+        level = np.abs(w[support] + move) - np.abs(w[support])
+        if flips.any() and move @ (g[support] + part @ move / 2) + penalty[support] @ level >= 0:
+            share = float((-w[support][flips] / toward[flips]).min())
+            stops = flips & (np.abs(w[support] + share * toward) <= 1e-12 * np.abs(toward))
+            move = np.where(stops, -w[support], share * toward)
+        w[support] += move
         g = gradient + hessian @ (w - weights)
     return w - weights
 

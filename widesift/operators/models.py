@@ -17,12 +17,12 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from widesift.functions.columns import clean_probability
+from widesift.operators import stochastic
 from widesift.operators.metrics import RUN_KEYS
 from widesift.operators.prepare import assemble, median_impute, standard_scale
 from widesift.operators.selection import project_features
@@ -33,10 +33,9 @@ PREDICTION_SCHEMA = "sample_id string, label string, prediction string, proba ma
 
 @dataclass(frozen=True)
 class Classifier:
-    """How to build the estimator for n training rows, and how to read its class probabilities."""
+    """How to build the estimator for n training rows."""
 
     build: Callable[[int], object]
-    scores: str = "probability"  # or "sigmoid" / "softmax" over rawPrediction
 
 
 def _logistic(max_iter: int, tol: float = 1e-6, c: float = 1.0) -> Callable[[int], LogisticRegression]:
@@ -45,21 +44,15 @@ def _logistic(max_iter: int, tol: float = 1e-6, c: float = 1.0) -> Callable[[int
                                         elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
 
 
-def _one_vs_rest(max_iter: int) -> Callable[[int], OneVsRest]:
-    """One binary log-loss model per class, with a fixed small penalty."""
-    def build(n: int) -> OneVsRest:
-        binary = LogisticRegression(regParam=1e-4, tol=1e-3, maxIter=max_iter, standardization=False)
-        return OneVsRest(classifier=binary, labelCol="_y", parallelism=4)
-
-    return build
-
-
 CLASSIFIERS = {
     "logistic": Classifier(_logistic(1000)),
     "logistic_long": Classifier(_logistic(5000)),
     "logistic_short": Classifier(_logistic(500, tol=1e-4)),
-    "one_vs_rest": Classifier(_one_vs_rest(1000), "sigmoid"),
-    "one_vs_rest_50": Classifier(_one_vs_rest(50), "softmax"),
+}
+#: classifiers that are trained for all runs in one batch: until the loss stands still, and for a fixed number of passes
+STOCHASTIC = {
+    "one_vs_rest": stochastic.Settings(passes=1000, tolerance=1e-3),
+    "one_vs_rest_50": stochastic.Settings(passes=50, tolerance=None, softmax=True),
 }
 
 
@@ -98,20 +91,10 @@ def indexed(vectors: DataFrame, classes: list[str]) -> DataFrame:
     return vectors.withColumn("_y", (F.array_position(names, F.col("label")) - 1).cast("double"))
 
 
-def probabilities(kind: str, classes: list[str]) -> Column:
+def probabilities(classes: list[str]) -> Column:
     """Class -> probability from a model's output columns."""
-    if kind == "probability":
-        values = vector_to_array("probability")
-    else:
-        raw = vector_to_array("rawPrediction")
-        if kind == "softmax":
-            powers = F.transform(raw, lambda r: F.exp(r - F.array_max(raw)))
-        else:
-            powers = F.transform(raw, lambda r: clean_probability(1.0 / (1.0 + F.exp(-r))))
-        total = F.aggregate(powers, F.lit(0.0), lambda acc, p: acc + p)
-        values = F.transform(powers, lambda p: p / F.when(total == 0, 1.0).otherwise(total))
     names = F.array(*[F.lit(c) for c in classes])
-    return F.map_from_arrays(names, F.slice(values, 1, len(classes)))
+    return F.map_from_arrays(names, F.slice(vector_to_array("probability"), 1, len(classes)))
 
 
 def name_of(index: Column, classes: list[str]) -> Column:
@@ -165,7 +148,7 @@ def fit_run(vectors: DataFrame, classifier: Classifier, keys: dict, classes: lis
     guessed = fit.model.transform(vectors.where(F.col("part") == "test"))
     tags = [F.lit(v).alias(k) for k, v in keys.items()]
     fit.predictions = cut_lineage(guessed.select(*tags, "sample_id", "label", name_of(F.col("prediction"), classes).alias("prediction"),
-                                                 probabilities(classifier.scores, classes).alias("proba")))
+                                                 probabilities(classes).alias("proba")))
     fit.run_time_s = time.time() - started
     return fit
 
