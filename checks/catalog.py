@@ -850,14 +850,14 @@ def ovr_lr_softmax(spark, sf_dir):
     return benchmark.run_benchmark(every_seed(spark, sf_dir), [benchmark.select_k_best([0.5])]).runs.drop("train_time_s", "run_time_s")
 
 
-@query(sql("""SELECT DISTINCT cohort, seed, 'select_k_best' AS method, 'fraction=0.5' AS param, 50 AS passes, CAST(51 AS INTEGER) AS losses, true AS falling FROM emb_split""", "emb_split"))
+@query(sql("""SELECT DISTINCT cohort, seed, 'select_k_best' AS method, 'fraction=0.5' AS param, 50 AS passes, 51 AS n_losses, true AS falling FROM emb_split""", "emb_split"))
 def ovr_passes(spark, sf_dir):
     """Fifty passes over the training rows of every run, none of which raises the loss."""
     p = every_seed(spark, sf_dir)
     sets = benchmark.select_k_best([0.5]).select(p).withColumn("method", F.lit("select_k_best"))
     states = stochastic.fitted(stochastic.run_blocks(p.vectors(sets), "train"), models.STOCHASTIC["one_vs_rest_50"])
     falls = F.forall(F.sequence(F.lit(1), F.size("losses") - 1), lambda i: F.get("losses", i) <= F.get("losses", i - 1))
-    return states.select(*metrics.RUN_KEYS, "passes", F.size("losses").alias("losses"), falls.alias("falling"))
+    return states.select(*metrics.RUN_KEYS, "passes", F.size("losses").alias("n_losses"), falls.alias("falling"))
 
 
 @query()

@@ -1,3 +1,4 @@
+import dataclasses
 import random
 
 import pytest
@@ -31,6 +32,13 @@ def test_classifiers_beat_the_majority(separable, name):
     assert log.first()["status"] == "ok"
 
 
+
+@pytest.fixture(autouse=True)
+def few_passes(monkeypatch):
+    """The flow is under test here; test_stochastic.py trains until the loss stands still."""
+    monkeypatch.setattr(models, "STOCHASTIC", {k: dataclasses.replace(v, passes=8) for k, v in models.STOCHASTIC.items()})
+
+
 def test_benchmark_records_every_setting(separable):
     methods = [benchmark.baseline(), benchmark.variance_threshold([0.5, 1000.0]), benchmark.anova(3),
                benchmark.mutual_info(3), benchmark.select_k_best([0.5])]

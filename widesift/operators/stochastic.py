@@ -69,8 +69,8 @@ def loss_of(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
     return float(np.logaddexp(0.0, z).sum())
 
 
-def _met(blocks: DataFrame, states: DataFrame) -> DataFrame:
-    _, size = measured(states)
+def _met(blocks: DataFrame, states: DataFrame, size: int) -> DataFrame:
+    """Every block with the state of its run; states of `size` bytes go to the blocks if they can."""
     return blocks.join(F.broadcast(states) if size <= broadcast_limit(states.sparkSession) else states, RUN_KEYS)
 
 
@@ -127,9 +127,11 @@ def fitted(blocks: DataFrame, settings: Settings, folder: str | None = None) ->
     names = [c.split()[0] for c in STATE.split(", ")]
     while True:
         waiting = states.where(~F.col("done"))
-        if waiting.isEmpty():
+        sent = waiting.select(*RUN_KEYS, "at", "scale", "passes")
+        left, size = measured(sent)
+        if not left:
             break
-        parts = _met(rows, waiting.select(*RUN_KEYS, "at", "scale", "passes")).mapInPandas(taken, f"{KINDS}, block int, rows int, part double, after array<double>")
+        parts = _met(rows, sent, size).mapInPandas(taken, f"{KINDS}, block int, rows int, part double, after array<double>")
         moved = waiting.join(parts, RUN_KEYS).groupBy(*RUN_KEYS).applyInPandas(lambda f: judged(f)[names], STATE)
         number += 1
         states = written(states.where("done").unionByName(moved), f"{base}/{number:06d}")
@@ -158,7 +160,7 @@ def predictions(blocks: DataFrame, states: DataFrame, softmax: bool) -> DataFram
                           for i, c, b, row in zip(r.ids, y, z.argmax(axis=1), p.tolist())]
             yield pd.DataFrame(found, columns=[*RUN_KEYS, "sample_id", "label", "prediction", "proba"])
 
-    return _met(blocks, models).mapInPandas(run, f"{KINDS}, sample_id string, label string, prediction string, proba map<string,double>")
+    return _met(blocks, models, measured(models)[1]).mapInPandas(run, f"{KINDS}, sample_id string, label string, prediction string, proba map<string,double>")
 
 
 def run_blocks(vectors: DataFrame, part: str) -> DataFrame:
