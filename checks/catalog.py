@@ -713,6 +713,8 @@ cte("fs_run0", f"""SELECT f.cohort, f.seed, f.fold, f.sample_id, p.class, p.lp A
     "fs_fold", "fs_prior")
 #: a fifth of the 64 features, as the method takes of its candidates
 STEPS = 12
+#: with a trained model for every candidate; the README says what a step takes
+TRAINED_STEPS = 4
 for step in range(1, STEPS + 1):
     last = f"fs_chosen{step - 1}"
     cte(f"fs_pred{step}", f"""SELECT cohort, seed, fold, feature, sample_id, label, class AS prediction FROM (SELECT t.*, row_number() OVER (
@@ -756,7 +758,7 @@ def forward_selection_trained(spark, sf_dir):
     """A logistic model trained for every candidate, fold and step; a test holds it against one fit after another."""
     vectors = varying_vectors(spark, sf_dir).select("cohort", "seed", "sample_id", "features")
     candidates = scores.varying_features(emb_moments(spark, sf_dir)).select("cohort", "seed", "feature")
-    return forward.forward_selection_logistic(vectors, two_folds(spark, sf_dir), candidates, STEPS, 2)
+    return forward.forward_selection_logistic(vectors, two_folds(spark, sf_dir), candidates, TRAINED_STEPS, 2)
 
 
 # ---- trained models: no SQL twin, checked by tests on separable data --------------------------
