@@ -24,7 +24,7 @@ SPACES = ASCII_SPACES + "\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000,
 SPACE_SET = frozenset(SPACES)
 #: segments encoded in one call, segments remembered, characters of the longest one that is
 CALL_SEGMENTS = 1 << 15
-MEMORY = 1_000_000
+MEMORY = 300_000
 MEMORABLE = 64
 #: bytes of text that are cut and encoded at once
 BATCH_BYTES = 1 << 23
