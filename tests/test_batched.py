@@ -86,6 +86,26 @@ def test_l2_fits_of_some_columns(spark, cells):
         assert np.abs(got - want).max() < 1e-6
 
 
+def test_a_minimum_of_many_rows_is_as_near_as_one_of_few():
+    """The loss of 200 copies of every row is 200 times larger, which must not end a fit that much further from its minimum."""
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 4, 150)
+    x = rng.standard_normal((150, 12)) + 0.5 * np.eye(4, 12)[y]
+    for l1, l2 in ((10.0, 0.0), (0.0, 1.0)):
+        state = dict(present=[True] * 4, columns=list(range(12)), strengths=[l1], l2=l2, at=None, best=None, move=None, step=1.0, goal=float("inf"),
+                     rounds=0, done=False, path=[])
+        while not state["done"]:
+            weights = np.zeros((4, 13)) if state["at"] is None else np.array(state["at"]).reshape(4, 13)
+            loss, *parts = batched.sums(x, y, state["columns"], weights, np.ones(4, bool))
+            state = batched.advanced(state, 200 * loss, *(200 * p for p in parts))
+        w = np.array(state["path"][0]["weights"]).reshape(4, 13)
+        g = 200 * gradient(x, y, w)
+        g[:, 1:] += l2 * w[:, 1:]
+        strength = np.c_[np.zeros(4), np.full((4, 12), l1)]
+        off = np.where(w != 0, np.abs(g + strength * np.sign(w)), np.maximum(np.abs(g) - strength, 0))
+        assert state["path"][0]["converged"] and off.max() < 1e-5 * max(l1, 1.0)
+
+
 def test_l1_path_equals_unscreened_fits(spark):
     rows, known = rows_of(spark, 2, 100, 20, 3, seed=1)
     blocks = batched.row_blocks(rows)

@@ -35,6 +35,9 @@ HELD_BYTES = 1 << 26
 #: rounds for one strength at most; a fit that needs more is marked as not converged
 ROUNDS = 200
 TOLERANCE = 1e-10
+#: distance from the condition of a minimum, as a part of the L1 strength, and change of the weights at which a fit ends
+SLACK = 1e-6
+LAST_MOVE = 1e-8
 EVERY = -1
 
 BLOCK = "block int, width int, classes array<string>, ids array<string>, y binary, fold binary, x binary"
@@ -246,11 +249,16 @@ def advanced(state: dict, loss: float, gradient: np.ndarray, hessian: np.ndarray
     if lasso.any():
         move = _lasso_move(weights, g, h, lasso, present)
         gain = -float(g @ move) - float(lasso @ (np.abs(weights + move) - np.abs(weights)))
+        off = np.where(weights != 0, np.abs(g + lasso * np.sign(weights)), np.maximum(np.abs(g) - lasso, 0))
+        # the gradient is a sum over rows, and no more exact than that
+        near = off.max() <= max(SLACK * l1, 1e-12 * (1 + abs(goal)))
     else:
         move = -np.linalg.lstsq(h, g, rcond=1e-13)[0] if state["l2"] == 0 else -np.linalg.solve(h, g)
         gain = -float(g @ move) / 2
+        near = np.abs(move).max() <= LAST_MOVE * (1 + np.abs(weights).max())
     new.update(best=weights, goal=goal, at=weights)
-    if gain <= tiny:
+    # the loss grows with the rows: a gain that is small beside it says little about the weights
+    if gain <= tiny and near:
         return _settled(new, every, True)
     if new["rounds"] >= ROUNDS:
         return _settled(new, every, False)
