@@ -155,3 +155,22 @@ def test_places_in_vectors(spark):
     assert got == {"s1": [1.0, 2.0, 3.0], "s2": [0.0, 5.0, 0.0], "s3": [0.0, 0.0, 0.0]}
     with pytest.raises(Exception, match="a sample has 1 of 3 features"):
         prepare.assemble(cells, ["sample_id"], "value").collect()
+
+
+def test_forests_read_few_partitions(spark, separable, monkeypatch):
+    """Small tables are not cut into as many pieces as shuffles are set to: every level of every forest runs a task for each."""
+    seen = []
+
+    class Search(embedded.CrossValidator):
+        def _fit(self, dataset):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(embedded, "CrossValidator", Search)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        benchmark.random_forest(trees=(2,), depths=(2,)).select(separable)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
