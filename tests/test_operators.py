@@ -394,3 +394,59 @@ def test_saturated_areas_and_shifted_moments(spark):
     plain, filled = (moments.feature_moments(stats, sizes).first()["between"] for sizes in (None, moments.class_sizes(split)))
     assert filled == pytest.approx(plain, rel=1e-6) and filled > 4
 
+
+
+def _forward_by_hand(cells, folded, steps):
+    """The selection by loops over (sample, feature, value or None) cells and (sample, label, fold) rows of one group."""
+    features, classes = sorted({f for _, f, _ in cells}), sorted({c for _, c, _ in folded})
+    value = {(s, f): v for s, f, v in cells}
+    fits = {}
+    for fold in (0, 1):
+        fitting = [(s, c) for s, c, k in folded if k != fold]
+        known = {(f, c): [value[s, f] for s, k in fitting if k == c and value.get((s, f)) is not None] for f in features for c in classes}
+        added = 1e-9 * max(np.var(sum((known[f, c] for c in classes), [])) for f in features)
+        for f in features:
+            for c in classes:
+                fits[fold, f, c] = (np.mean(known[f, c]), np.var(known[f, c]) + added) if known[f, c] else None
+        fits[fold] = {c: math.log(sum(k == c for _, k in fitting) / len(fitting)) for c in classes}
+
+    def term(s, f, c, fold):
+        if value.get((s, f)) is None or fits[fold, f, c] is None:
+            return 0.0
+        mean, var = fits[fold, f, c]
+        return -0.5 * math.log(2 * math.pi * var) - (value[s, f] - mean) ** 2 / (2 * var)
+
+    chosen = []
+    for _ in range(steps):
+        scored = []
+        for f in [f for f in features if f not in [c for c, _ in chosen]]:
+            by_fold = []
+            for fold in (0, 1):
+                pairs = []
+                for s, label, k in folded:
+                    if k == fold and (s, f) in value:
+                        sums = [round(fits[fold][c] + sum(term(s, g, c, fold) for g, _ in chosen) + term(s, f, c, fold), 9) for c in classes]
+                        pairs.append((label, classes[sums.index(max(sums))]))
+                seen = {c for p in pairs for c in p}
+                by_fold.append(np.mean([2 * sum(a == b == c for a, b in pairs) / sum((a == c) + (b == c) for a, b in pairs) for c in seen]))
+            scored.append((-round(np.mean(by_fold), 9), f))
+        chosen.append((min(scored)[1], -min(scored)[0]))
+    return chosen
+
+
+@pytest.mark.parametrize("cells_per_block", [1 << 20, 40])
+def test_forward_selection_with_gaps_in_blocks(spark, cells_per_block):
+    """Absent and null cells count as before, and results do not depend on the blocks that the rows lie in."""
+    rng = random.Random(8)
+    folded, cells = [], []
+    for i in range(60):
+        c = i % 3
+        folded.append((f"s{i:02d}", f"c{c}", rng.randrange(2)))
+        for f in range(5):
+            if rng.random() < 0.85:
+                cells.append((f"s{i:02d}", f"f{f}", None if rng.random() < 0.1 else rng.gauss(0, 1) + (c == f) * 1.5))
+    cells = [x for x in cells if not (x[1] == "f4" and int(x[0][1:]) % 3 == 2)]  # a class without cells
+    matrix = spark.createDataFrame([("A", *x) for x in cells], "cohort string, sample_id string, feature string, value double")
+    rows = spark.createDataFrame([("A", 1, *x) for x in folded], "cohort string, seed int, sample_id string, label string, fold int")
+    found = forward.forward_selection(matrix, rows, steps=4, cells_per_block=cells_per_block).orderBy("rank").collect()
+    assert [(r["feature"], pytest.approx(r["score"], abs=1e-9)) for r in found] == _forward_by_hand(cells, folded, 4)
