@@ -450,3 +450,15 @@ def test_forward_selection_with_gaps_in_blocks(spark, cells_per_block):
     rows = spark.createDataFrame([("A", 1, *x) for x in folded], "cohort string, seed int, sample_id string, label string, fold int")
     found = forward.forward_selection(matrix, rows, steps=4, cells_per_block=cells_per_block).orderBy("rank").collect()
     assert [(r["feature"], pytest.approx(r["score"], abs=1e-9)) for r in found] == _forward_by_hand(cells, folded, 4)
+
+
+def test_training_cells_are_dealt_by_their_number(spark, monkeypatch):
+    """A task gets a few features of one seed, however well a shuffle compresses them."""
+    monkeypatch.setattr(prepare, "CELLS_PER_TASK", 40, raising=False)
+    matrix, samples = dense(spark, features=12)
+    cells = prepare.train_cells(matrix, splits.stratified_split(samples, SEEDS))
+    by_task = cells.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in by_task) == 2 * 12 * 42
+    assert max(r["count"] for r in by_task) <= 8 * 42
+    one_task = cells.select(*prepare.KEYS, F.spark_partition_id().alias("p")).distinct()
+    assert one_task.count() == 2 * 12
