@@ -1,5 +1,7 @@
 """Batched fits against one fit at a time in numpy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -106,6 +108,22 @@ def test_a_minimum_of_many_rows_is_as_near_as_one_of_few():
         assert state["path"][0]["converged"] and off.max() < 1e-5 * max(l1, 1.0)
 
 
+def test_sums_of_a_block_take_bounded_memory():
+    """The products of rows, classes and columns are many times the block; they are made in slices."""
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((20_000, 30)), rng.integers(0, 8, 20_000)
+    weights = rng.standard_normal((8, 31))
+    tracemalloc.start()
+    loss, slope, hessian, every = batched.sums(x, y, list(range(30)), weights, np.ones(8, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all products at once: 20,000 * 8 * 31 * 8 bytes = 40 MB, and copies of them
+    assert np.allclose(slope, gradient(x, y, weights)) and np.allclose(every, slope[:, 1:])
+    assert loss == pytest.approx(objective(x, y, weights, 0.0, 0.0, 8))
+    nudge = 1e-5 * rng.standard_normal((8, 31))
+    assert np.allclose(hessian @ nudge.ravel(), (gradient(x, y, weights + nudge) - gradient(x, y, weights - nudge)).ravel() / 2, rtol=1e-4, atol=1e-4)
+
+
 def test_l1_path_equals_unscreened_fits(spark):
     rows, known = rows_of(spark, 2, 100, 20, 3, seed=1)
     blocks = batched.row_blocks(rows)

@@ -31,7 +31,9 @@ KEYS = [*GROUP, "fit"]
 #: numbers in a block of rows, fits that meet a block in one row, bytes of sums that a task gathers before it hands them on
 BLOCK_CELLS = 1 << 21
 SLOT = 512
-HELD_BYTES = 1 << 26
+HELD_BYTES = 1 << 25
+#: numbers in the products of rows, classes and columns that a Hessian is added up from at a time
+SLICE_CELLS = 1 << 20
 #: rounds for one strength at most; a fit that needs more is marked as not converged
 ROUNDS = 200
 TOLERANCE = 1e-10
@@ -114,17 +116,23 @@ def _chances(z: np.ndarray, weights: np.ndarray, present: np.ndarray) -> tuple[n
 
 def sums(x: np.ndarray, y: np.ndarray, columns, weights: np.ndarray, present: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
     """Loss, gradient by class and chosen column, Hessian, gradient by class and any column, over rows that a fit is fitted on."""
-    z = _inputs(x, columns)
-    logits, level, p = _chances(z, weights, present)
-    loss = float((level - logits[np.arange(len(y)), y]).sum())
-    off = p.copy()
-    off[np.arange(len(y)), y] -= 1
     k, d = weights.shape
-    mixed = (p[:, :, None] * z[:, None, :]).reshape(len(y), k * d)
-    hessian = -mixed.T @ mixed
-    for c in range(k):
-        hessian[c * d:(c + 1) * d, c * d:(c + 1) * d] += (p[:, c, None] * z).T @ z
-    return loss, off.T @ z, hessian, off.T @ x
+    loss, gradient, hessian, every = 0.0, np.zeros((k, d)), np.zeros((k * d, k * d)), np.zeros((k, x.shape[1]))
+    rows = max(1, SLICE_CELLS // (k * d))
+    for start in range(0, len(y), rows):
+        part, labels = x[start:start + rows], y[start:start + rows]
+        z = _inputs(part, columns)
+        logits, level, p = _chances(z, weights, present)
+        loss += float((level - logits[np.arange(len(labels)), labels]).sum())
+        off = p.copy()
+        off[np.arange(len(labels)), labels] -= 1
+        mixed = (p[:, :, None] * z[:, None, :]).reshape(len(labels), k * d)
+        hessian -= mixed.T @ mixed
+        for c in range(k):
+            hessian[c * d:(c + 1) * d, c * d:(c + 1) * d] += (p[:, c, None] * z).T @ z
+        gradient += off.T @ z
+        every += off.T @ part
+    return loss, gradient, hessian, every
 
 
 def _met(blocks: DataFrame, fits: DataFrame, columns: list[str], size: int) -> DataFrame:
@@ -152,12 +160,11 @@ def _totals(blocks: DataFrame, waiting: DataFrame, size: int, whole: bool) -> Da
         for frame in frames:
             for r in frame.itertuples():
                 x, y, fold = _arrays(r)
-                parts = {}
-                for fit in r.fits:
-                    if fit["held"] not in parts:
-                        rows = fold != fit["held"]
-                        parts[fit["held"]] = x[rows], y[rows]
-                    part, labels = parts[fit["held"]]
+                last = None
+                for fit in sorted(r.fits, key=lambda f: f["held"]):  # one copy of the rows at a time
+                    if fit["held"] != last:
+                        last, rows = fit["held"], fold != fit["held"]
+                        part, labels = x[rows], y[rows]
                     present, d = np.array(fit["present"], bool), len(fit["columns"]) + 1
                     weights = np.zeros((len(present), d)) if fit["at"] is None else np.array(fit["at"], np.float64).reshape(-1, d)
                     found = sums(part, labels, fit["columns"], weights, present)
