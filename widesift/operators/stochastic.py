@@ -51,15 +51,31 @@ def step_offset(penalty: float) -> float:
 
 def one_pass(x: np.ndarray, y: np.ndarray, order: np.ndarray, weights: np.ndarray, penalty: float, scale: float, done: int) -> np.ndarray:
     """Weights (class by intercept and columns) after the rows in `order`; `done` rows have been taken in earlier passes."""
-    w, offset = weights.copy(), step_offset(penalty)
-    hot = np.eye(len(w))
-    for t, i in enumerate(order, done + 1):
-        step = scale / (penalty * (offset + t))
-        off = 1.0 / (1.0 + np.exp(-np.clip(w[:, 1:] @ x[i] + w[:, 0], -500, 500))) - hot[y[i]]
-        w[:, 1:] *= max(0.0, 1.0 - step * penalty)
-        w[:, 1:] -= np.outer(step * off, x[i])
-        w[:, 0] -= step * off
-    return w
+    # a row costs a handful of small products, so that what counts is how many calls they are: the intercepts are the last
+    # column, and the weights have the other sign
+    offset, held = step_offset(penalty), -np.column_stack([weights[:, 1:], weights[:, 0]])
+    inputs, off = np.column_stack([x, np.ones(len(x))]), np.empty(len(held))
+    slopes, column, pull = held[:, :-1], off[:, None], np.empty_like(held)
+    steps = scale / (penalty * (offset + np.arange(done + 1, done + len(order) + 1)))
+    shrinks = np.maximum(0.0, 1.0 - steps * penalty)
+    with np.errstate(over="ignore"):  # a chance of 1 / infinity is zero
+        for i, label, step, shrink in zip(order.tolist(), y[order].tolist(), steps.tolist(), shrinks.tolist()):
+            row = inputs[i]
+            np.dot(held, row, out=off)
+            np.exp(off, out=off)
+            np.add(off, 1.0, out=off)
+            np.divide(step, off, out=off)
+            off[label] -= step
+            np.multiply(slopes, shrink, out=slopes)
+            np.multiply(column, row, out=pull)
+            np.add(held, pull, out=held)
+    return -np.column_stack([held[:, -1], held[:, :-1]])
+
+
+def turns(seed: int, ids) -> np.ndarray:
+    """The places of sorted sample ids in the order of a hash of seed and id."""
+    prefix = zlib.crc32(f"{seed}:".encode())
+    return np.argsort(np.array([zlib.crc32(i.encode(), prefix) for i in ids], np.int64), kind="stable")
 
 
 def loss_of(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
@@ -99,9 +115,8 @@ def fitted(blocks: DataFrame, settings: Settings, folder: str | None = None) ->
             found = []
             for r in frame.itertuples():
                 x, y = np.frombuffer(r.x).reshape(-1, r.width), np.frombuffer(r.y, np.int32)
-                order = np.array(sorted(range(len(y)), key=lambda i: (zlib.crc32(f"{r.seed}:{r.ids[i]}".encode()), r.ids[i])), int)
                 weights = np.array(r.at).reshape(-1, r.width + 1)
-                after = one_pass(x, y, order, weights, settings.penalty, r.scale, r.passes * len(y))
+                after = one_pass(x, y, turns(r.seed, r.ids), weights, settings.penalty, r.scale, r.passes * len(y))
                 found.append((r.cohort, r.seed, r.method, r.param, r.block, len(y), loss_of(x, y, weights), after.ravel()))
             yield pd.DataFrame(found, columns=[*RUN_KEYS, "block", "rows", "part", "after"])
 
