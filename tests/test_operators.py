@@ -462,3 +462,27 @@ def test_training_cells_are_dealt_by_their_number(spark, monkeypatch):
     assert max(r["count"] for r in by_task) <= 8 * 42
     one_task = cells.select(*prepare.KEYS, F.spark_partition_id().alias("p")).distinct()
     assert one_task.count() == 2 * 12
+
+
+def test_positions_of_many_features_are_numbered_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "FEATURES_PER_TASK", 30, raising=False)
+    rng = random.Random(6)
+    rows = [(g, f"w{rng.randrange(10 ** 6)}") for g in "ab" for _ in range(200)] + [("c", "w1")]
+    found = prepare.positions(spark.createDataFrame(rows + rows, "cohort string, feature string"), ["cohort"])
+    want = {(g, f): (i, len(of)) for g in "abc" for of in [sorted({f for c, f in rows if c == g})] for i, f in enumerate(of)}
+    assert {(r["cohort"], r["feature"]): (r["pos"], r["width"]) for r in found.collect()} == want
+
+
+def test_no_window_orders_a_whole_vocabulary(spark, monkeypatch):
+    """The largest group that a window puts in order is a range of the features, not all of them."""
+    monkeypatch.setattr(prepare, "FEATURES_PER_TASK", 30, raising=False)
+    groups = []
+    plain = ranking.numbered
+
+    def numbered(df, keys, *rest, **options):
+        groups.extend(r["count"] for r in df.groupBy(*keys, ranking.BUCKET).count().collect())
+        return plain(df, keys, *rest, **options)
+
+    monkeypatch.setattr(ranking, "numbered", numbered)
+    prepare.positions(spark.createDataFrame([("a", f"w{i}") for i in range(300)], "cohort string, feature string"), ["cohort"]).collect()
+    assert groups and sum(groups) == 300 and max(groups) <= 100
